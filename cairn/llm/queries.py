@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import ball_tree, packing, piece_bpe, quality, secrets, token_count
+from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, token_count
 from cairn.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,11 @@ def op7_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op8_lsh_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.components(read(spark, sf_dir, "documents"), n=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -36,7 +42,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op7_prefix_table_pieces, op9_divergence_quality, op10_ownership_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ball_tree_top_k": """
@@ -46,4 +52,15 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_lsh_forest_near_dup": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 85 * (u.n + v.n - c)),
+        b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+        r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id""",
 }
