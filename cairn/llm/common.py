@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -34,6 +35,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cairn/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the cleaner then drops shuffle files that nothing needs any more
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, token_count
+from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, substring_dedup, token_count
 from cairn.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), limit=2048)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op5_suffix_array_dedup, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ball_tree_top_k": """
