@@ -48,6 +48,18 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.uint64)
 
 
+def short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mostly small counts: a byte each, and the large ones apart."""
+    big = np.flatnonzero(x >= 255)
+    return np.minimum(x, 255).astype(np.uint8), small(big), small(x[big])
+
+
+def long(parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    out = parts[0].astype(np.int64)
+    out[parts[1].astype(np.int64)] = parts[2].astype(np.int64)
+    return out
+
+
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[]] * 4
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, MESSAGE_OUT, strict=True)], schema=MESSAGE_OUT)
@@ -65,13 +77,15 @@ def asked(blocks: DataFrame, ask: Callable[[int, bytes], list[tuple[int, bytes]]
     return blocks.select("block", "payload").mapInArrow(run, MESSAGE)
 
 
-def answered(asks: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """merge(blobs of a bucket) gives an answer for each, in order."""
+def answered(asks: DataFrame, merge: Callable[[list[bytes]], tuple[list[bytes], bytes | None]]) -> DataFrame:
+    """merge(blobs of a bucket) gives an answer for each, in order, and what the bucket tells of itself, if anything:
+    a row of block -1."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = merge([r["blob"] for r in rows])
-        return messages([(r["block"], r["bucket"], r["round"], x) for r, x in zip(rows, out, strict=True)])
+        out, own = merge([r["blob"] for r in rows])
+        told = [] if own is None else [(-1, rows[0]["bucket"], rows[0]["round"], own)]
+        return messages([(r["block"], r["bucket"], r["round"], x) for r, x in zip(rows, out, strict=True)] + told)
 
     return asks.groupBy("bucket").applyInArrow(run, MESSAGE)
 

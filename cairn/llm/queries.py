@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, substring_dedup, token_count
+from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, substring_dedup, suffix_tree, token_count
 from cairn.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(read(spark, sf_dir, "documents"))
+
+
 def op2_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -46,7 +50,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op5_suffix_array_dedup, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_score, op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op5_suffix_array_dedup, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ball_tree_top_k": """

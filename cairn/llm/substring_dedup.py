@@ -236,7 +236,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
         _, _, n, ab, cut = keys(payload)
         return [(k, exchange.pack(exchange.squeeze(ab[0][x:y]), ab[1][x:y], exchange.small(n[x:y]))) for k, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
 
-    def merge(blobs: list[bytes]) -> list[bytes]:
+    def merge(blobs: list[bytes]) -> tuple[list[bytes], None]:
         parts = [exchange.unpack(x) for x in blobs]
         a = np.concatenate([exchange.expand(p[0]) for p in parts])
         b = np.concatenate([p[1] for p in parts])
@@ -247,7 +247,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
         group[order] = np.cumsum(new) - 1
         often = np.bincount(group, n)[group] > 1
         ends = np.cumsum([p[0][0] for p in parts])[:-1]
-        return [exchange.pack(np.packbits(x), len(x)) for x in np.split(often, ends)]
+        return [exchange.pack(np.packbits(x), len(x)) for x in np.split(often, ends)], None
 
     def finish(_block: int, payload: bytes, answers: dict) -> pa.Table:
         out = []
