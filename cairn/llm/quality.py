@@ -182,25 +182,41 @@ def verdict(n_words: int, class_distance: float, word_distance: float) -> bool:
     return n_words < MIN_JUDGED or (class_distance <= MAX_CLASS and word_distance <= MAX_WORDS)
 
 
+def _judged(text: str, lang: str | None, refs: dict) -> tuple:
+    """The base counts, whether the base rules fail, the verdict, and both distances (1 where there is no text)."""
+    ws, chars, symbols, lines, repeat = base(text)
+    n = len(ws)
+    failed = n < MIN_WORDS or 100 * repeat > 50 * n
+    langs = [lang] if lang in refs else list(refs)
+    dc = dw = 1.0
+    if text and langs:
+        c, w = histograms(text, ws, langs)
+        dc, dw = min((distance(c, refs[x][0]), distance(w[x], refs[x][1])) for x in langs)
+    return n, chars, symbols, lines, repeat, failed, not failed and (not langs or verdict(n, dc, dw)), dc, dw
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """The base counts, both distances and the verdict for each document (columns doc_id, text, lang)."""
+    """The base counts, the verdict and both distances for each document (columns doc_id, text, lang)."""
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = shared.value
         for b in batches:
-            rows = []
-            for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                text = text or ""
-                ws, chars, symbols, lines, repeat = base(text)
-                n = len(ws)
-                failed = n < MIN_WORDS or 100 * repeat > 50 * n
-                langs = [lang] if lang in refs else list(refs)
-                dc = dw = 1.0
-                if text and langs:
-                    c, w = histograms(text, ws, langs)
-                    dc, dw = min((distance(c, refs[x][0]), distance(w[x], refs[x][1])) for x in langs)
-                rows.append((i, n, chars, symbols, lines, repeat, failed, not failed and (not langs or verdict(n, dc, dw)), dc, dw))
+            rows = [(i, *_judged(text or "", lang, refs)) for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)]
             yield batch(_OUT, list(zip(*rows, strict=True)) or [[]] * 10)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows that judge() rejects. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+
+    @F.pandas_udf("boolean")
+    def kept(text, lang):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        refs = shared.value
+        return pd.Series([bool(_judged(t or "", g, refs)[6]) for t, g in zip(text, lang, strict=True)], dtype=bool)
+
+    return docs.where(kept(F.col("text").cast("string"), F.col("lang").cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ball_tree, near_dup, packing, piece_bpe, quality, secrets, substring_dedup, suffix_tree, token_count
+from cairn.llm import ball_tree, licences, near_dup, packing, piece_bpe, quality, secrets, substring_dedup, suffix_tree, token_count
 from cairn.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_dice_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_score, op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op5_suffix_array_dedup, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_score, op2_ball_tree_top_k, op3_minimum_slack_packing, op4_two_tier_token_counts, op5_suffix_array_dedup, op6_dice_licence_scan, op7_prefix_table_pieces, op8_lsh_forest_near_dup, op9_divergence_quality, op10_ownership_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ball_tree_top_k": """
