@@ -1,0 +1,144 @@
+"""Evaluation harness in batch [D20-D26, D30, D31, E22, H34-H37, J16-J19, P41-P44]."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairn.functions import scores
+from cairn.functions.text import normalised
+
+
+def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, recall, reciprocal_rank and ndcg at k. hits: query_id, chunk_id, rank; gold: query_id, chunk_id. Queries
+    without gold are no rows: the caller compares counts, an empty gold set is never a zero [J16-J18]."""
+    size = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
+    found = hits.where(F.col("rank") <= k).join(gold, ["query_id", "chunk_id"]).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(scores.gain(F.col("rank").cast("double"))).alias("gain")
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r.cast("double") + 1))
+    return size.join(found, "query_id", "left").select(
+        "query_id",
+        F.round(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), 10).alias("recall"),
+        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 10).alias("reciprocal_rank"),
+        F.round(F.coalesce(F.col("gain") / ideal, F.lit(0.0)), 10).alias("ndcg"),
+    )
+
+
+def character_error_rate(truth: Column, hypothesis: Column, spaces: bool = True) -> Column:
+    """Edit distance over characters by the truth's length; 0 for no truth [H34, H36]."""
+    a, b = normalised(truth), normalised(hypothesis)
+    if not spaces:
+        a, b = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    return F.when(F.length(a) == 0, 0.0).otherwise(F.levenshtein(a, b) / F.length(a))
+
+
+def _edit_distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@F.pandas_udf(T.DoubleType())
+def word_error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distance over words of normalised texts by the truth's words [H35]. Batches of columns: no built-in compares
+    arrays by edits."""
+    return pd.Series([_edit_distance(a.split(), b.split()) / max(1, len(a.split())) if a else 0.0 for a, b in zip(truth.fillna(""), hypothesis.fillna(""), strict=True)])
+
+
+FAULTS = T.StructType([T.StructField(n, T.LongType()) for n in ("split", "merged", "substituted", "inserted", "dropped")])
+
+
+@F.pandas_udf(FAULTS)
+def word_faults(truth: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """How the words of two normalised texts differ, by aligned runs: words run together or apart, replaced, added, lost
+    [H37]."""
+    import difflib
+
+    rows = []
+    for a, b in zip(truth.fillna(""), hypothesis.fillna(""), strict=True):
+        n = dict.fromkeys(("split", "merged", "substituted", "inserted", "dropped"), 0)
+        x, y = a.split(), b.split()
+        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if op == "insert":
+                n["inserted"] += m - k
+            elif op == "delete":
+                n["dropped"] += j - i
+            elif op == "replace":
+                if "".join(x[i:j]) == "".join(y[k:m]):
+                    n["merged" if m - k < j - i else "split"] += max(j - i, m - k)
+                else:
+                    n["substituted"] += max(j - i, m - k)
+        rows.append(n)
+    return pd.DataFrame(rows, columns=["split", "merged", "substituted", "inserted", "dropped"])
+
+
+def confusion(pairs: DataFrame) -> DataFrame:
+    """expected, actual, n [D20, F10]: one pass; the rest is computed from it."""
+    return pairs.groupBy("expected", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def per_label(matrix: DataFrame) -> DataFrame:
+    """label, precision, recall, support of each expected label; 1 where nothing was predicted [D20]."""
+    same = F.when(F.col("expected") == F.col("actual"), F.col("n")).otherwise(0)
+    e = matrix.groupBy(F.col("expected").alias("label")).agg(F.sum("n").alias("support"), F.sum(same).alias("hit"))
+    a = matrix.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("predicted"))
+    return e.join(a, "label", "left").select("label", F.round(F.coalesce(F.col("hit") / F.col("predicted"), F.lit(1.0)), 10).alias("precision"), F.round(F.col("hit") / F.col("support"), 10).alias("recall"), "support")
+
+
+def worst_confusion(matrix: DataFrame) -> DataFrame:
+    """[P43]"""
+    return matrix.where("expected <> actual").groupBy().agg(F.max_by(F.concat("expected", F.lit(" -> "), "actual"), F.struct("n", "expected", "actual")).alias("worst"))
+
+
+def nearest_rank(value: str, fraction: float) -> Column:
+    """Nearest-rank percentile of a group, 0 for none [J19, D19]."""
+    return F.coalesce(F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
+
+
+def floor_rank(value: str, fraction: float) -> Column:
+    """The other percentile: the element at floor(n f) of the sorted group [0.2 trap 3]. Collects a group: for the
+    router's rolling sample of 1000 only."""
+    xs = F.array_sort(F.collect_list(value))
+    return F.element_at(xs, F.least(F.size(xs), F.floor(F.size(xs) * F.lit(fraction)).cast("int") + 1))
+
+
+def meets(value: Column, op: Column, threshold: Column) -> Column:
+    """A missing value or threshold passes [D25]."""
+    return F.coalesce(F.when(op == ">=", value >= threshold).when(op == "<=", value <= threshold), F.lit(True))
+
+
+def suite_report(metrics: DataFrame, thresholds: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Each metric with its threshold, baseline and change [C21, E22, P44]. metrics: suite, metric, value; thresholds:
+    suite, metric, op, threshold; baselines: suite, metric, baseline."""
+    j = metrics.join(thresholds, ["suite", "metric"], "left").join(baselines, ["suite", "metric"], "left")
+    delta = F.round(F.col("value") - F.col("baseline"), 10)
+    better = F.when(F.coalesce(F.col("op"), F.lit(">=")) == ">=", delta).otherwise(-delta)
+    return j.withColumns({"met": meets(F.col("value"), F.col("op"), F.col("threshold")), "delta": delta, "arrow": F.when(delta.isNull() | (delta == 0), "=").when(better > 0, "up").otherwise("down")})
+
+
+def suite_passed(report: DataFrame) -> DataFrame:
+    """[D25, D26, P42]"""
+    return report.groupBy("suite").agg(F.bool_and("met").alias("passed"), F.array_sort(F.collect_list(F.when(~F.col("met"), F.col("metric")))).alias("failures"))
+
+
+def fault_shares(rows: DataFrame, key: str, n: str) -> DataFrame:
+    """Each kind's share of all [D22, D31]."""
+    return rows.groupBy(key).agg(F.sum(n).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 10))
+
+
+def batches(rows: DataFrame, function, schema: str) -> DataFrame:  # noqa: ANN001
+    """A batch function over pandas frames: the seam for models that run outside, embedders included [L5, O7, P1]."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield function(f)
+
+    return rows.mapInPandas(run, schema)
