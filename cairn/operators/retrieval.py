@@ -7,6 +7,10 @@ never broadcast by a hint, the planner does it where their measured size allows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +25,52 @@ def top(rows: DataFrame, k: int, score: str = "score", key: str = "chunk_id", by
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+_PACK = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("confidence", pa.binary()), ("unit", pa.binary())])
+_HITS = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("mean_confidence", pa.float64()), ("score", pa.float64())])
+
+
+def _packed(rows: DataFrame, key: str, vec: str, parts: int, block: int) -> DataFrame:
+    """Rows of key, vec, mean_confidence as blocks of unit vectors, one binary each; vectors of no length are zeros."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        part = table.column("part")[0].as_py()
+        for lo in range(0, table.num_rows, block):
+            t = table.slice(lo, block).combine_chunks()
+            x = np.array(t.column(vec).to_pylist(), np.float64)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            out.append((part, t.column(key).to_numpy().astype(np.int64).tobytes(), t.column("mean_confidence").to_numpy().astype(np.float64).tobytes(), unit.tobytes()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACK, strict=True)], schema=_PACK)
+
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    return rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(part, key, vec, "mean_confidence").groupBy("part").applyInArrow(run, "part int, ids binary, confidence binary, unit binary")
+
+
 def dense(queries: DataFrame, vectors: DataFrame, who: Principal | None = None, k: int = 40, digits: int = 10) -> DataFrame:
-    """Cosine top-k of each query (query_id, q) over vectors (chunk_id, vec, access columns) [L2, F2]. Norms are computed
-    once for each side."""
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    """Cosine top-k of each query (query_id, q) over vectors (chunk_id, vec, access columns), all of one width [L2, F2].
+    Vectors are dealt into as many shards as the session has shuffle partitions and packed into blocks; every block of
+    queries meets every shard by an equality on the shard, and a task multiplies two matrices and keeps k for each query,
+    so what is shuffled is blocks and k hits a shard, never pairs."""
+    shards = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     seen = vectors.where(who.predicate()) if who else vectors
-    left = queries.select("query_id", "q", length(F.col("q")).alias("q_norm"))
-    right = seen.select("chunk_id", "vec", "mean_confidence", length(F.col("vec")).alias("v_norm"))
-    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.col("q_norm") * F.col("v_norm")
-    pairs = left.join(right, F.lit(True)).select("query_id", "chunk_id", "mean_confidence", F.round(F.when(norm > 0, dot / norm).otherwise(0.0), digits).alias("score"))
-    return top(pairs, k)
+    blocks = max(1, -(-queries.count() // 1024))
+    asked = _packed(queries.withColumn("mean_confidence", F.lit(0.0)), "query_id", "q", blocks, 1024).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
+    held = _packed(seen, "chunk_id", "vec", shards, 16384)
+    pairs = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(held, "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                qs, ids, confidence = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["confidence"], np.float64)
+                q, v = (np.frombuffer(r[n], np.float64).reshape(len(i), -1) for n, i in (("q_unit", qs), ("unit", ids)))
+                out = []
+                for i, s in zip(qs, np.round(q @ v.T, digits), strict=True):
+                    top_ = np.lexsort((ids, -s))[:k]
+                    out.append((np.full(len(top_), i), ids[top_], confidence[top_], s[top_]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), _HITS, strict=True)], schema=_HITS)
+
+    return top(pairs.mapInArrow(run, "query_id bigint, chunk_id bigint, mean_confidence double, score double"), k)
 
 
 def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
