@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, materialise, mix64, partitions, text_of
+from cairn.llm.common import batch, materialise, mix64, partitions, sorting, text_of
 
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 GAIN, K = 8.0, 1.0
 FOLDS, HELD = 7, 2
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint"
@@ -48,141 +48,167 @@ _OUT = pa.schema(
 )
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PROBE = np.uint32(0xFFFFFFFF)
+#: Log probabilities are sent in steps of a nat.
+_STEPS = 2048
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
+class _Numbers(dict):
+    """word -> its number in a block, from 1 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> blocks: ids, held-out flags, lengths, tokens as the block's word numbers, the words' hashes. Word 0 is
-    the end, whose hash is 0."""
+    """Documents -> blocks: ids, held-out flags, lengths, tokens as the block's word numbers, the words (they compress
+    better than their hashes). Word 0 is the end, whose hash is 0."""
     out = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
     pid, k = TaskContext.get().partitionId(), 0
     ids: list = []
     parts: list[np.ndarray] = []
-    index: dict[bytes, int] = {}
+    index = _Numbers()
+    end = np.zeros(1, np.uint32)
     held = 0
 
     def block() -> pa.RecordBatch:
-        two = np.frombuffer(b"".join([bytes(16), *(xxhash.xxh3_128_digest(w) for w in index)]), np.uint64).reshape(-1, 2)
-        tokens = np.concatenate(parts).astype(np.uint32)
-        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T[:3] if len(index) < 1 << 24 else tokens.view(np.uint8).reshape(-1, 4).T)
-        return batch(out, [[pid << 32 | k], [exchange.pack(ids, np.array([held_out(i) for i in ids]), np.array([len(p) for p in parts]), planes, two[:, 0].copy(), two[:, 1].astype(np.uint32))]])
+        lengths = np.array([len(p) + 1 for p in parts])
+        tokens = np.concatenate([x for p in parts for x in (p, end)])
+        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T[: 3 if len(index) < 1 << 24 else 4])
+        return batch(out, [[pid << 32 | k], [exchange.pack(ids, np.array([held_out(i) for i in ids]), lengths, planes, b"\n".join(index))]])
 
     for b in batches:
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            t = np.fromiter([index.setdefault(w, len(index) + 1) for w in ws], np.int64, len(ws))
             ids.append(i)
-            parts.append(np.append(t, 0))
+            parts.append(np.fromiter(map(index.__getitem__, ws), np.uint32, len(ws)))
             held += len(ws) + 1
             if held >= BLOCK:
                 yield block()
-                ids, parts, index, held, k = [], [], {}, 0, k + 1
+                ids, parts, held, k = [], [], 0, k + 1
+                index = _Numbers()
     if ids:
         yield block()
 
 
+def _bounds(buckets: int) -> list[np.uint64]:
+    return [np.uint64((k << 64) // buckets) for k in range(1, buckets)]
+
+
 class Grams:
-    """The distinct (context, symbol) pairs of a block's positions, in the order in which buckets are asked."""
+    """The distinct (context, symbol) pairs of a block's positions, in the order in which buckets are asked. A symbol that
+    cannot repeat is a probe: it only asks after its context."""
 
     def __init__(self, ctx: np.ndarray, sym: np.ndarray, which_ctx: np.ndarray, which_sym: np.ndarray, n: np.ndarray, lp: np.ndarray, train: np.ndarray, total: int, buckets: int, width: int):
         """ctx, sym: hashes of each position's context and symbol; which_*: their local numbers (symbols below width);
         n: the context's count; lp: log probability of the symbol in the shorter context."""
-        _, first, self.which = np.unique(which_ctx * width + which_sym, return_index=True, return_inverse=True)
+        key = which_ctx.astype(np.uint64) * np.uint64(width) + which_sym.astype(np.uint64)
+        order = sorting(key)
+        key = key[order]
+        new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+        self.which = np.empty(len(key), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = order[new]
+        del order, key
         count = np.bincount(self.which, train, len(first)).astype(np.int64)
-        c, s, ns = ctx[first], sym[first].astype(np.uint32), n[first]
+        c, s, ns, local = ctx[first], sym[first], n[first].astype(np.int64), which_ctx[first]
         split = 1 + (4 * buckets * ns) // max(1, total)
-        wide = np.flatnonzero(split > 1)
         part = s.astype(np.int64) % split
+        wide = np.flatnonzero(split > 1)
         if len(wide):  # a context's every part is asked, so that its sums are whole
-            _, one = np.unique(c[wide], return_index=True)
+            _, one = np.unique(local[wide], return_index=True)
             one = wide[one]
             times = split[one]
             probe = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            c, s, ns = np.append(c, np.repeat(c[one], times)), np.append(s, np.full(len(probe), _PROBE)), np.append(ns, np.repeat(ns[one], times))
+            more = np.repeat(one, times)
+            c, s, ns, local, first = np.append(c, c[more]), np.append(s, np.full(len(probe), _PROBE)), np.append(ns, ns[more]), np.append(local, local[more]), np.append(first, first[more])
             part, count = np.append(part, probe), np.append(count, np.zeros(len(probe), np.int64))
-            first = np.append(first, np.repeat(first[one], times))
         g = mix64(c + part.astype(np.uint64) * _ODD)
-        self.order = np.argsort(g, kind="stable")
-        self.g, self.s, self.n, self.count, self.lp = g[self.order], s[self.order], ns[self.order], count[self.order], lp[first][self.order]
-        new = np.concatenate(([True], self.g[1:] != self.g[:-1])) if len(g) else np.zeros(0, bool)
-        self.heads = np.flatnonzero(new)
-        self.cut = [0, *np.searchsorted(self.g, [np.uint64((k << 64) // buckets) for k in range(1, buckets)]).tolist(), len(g)]
-        _, self.context = np.unique(c, return_inverse=True)  # local context of each entry, unsorted
-        self.entries = len(g)
+        self.order = sorting(g)
+        self.g, self.s, self.local = g[self.order], s[self.order], local[self.order]
+        self.real = self.s != _PROBE
+        self.n, self.count, self.lp = ns[self.order], count[self.order], lp[first][self.order]
+        self.head = np.concatenate((np.ones(min(1, len(g)), bool), self.g[1:] != self.g[:-1]))
+        self.cut = [0, *np.searchsorted(self.g, _bounds(buckets)).tolist(), len(g)]
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
         for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
             if b > a:
-                h = self.heads[(self.heads >= a) & (self.heads < b)]
-                sizes = np.diff(np.append(h, b))
-                yield k, exchange.pack(exchange.squeeze(self.g[h]), exchange.short(sizes), exchange.short(self.n[h]), self.s[a:b], exchange.short(self.count[a:b]), self.lp[a:b].astype(np.float16))
+                h, real = np.flatnonzero(self.head[a:b]), self.real[a:b]
+                sizes = np.add.reduceat(real.astype(np.int64), h)
+                lp = np.clip(np.rint(self.lp[a:b][real] * -_STEPS), 0, 65535).astype(np.uint16)
+                yield k, exchange.pack(exchange.squeeze(self.g[a:b][h]), exchange.short(sizes), exchange.short(self.n[a:b][h]), self.s[a:b][real], exchange.short(self.count[a:b][real]), lp)
 
     def read(self, answers: dict, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each position: n'(s, w), m(s) and the gain of s."""
-        repeats = np.zeros(self.entries, np.int64)
-        m, gain = np.zeros(self.entries), np.zeros(self.entries)
+        repeats = np.zeros(len(self.g), np.int32)
+        m, gain = np.zeros(len(self.g)), np.zeros(len(self.g))
         for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
             if b > a:
                 n, mm, gg = exchange.unpack(answers[round_, k])
-                repeats[a:b] = exchange.long(n)
-                h = self.heads[(self.heads >= a) & (self.heads < b)]
+                repeats[a:b][self.real[a:b]] = exchange.long(n)
+                h = a + np.flatnonzero(self.head[a:b])
                 m[h], gain[h] = exchange.long(mm), gg
-        back = np.empty(self.entries, np.int64)
-        back[self.order] = np.arange(self.entries)
-        context = np.empty(self.entries, np.int64)
-        context[back] = self.context
-        m_of, gain_of = np.bincount(context, m), np.bincount(context, gain)
+        m, gain = np.bincount(self.local, m), np.bincount(self.local, gain)
+        back = np.empty(len(self.g), np.int32)
+        back[self.order] = np.arange(len(self.g), dtype=np.int32)
         at = back[self.which]
-        return repeats[at], m_of[context[at]].astype(np.int64), gain_of[context[at]]
+        context = self.local[at]
+        return repeats[at], m[context].astype(np.int64), gain[context]
 
 
 def merge_grams(blobs: list[bytes]) -> tuple[list[bytes], None]:
     """A bucket's contexts: the counts of repeated continuations summed over the blocks, their sum and their gain."""
     parts = [exchange.unpack(x) for x in blobs]
     sizes = [exchange.long(p[1]) for p in parts]
-    g = np.concatenate([np.repeat(exchange.expand(p[0]), z) for p, z in zip(parts, sizes, strict=True)])
-    n = np.concatenate([np.repeat(exchange.long(p[2]), z) for p, z in zip(parts, sizes, strict=True)])
+    heads, of = np.unique(np.concatenate([exchange.expand(p[0]) for p in parts]), return_inverse=True)
+    n = np.zeros(len(heads), np.int64)
+    n[of] = np.concatenate([exchange.long(p[2]) for p in parts])
+    ctx = np.repeat(of, np.concatenate(sizes))
     s, count, lp = np.concatenate([p[3] for p in parts]), np.concatenate([exchange.long(p[4]) for p in parts]), np.concatenate([p[5] for p in parts])
-    order = np.lexsort((s, g))
-    gs, ss = g[order], s[order]
-    new = np.concatenate(([True], (gs[1:] != gs[:-1]) | (ss[1:] != ss[:-1])))
+    key = ctx.astype(np.uint64) << np.uint64(32) | s
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
     gram = np.cumsum(new) - 1
-    head = order[new]
-    total = np.bincount(gram, count[order]).astype(np.int64)
+    first = order[new]
+    total = np.bincount(gram, count[order], len(first)).astype(np.int64)
     total[total < 2] = 0
-    of = np.cumsum(np.concatenate(([True], g[head][1:] != g[head][:-1]))) - 1
-    m = np.bincount(of, total).astype(np.int64)
+    c = ctx[first]
+    m = np.bincount(c, total, len(heads)).astype(np.int64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(total > 0, total * (np.log(total) - np.log(n[head]) - lp[head].astype(np.float64)), 0.0)
-    gain = np.bincount(of, gain)
-    entry, context = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-    entry[order], context[order] = total[gram], of[gram]
-    out, at = [], 0
+        gain = np.where(total > 0, total * (np.log(total) - np.log(n[c]) + lp[first] / _STEPS), 0.0)
+    gain = np.clip(np.bincount(c, gain, len(heads)), -60_000, 60_000).astype(np.float16)
+    entry = np.empty(len(key), np.int64)
+    entry[order] = total[gram]
+    out, at, head = [], 0, 0
     for z in sizes:
-        heads = at + np.cumsum(z) - z
-        end = at + int(z.sum())
-        out.append(exchange.pack(exchange.short(entry[at:end]), exchange.short(m[context[heads]]), gain[context[heads]].astype(np.float32)))
-        at = end
+        end, last = at + int(z.sum()), head + len(z)
+        out.append(exchange.pack(exchange.short(entry[at:end]), exchange.short(m[of[head:last]]), gain[of[head:last]]))
+        at, head = end, last
     return out, None
 
 
 class Block:
     def __init__(self, payload: bytes, buckets: int):
-        self.ids, self.held, self.lengths, planes, self.hi, self.lo = exchange.unpack(payload)
+        self.ids, self.held, self.lengths, planes, words = exchange.unpack(payload)
+        two = np.frombuffer(b"".join([bytes(16), *map(xxhash.xxh3_128_digest, words.split(b"\n"))] if words else [bytes(16)]), np.uint64).reshape(-1, 2)
+        self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
         self.buckets = buckets
         raw = np.zeros((planes.shape[1], 4), np.uint8)
         raw[:, : planes.shape[0]] = planes.T
-        self.token = raw.reshape(-1).view(np.uint32).astype(np.int64)
+        self.token = raw.reshape(-1).view(np.int32)
         self.train = np.repeat(~self.held, self.lengths)
-        start = np.zeros(len(self.token), np.int64)
-        first = np.cumsum(self.lengths) - self.lengths
-        start[first] = first
-        self.place = np.arange(len(self.token)) - np.maximum.accumulate(start)
-        self.order = np.lexsort((self.lo, self.hi))
-        self.cut = [0, *np.searchsorted(self.hi[self.order], [np.uint64((k << 64) // buckets) for k in range(1, buckets)]).tolist(), len(self.hi)]
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.order = sorting(self.hi)
+        hi = self.hi[self.order]
+        if (hi[1:] == hi[:-1]).any():
+            self.order = np.lexsort((self.lo, self.hi))
+        self.cut = [0, *np.searchsorted(self.hi[self.order], _bounds(buckets)).tolist(), len(self.hi)]
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
         count = np.bincount(self.token[self.train], minlength=len(self.hi))[self.order]
@@ -202,19 +228,20 @@ class Block:
         self.p = ((self.count + 1) / (n + 1 * (v + 1)))[self.token]  # of each token, in its state so far
 
     def _grams(self, ctx: np.ndarray, which: np.ndarray, at: np.ndarray, eligible: np.ndarray, n: np.ndarray) -> Grams:
-        """The positions at with their contexts; a symbol that cannot repeat there only asks after the context."""
         w = self.token[at]
         width = len(self.hi)
-        sym = np.minimum(self.lo[w] ^ (self.hi[w] >> np.uint64(32)).astype(np.uint32), _PROBE - np.uint32(1))
-        lp = np.where(eligible, np.log(self.p[at]), 0.0)
-        return Grams(ctx, np.where(eligible, sym, _PROBE), which, np.where(eligible, w, width), n, lp, self.train[at] & eligible, self.total, self.buckets, width + 1)
+        symbol = np.minimum(self.lo ^ (self.hi >> np.uint64(32)).astype(np.uint32), _PROBE - np.uint32(1))
+        return Grams(ctx, np.where(eligible, symbol[w], _PROBE), which, np.where(eligible, w, width), n, np.log(self.p[at]), self.train[at] & eligible, self.total, self.buckets, width + 1)
 
     def pairs(self) -> Grams:
         """Positions whose last word occurs twice or more in training."""
-        i = np.flatnonzero(self.place >= 1)
-        i = i[self.count[self.token[i - 1]] >= 2]
-        self.at1, a = i, self.token[i - 1]
-        return self._grams(mix64(self.hi[a] ^ _ODD), a, i, self.count[self.token[i]] >= 2, self.count[a])
+        known = self.count >= 2
+        ok = np.zeros(len(self.token), bool)
+        ok[1:] = known[self.token[:-1]]
+        ok[self.first] = False
+        self.at1 = i = np.flatnonzero(ok)
+        a = self.token[i - 1]
+        return self._grams(mix64(self.hi ^ _ODD)[a], a, i, known[self.token[i]], self.count[a])
 
     def _states(self, at: np.ndarray, n: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Scores the positions whose context is a state; returns those."""
@@ -226,19 +253,21 @@ class Block:
     def read_pairs(self, grams: Grams, answers: dict) -> None:
         i = self.at1
         got = grams.read(answers, 1)
-        self.repeats, self.pair, self.state = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64), np.zeros(len(self.token), bool)
+        self.repeats, self.pair, self.state = np.zeros(len(self.token), np.int32), np.zeros(len(self.token), np.int32), np.zeros(len(self.token), bool)
         self.repeats[i], self.pair[i] = got[0], grams.which
         self.state[self._states(i, self.count[self.token[i - 1]], got)] = True
 
     def triples(self) -> Grams:
         """Positions whose last two words are a repeated pair."""
-        i = np.flatnonzero(self.place >= 2)
-        i = i[self.repeats[i - 1] >= 2]
-        self.at2, a, b = i, self.token[i - 2], self.token[i - 1]
-        return self._grams(mix64(mix64(self.hi[a] ^ _ODD) + self.hi[b]), self.pair[i - 1], i, self.repeats[i] >= 2, self.repeats[i - 1])
+        ok = np.zeros(len(self.token), bool)
+        ok[1:] = self.repeats[:-1] >= 2
+        ok[self.first] = False
+        self.at2 = i = np.flatnonzero(ok)
+        a, b = self.token[i - 2], self.token[i - 1]
+        return self._grams(mix64(mix64(self.hi ^ _ODD)[a] + self.hi[b]), self.pair[i - 1], i, self.repeats[i] >= 2, self.repeats[i - 1])
 
     def read_triples(self, grams: Grams, answers: dict) -> None:
-        self.state[self._states(self.at2, self.repeats[self.at2 - 1], grams.read(answers, 2))] = True
+        self.state[self._states(self.at2, self.repeats[self.at2 - 1].astype(np.int64), grams.read(answers, 2))] = True
 
 
 def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -292,7 +321,7 @@ def score(docs: DataFrame) -> DataFrame:
         base = np.log10(block.p)
         block.read_pairs(block.pairs(), answers)
         block.read_triples(block.triples(), answers)
-        first = np.cumsum(block.lengths) - block.lengths
+        first = block.first
         known = (block.count[block.token] > 0).astype(np.int64)
         states = block.state.astype(np.int64)
         columns = [block.ids, block.held, block.lengths, np.add.reduceat(known, first), np.full(len(first), n), np.add.reduceat(base, first), np.add.reduceat(np.log10(block.p), first), np.add.reduceat(states, first)]
