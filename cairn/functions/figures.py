@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 #: Units that make a number a measurement.
 UNITS = (
-    "barg bara bar psig psia psi kpa mpa kgf/cm2 degc degf °c °f celsius mm cm km µm um nm inch inches in ft m years year yr months month weeks week "
-    "days day hours hour hrs hr minutes minute mins min seconds second secs sec tonnes tonne kg g lb litres litre liters liter l m3 rpm hz ppm ppb % "
-    "kw mw kv v a crore lakh inr usd rs"
+    "mm/year mm/yr mm/s m/s km/h m3/h l/min barg bar psig psi kpa mpa kgf/cm2 degc degf °c °f celsius mm cm km µm um nm inch inches in ft m years year yr months "
+    "month weeks week days day hours hour hrs hr minutes minute mins min seconds second secs sec tonnes tonne kg g lb litres litre liters liter l m3 rpm hz ppm "
+    "ppb % kw mw kv v a crore lakh inr usd rs"
 ).split()
-_UNIT = "|".join(sorted((u.replace("/", "/") for u in UNITS), key=len, reverse=True))
+_UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 FIGURE = rf"(?i)(?<![A-Za-z0-9_.\-/])(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+\.\d+|\d+)(?:\s*({_UNIT})\b)?"
 
 

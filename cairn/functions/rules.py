@@ -50,7 +50,12 @@ POLICY = (
         r"\b(?:ignore|bypass|disable|get\s+around|work\s+around)\b[^.?!]{0,30}\b(?:clearance|classification|access\s+control|permission|rbac|restriction)s?\b"
         r"|\b(?:show|list|give|read)\b[^.?!]{0,40}\bdocuments?\b[^.?!]{0,30}\b(?:not\s+cleared|no\s+clearance|above\s+my|beyond\s+my|restricted\s+to\s+others)\b",
     ),
-    ("injection", r"\b(?:ignore|disregard|forget)\b[^.?!]{0,30}\b(?:previous|prior|above|your)\b[^.?!]{0,20}\b(?:instructions?|prompts?|rules?)\b"),
+    (
+        "injection",
+        r"\bignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)\s+(?:instruction|prompt|rule|direction)s?\b"
+        r"|\b(?:reveal|show|print|repeat|output)\b[^.?!]{0,25}\b(?:system\s+prompt|initial\s+instruction|your\s+instructions)\b"
+        r"|\byou\s+are\s+now\s+(?:a|an|in)\b[^.?!]{0,30}\b(?:mode|assistant|model|dan)\b",
+    ),
 )
 
 # --- fixed values: vocabulary of prompt features -----------------------------------------------------------------------

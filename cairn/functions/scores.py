@@ -57,17 +57,16 @@ def heading_level(ratio: Column) -> Column:
 
 def is_heading(text: Column, size: Column, body: Column, bold: Column) -> Column:
     """[A9]"""
-    t = F.trim(text)
-    return (F.length(t).between(1, 160)) & ~t.rlike(r"[.;]$") & t.rlike(r"(?U)[\p{L}\p{N}]") & ((size > body * 1.15) | (bold & t.rlike(r"^\d+(\.\d+)*\.?\s")))
+    return (F.length(text) <= 160) & ~text.rlike(r"[.;]$") & text.rlike(r"[\p{L}\p{N}]") & ((size > body * 1.15) | (bold & text.rlike(r"^\d+(\.\d+)*\s+\S")))
 
 
 def block_type(text: Column, size: Column, body: Column, bold: Column, y0: Column, y1: Column) -> Column:
-    """Heading, header (top 6 %), footer (bottom 6 %), list or paragraph [A11]."""
+    """Heading, header (top 6 %), footer (bottom 6 %), list or paragraph [A11]. y0, y1: shares of the page's height."""
     return (
-        F.when(y1 < 0.06, "header")
+        F.when(is_heading(text, size, body, bold), "heading")
+        .when(y1 < 0.06, "header")
         .when(y0 > 0.94, "footer")
-        .when(is_heading(text, size, body, bold), "heading")
-        .when(F.trim(text).rlike(r"^([-•*]|\d+[.)]|[a-z][.)])\s"), "list")
+        .when(text.rlike(r"^\s*[-•*]\s+|^\s*\(?[a-z0-9]\)\s+"), "list")
         .otherwise("paragraph")
     )
 

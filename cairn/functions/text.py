@@ -103,8 +103,9 @@ def slug(name: Column, mark: str = "_") -> Column:
 
 
 def sheet_name(name: Column) -> Column:
-    """A worksheet's name: without the characters it may not have, 31 at most [H30]."""
-    return F.substring(F.regexp_replace(name, r"[\[\]:*?/\\]", " "), 1, 31)
+    """A worksheet's name: a dash for each character it may not have, 31 at most, never empty [H30]."""
+    clean = F.trim(F.regexp_replace(name, r"[\[\]:*?/\\]", "-"))
+    return F.substring(F.when(clean == "", "Sheet").otherwise(clean), 1, 31)
 
 
 def restore_spaces(text: Column) -> Column:
@@ -208,15 +209,32 @@ def summarised(text: Column, limit: int = 160) -> Column:
 
 
 def escaped_lines(text: Column) -> Column:
-    """Lines of text whose line ends may be written as backslash n, without JSON debris at their ends [H22]."""
-    lines = F.split(F.replace(text, F.lit("\\n"), F.lit("\n")), "\n")
-    return F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r'^[\s"{}\[\],]+|[\s"{}\[\],]+$', ""))), lambda s: s != "")
+    """Lines of text whose line ends may be written as backslash n, without a trailing piece of the JSON around it [H22]."""
+    broken = text
+    for written, mark in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", " ")):
+        broken = F.replace(broken, F.lit(written), F.lit(mark))
 
+    def bare(line: Column) -> Column:
+        cut = F.regexp_replace(F.trim(line), r"""["'`]\s*[}\])][\s"'`,;:}\])]*$""", "")
+        return F.when(F.trim(cut) != "", cut).otherwise(F.trim(line))
 
-def safe_heading(heading: Column, reserved: tuple[str, ...] = ("sources", "references", "provenance")) -> Column:
-    """A heading that is not one of the reserved names [H24]."""
-    clean = F.trim(F.regexp_replace(heading, r"^[#\s\d.]+", ""))
-    return F.when(F.lower(clean).isin(*reserved), F.concat(clean, F.lit(" (report)"))).otherwise(clean)
+    return F.filter(F.transform(F.split(broken, r"\r?\n"), bare), lambda s: s != "")
+
+
+def body_blocks(text: Column) -> Column:
+    """array<struct<type, text>>: list items by their marks, paragraphs otherwise [H23]."""
+    mark = r"^\s*(?:[-*\u2022]|\d+[.)])\s+"
+    return F.transform(escaped_lines(text), lambda s: F.struct(F.when(s.rlike(mark), "bullet").otherwise("paragraph").alias("type"), F.regexp_replace(s, mark, "").alias("text")))
+
+
+#: Headings that only the report itself may have.
+RESERVED_HEADINGS = ("provenance", "sources", "source", "references", "citations")
+
+
+def safe_heading(heading: Column) -> Column:
+    """A heading that does not pass for one of the report's own [H24]."""
+    bare = F.lower(F.rtrim(F.regexp_replace(F.trim(heading), r"^\s*\d+[.)]?\s*", ""), F.lit(":")))
+    return F.when(bare.isin(*RESERVED_HEADINGS), F.concat(F.rtrim(F.trim(heading), F.lit(":")), F.lit(" (as stated in the answer)"))).otherwise(heading)
 
 
 def quantity_text(value: Column, places: int = 4) -> Column:

@@ -68,15 +68,15 @@ def resolve_markers(answers: DataFrame) -> DataFrame:
 
 def coverage(answers: DataFrame) -> DataFrame:
     """Share of an answer's claims that carry a citation [D28, E17]. Paragraphs of four words or more are claims, headings
-    and table rules are not; a paragraph of markers alone belongs to the one before it."""
-    parts = answers.select("answer_id", F.posexplode(F.split("text", r"\n\s*\n|\n(?=\s*[-*|])")).alias("pos", "p")).where(F.trim("p") != "")
-    bare = F.trim(F.regexp_replace("p", r"\[\d+\]|[\s.,;]", ""))
+    are not; a paragraph of markers alone belongs to the one before it. Answers without a claim are no rows."""
+    parts = answers.select("answer_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "p")).where(F.trim("p") != "")
+    bare = F.trim(F.regexp_replace("p", r"\[\d+\]", ""))
     w = Window.partitionBy("answer_id").orderBy("pos")
-    runs = parts.withColumn("g", F.sum(F.when(bare != "", 1).otherwise(0)).over(w))
-    claims = runs.groupBy("answer_id", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), " ").alias("claim"))
-    text = F.trim("claim")
-    is_claim = ~text.startswith("#") & ~text.rlike(r"^\|?[\s:|-]+\|?$") & (F.size(F.split(text, r"\s+")) >= 4)
-    return claims.where(is_claim).groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(text.rlike(r"\[\d+\]")).alias("cited")).withColumn("ratio", F.round(F.col("cited") / F.col("claims"), 10))
+    runs = parts.withColumn("g", F.sum(F.when((bare != "") | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w))
+    claims = runs.groupBy("answer_id", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: F.trim(x["p"])), " ").alias("claim"))
+    body = F.trim(F.regexp_replace("claim", r"\[\d+\]", ""))
+    is_claim = ~body.startswith("#") & (F.regexp_count(body, F.lit("[A-Za-z][A-Za-z'-]*")) >= 4)
+    return claims.where(is_claim).groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("claim").rlike(r"\[\d+\]")).alias("cited")).withColumn("ratio", F.round(F.col("cited") / F.col("claims"), 10))
 
 
 def validate(answers: DataFrame) -> DataFrame:
@@ -89,6 +89,6 @@ def validate(answers: DataFrame) -> DataFrame:
 
 
 def overridden(answers: DataFrame, calculated: DataFrame) -> DataFrame:
-    """Calculated values that an answer does not state within 2 % [J23]. calculated: answer_id, name, value."""
-    said = answers.select("answer_id", F.transform(numbers(F.col("text")), lambda n: n.cast("double")).alias("said"))
+    """Calculated values that no measurement of an answer is within 2 % of [J23]. calculated: answer_id, name, value."""
+    said = answers.select("answer_id", F.transform(figures(F.col("text")), lambda f: f["value"].cast("double")).alias("said"))
     return calculated.join(said, "answer_id").where(~near_any(F.col("value"), F.col("said"))).select("answer_id", "name", "value")

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import engineering, figures, rules, scores, text
+from cairn.functions import engineering, figures, planning, reports, rules, scores, text
 from cairn.functions.access import Principal, clearance_rank, granted, label_rank, missing, outranks, tree
 from cairn.operators import answers, chunking, evaluation, records, retrieval, routing
+from cairn.operators.code_check import code_check
 from cairn.sources import files, tables
 from cairn.streaming import runs
 
@@ -422,7 +423,7 @@ def redacted_maps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.element_at(F.map_values(text.redact_map(F.create_map(key, F.col("event_type")))), 1).alias("masked"))
 
 
-@query("SELECT n_nationkey, trim(regexp_replace(lower(n_comment), '[^a-z0-9]+', '_', 'g'), '_') AS slug, left(regexp_replace(n_comment, '[\\[\\]:*?/\\\\]', ' ', 'g'), 31) AS sheet FROM nation".replace("n_comment", "n_name || ' / Report: 2029'"))
+@query("SELECT n_nationkey, trim(regexp_replace(lower(n_comment), '[^a-z0-9]+', '_', 'g'), '_') AS slug, left(regexp_replace(n_comment, '[\\[\\]:*?/\\\\]', '-', 'g'), 31) AS sheet FROM nation".replace("n_comment", "n_name || ' / Report: 2029'"))
 def name_slugs(spark: SparkSession, d: str) -> DataFrame:
     """H6, H30"""
     name = F.concat("n_name", F.lit(" / Report: 2029"))
@@ -742,3 +743,65 @@ def answer_validation(spark: SparkSession, d: str) -> DataFrame:
     """Assistant messages as answers"""
     m = tables.messages(spark, d).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat("content", F.lit(" [1]")).alias("text"))
     return answers.validate(m)
+
+
+# --- reports, plans, providers [2-H, 2-N, 2-P] ---------------------------------------------------------------------------
+@query(
+    f"""WITH {_FUSED}, t AS (SELECT h.query_id, h.rank, '<source id="' || h.chunk_id || '">' || chr(10) || '[' || h.rank || '] Doc ' || h.chunk_id || ' — page 1' ||
+      CASE WHEN h.c < 0.8 THEN ' — OCR confidence ' || CAST(round(h.c * 100) AS INTEGER) || '%' ELSE '' END || chr(10) || trim(left(d.text, 200)) || chr(10) || '</source>' AS b FROM h JOIN documents d ON d.doc_id = h.chunk_id)
+    SELECT query_id, '<sources>' || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</sources>' AS prompt FROM t GROUP BY query_id"""
+)
+def evidence_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The best passages of each query as a prompt"""
+    c = tables.chunks(spark, d).select("chunk_id", F.concat(F.lit("Doc "), F.col("chunk_id").cast("string")).alias("title"), F.substring("text", 1, 200).alias("text"), "mean_confidence")
+    return reports.evidence_prompt(_hybrid(spark, d).select("query_id", "chunk_id", "rank").join(c, "chunk_id"))
+
+
+@query(
+    """WITH s AS (SELECT source AS title, list_sort(list_distinct(list(CAST(doc_id % 3 AS BIGINT)))) AS p, min(0.5 + (doc_id % 6) / 10.0::DOUBLE) AS c FROM documents WHERE doc_id % 4 > 1 GROUP BY 1)
+    SELECT title, title || CASE WHEN len(p) > 1 THEN ' — pages ' ELSE ' — page ' END || array_to_string(p, ', ') || CASE WHEN c < 0.85 THEN '  [text recognised from a scan at ' || CAST(round(c * 100) AS INTEGER) || '% confidence — verify against the original]' ELSE '' END AS line FROM s"""
+)
+def provenance_lines(spark: SparkSession, d: str) -> DataFrame:
+    """D12, D13, H28, H29, P36, P37"""
+    c = tables.chunks(spark, d).where("chunk_id % 4 > 1").groupBy(F.col("doc_type").alias("title")).agg(F.array_sort(F.collect_set(F.col("chunk_id") % 3)).alias("p"), F.min("mean_confidence").alias("c"))
+    return c.select("title", reports.source_line(F.col("title"), F.col("p"), F.col("c")).alias("line"))
+
+
+@query(
+    """WITH r AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, n_name) + 1 AS r FROM nation)
+    SELECT n_regionkey, CAST(r AS INTEGER) AS "row", 1 AS col, 'number' AS kind, CAST(NULL AS VARCHAR) AS text, CAST(n_nationkey AS DOUBLE) AS number FROM r
+    UNION ALL SELECT n_regionkey, CAST(r AS INTEGER), 2, 'text', n_name, NULL FROM r UNION ALL SELECT n_regionkey, CAST(r AS INTEGER), 3, 'formula', '=A' || r || '*2', NULL FROM r"""
+)
+def workbook_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cell grid of a sheet for each region"""
+    return reports.cells(tables.table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name"), "n_regionkey", ["n_nationkey", "n_name"], {"double": "=A{row}*2"})
+
+
+@query()
+def planner_output(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of a planner, repaired"""
+    m = tables.messages(spark, d).where("role = 'user'")
+    intent = F.element_at(F.array(*map(F.lit, ("retrieve", "synthesize", "tool", "dance"))), (F.col("turn") % 4 + 1).cast("int"))
+    raw = F.when(F.col("conv_id") % 7 == 0, "no json").otherwise(F.concat(F.lit('{"steps":[{"id":"a","intent":"synthesize"},{"id":"b","intent":"'), intent, F.lit('","tool":"artifact.docx"},{"id":"c","intent":"retrieve"}],"rationale":"r"}')))
+    plan = planning.parse_plan(raw, F.array(F.lit("artifact.docx"), F.lit("calc")), F.col("content"))
+    return m.select("conv_id", "turn", plan.alias("p")).select("conv_id", "turn", F.transform("p.steps", lambda s: s["intent"]).alias("intents"), F.size("p.dropped").alias("dropped"), "p.fallback")
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '.example:' || (8000 + n_nationkey) ELSE '10.0.0.' || n_nationkey END AS host, n_nationkey % 2 = 1 AS private,
+    CAST(floor(n_nationkey * 1001 / 4) AS BIGINT) + 800 * (n_nationkey % 3) AS tokens FROM nation WHERE n_name NOT LIKE '% %'"""
+)
+def provider_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """B33, P5, P14"""
+    n = tables.table(spark, d, "nation").where(~F.col("n_name").contains(" "))
+    url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("https://user@"), "n_name", F.lit(".example:"), (8000 + F.col("n_nationkey")).cast("string"), F.lit("/v1"))).otherwise(F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")))
+    host = planning.host_of(url)
+    return n.select("n_nationkey", host.alias("host"), planning.is_private(host).alias("private"), planning.prompt_tokens(F.col("n_nationkey") * 1001, F.col("n_nationkey") % 3).alias("tokens"))
+
+
+@query()
+def checked_code(spark: SparkSession, d: str) -> DataFrame:
+    """Code that is parsed and judged, never run"""
+    m = tables.messages(spark, d).where("role = 'user'")
+    line = F.element_at(F.array(*map(F.lit, ("import os\nprint(1)", "import socket", "eval('1')", "x = (", "().__class__"))), (F.col("turn") % 5 + 1).cast("int"))
+    return m.select("conv_id", "turn", code_check(line).alias("r")).select("conv_id", "turn", "r.*")

@@ -6,9 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import engineering, figures, rules, scores, text
+from cairn.functions import engineering, figures, planning, reports, rules, scores, text
 from cairn.functions.access import Principal, clearance_rank, label_rank
 from cairn.operators import answers, chunking, evaluation, records, routing
+from cairn.operators.code_check import inspected
 from cairn.sources import files
 
 
@@ -232,3 +233,61 @@ def test_snippets_and_features_match_python(spark):
 def test_tiles_cover(spark):
     boxes = one(spark, scores.tiles(F.lit(2200), F.lit(1500)))[0]
     assert {(b["x0"], b["y0"]) for b in boxes} == {(x, y) for x in (0, 896, 1792) for y in (0, 896)}
+
+
+def test_leaked_json_is_cut_and_its_table_kept(spark):
+    body = 'The readings follow:","table":{"headers":["CML","mm"],"rows":[["CML-04",9.2],["CML-05",11]]}'
+    got = one(spark, reports.salvage(F.lit(body)), reports.salvage(F.lit("plain prose, with \"quotes\".")))
+    assert (got[0]["prose"], got[0]["headers"], got[0]["rows"]) == ("The readings follow:", ["CML", "mm"], [["CML-04", "9.2"], ["CML-05", "11"]])
+    assert not got[1]["leaked"] and got[1]["prose"] == 'plain prose, with "quotes".' and got[1]["rows"] == []
+
+
+def test_report_markers_and_lines(spark):
+    got = one(
+        spark, reports.checked_markers(F.lit("A [1] and [7] ."), 3), reports.section_trail(F.lit("text"), F.array(F.lit(3), F.lit(1), F.lit(0))),
+        reports.reference_line(F.lit(""), F.lit("d1"), F.lit(4), F.array(F.lit("A"), F.lit("B")), F.lit("x" * 150)), text.safe_heading(F.lit("7. Provenance")), text.safe_heading(F.lit("Findings:")),
+        reports.slides(F.array(*map(F.lit, range(9)))), reports.cut_rows(F.array(*map(F.lit, range(13)))),
+        reports.expectation(F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("no data")),
+    )
+    assert (got[0]["text"], got[0]["cited"], got[0]["unresolved"]) == ("A [1] and.", [1], ["[7]"])
+    assert got[1] == "[1][3]" and got[2] == 'd1 — page 4 — A › B. "' + "x" * 140 + '…"'
+    assert got[3] == "7. Provenance (as stated in the answer)" and got[4] == "Findings:"
+    assert [len(s) for s in got[5]] == [7, 2] and got[6]["omitted"] == 2 and got[7] == "Should refuse — no data"
+
+
+def test_lines_and_blocks(spark):
+    got = values(spark, text.escaped_lines, ['Key:\\n- one\n2. two"}]', ""])
+    assert got == [["Key:", "- one", "2. two"], []]
+    assert [(b["type"], b["text"]) for b in values(spark, text.body_blocks, ["Key\n- one\n2. two"])[0]] == [("paragraph", "Key"), ("bullet", "one"), ("bullet", "two")]
+
+
+def test_plans_are_repaired(spark):
+    raw = [
+        '{"steps":[{"id":"a","intent":"retrieve"},{"intent":"synthesize"},{"intent":"synthesize","tool":"artifact.docx"},{"intent":"tool","tool":"artifact.docx"},{"intent":"tool","tool":"rm"},{"intent":"dance"},{"intent":"synthesize","description":"last"}]}',
+        "not json", '{"steps":[{"intent":"retrieve"},{"intent":"synthesize","tool":"null"}]}',
+    ]
+    ask = ["find it", "x", "write a report on V-1201"]
+    df = spark.createDataFrame(list(zip(range(3), raw, ask)), "i int, raw string, ask string")
+    got = [r["p"] for r in df.select("i", planning.parse_plan(F.col("raw"), F.array(F.lit("artifact.docx")), F.col("ask")).alias("p")).orderBy("i").collect()]
+    assert [(s["intent"], s["tool"]) for s in got[0]["steps"]] == [("retrieve", None), ("tool", "artifact.docx"), ("synthesize", None)] and got[0]["dropped"] == ["rm"] and got[0]["steps"][-1]["description"] == "last"
+    assert got[1]["fallback"] and [s["intent"] for s in got[1]["steps"]] == ["retrieve", "synthesize"]
+    assert [(s["intent"], s["tool"]) for s in got[2]["steps"]] == [("retrieve", None), ("tool", "artifact.docx"), ("synthesize", None)]
+
+
+def test_settings_and_hosts(spark):
+    env = F.create_map(F.lit("A"), F.lit("x"))
+    got = one(spark, planning.expanded(F.lit("${A}"), env), planning.expanded(F.lit("${B:-y}"), env), planning.expanded(F.lit("z"), env), planning.host_of(F.lit("redis://u:p@h:6379/0")), planning.is_private(F.lit("8.8.8.8")), planning.expiry_seconds(F.lit("never")))
+    assert tuple(got) == ("x", "y", "z", "h:6379", False, None)
+
+
+def test_code_is_judged_by_its_syntax():
+    assert inspected("import os, json\nos.path.join('a')")[0]
+    for bad in ("import socket", "from urllib import request", "exec('x')", "import os\nos.system('x')", "().__class__", "x = ("):
+        assert not inspected(bad)[0], bad
+
+
+def test_coverage_of_answers(spark):
+    df = spark.createDataFrame([(1, "The limit is two bar per minute.\n\n[1]\n\nThis one cites nothing at all.\n\n# A heading of many words here"), (2, "Hi [1].")], "answer_id bigint, text string")
+    got = {r["answer_id"]: (r["claims"], r["cited"]) for r in answers.coverage(df).collect()}
+    assert got == {1: (2, 1)}
+    assert {r["answer_id"]: r["grounded_ratio"] for r in answers.validate(df).collect()} == {1: 0.5, 2: 1.0}
