@@ -49,8 +49,8 @@ def section_paths(blocks: DataFrame, key: str = "doc_id", levels: int = 6) -> Da
     return out.where("type NOT IN ('heading', 'header', 'footer')").drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def _fold(items: Column, budget: int, join: str) -> Column:
-    """Strings put together, in order, up to a budget of tokens: array<string>."""
+def _fold(items: Column, budget: Column | int, join: str) -> Column:
+    """Strings put together, in order, up to a budget of tokens: array<string>. A string's tokens are estimated by itself."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
     step = lambda s, x: F.when(
         (s["n"] > 0) & (s["n"] + estimated_tokens(x) > budget),
@@ -70,20 +70,25 @@ def split_prose(text: Column, budget: int) -> Column:
 def split_table(text: Column, budget: int) -> Column:
     """Rows packed to the budget, the header row on top of each piece [E6]."""
     rows = F.filter(F.split(text, "\n"), lambda r: F.trim(r) != "")
-    body = _fold(F.slice(rows, 2, 1_000_000), max(1, budget), "\n")
+    body = _fold(F.slice(rows, 2, 1_000_000), F.lit(budget) - F.coalesce(estimated_tokens(F.get(rows, 0)), F.lit(0)), "\n")
     return F.when(F.size(rows) <= 1, F.array(text)).otherwise(F.transform(body, lambda p: F.concat(rows[0], F.lit("\n"), p)))
 
 
+def pieces(kind: Column, text: Column, budget: int) -> Column:
+    """The parts of a block: itself, if it is within the budget [E6, E7]."""
+    return F.when(estimated_tokens(text) <= budget, F.array(text)).when(kind == "table", split_table(text, budget)).otherwise(split_prose(text, budget))
+
+
 def split_long(blocks: DataFrame, budget: int) -> DataFrame:
-    """Blocks above the budget become several [E6, E7]."""
-    parts = F.when(estimated_tokens(F.col("text")) <= budget, F.array("text")).when(F.col("type") == "table", split_table(F.col("text"), budget)).otherwise(split_prose(F.col("text"), budget))
-    return blocks.withColumn("__p", parts).select(*[c for c in blocks.columns if c != "text"], F.posexplode("__p").alias("part", "text"))
+    """Blocks above the budget become several."""
+    parts = blocks.withColumn("__p", pieces(F.col("type"), F.col("text"), budget))
+    return parts.select(*[c for c in blocks.columns if c != "text"], F.posexplode("__p").alias("part", "text"))
 
 
 def pack(items: Column, budget: int, overlap: int = OVERLAP) -> Column:
-    """array<struct<pos, part, text>> -> array of runs within the budget; the tail of a run, up to overlap tokens, opens
+    """array<struct<pos, part, type, text>> -> array of runs within the budget; the tail of a run, up to overlap tokens, opens
     the next [E2, E3]."""
-    kind = "array<struct<pos:bigint,part:int,text:string>>"
+    kind = "array<struct<pos:bigint,part:int,type:string,text:string>>"
     tokens = lambda xs: F.aggregate(xs, F.lit(0), lambda n, b: n + estimated_tokens(b["text"]))
 
     def tail(xs: Column) -> Column:
@@ -110,11 +115,12 @@ def chunk(blocks: DataFrame, key: str = "doc_id", parent: int = PARENT, child: i
     text, tokens [E4, E5, L8]. A parent that is its only child stands alone. blocks: key, pos, type, level, text."""
     if child > parent:
         raise ValueError("a child may not be larger than its parent")  # [L9]
-    one = split_long(section_paths(blocks, key), child)
-    runs = one.groupBy(key, "section", "section_path").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "text"))).alias("items"))
+    one = split_long(section_paths(blocks, key), parent)
+    runs = one.groupBy(key, "section", "section_path").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "type", "text"))).alias("items"))
     parents = runs.select(key, "section", "section_path", F.posexplode(pack(F.col("items"), parent, overlap)).alias("p", "of"))
     text = lambda xs: F.trim(F.array_join(F.transform(xs, lambda b: b["text"]), "\n"))
-    made = parents.select(key, "section", "section_path", "p", text(F.col("of")).alias("text"), pack(F.col("of"), child, overlap).alias("children"))
+    fine = lambda b: F.transform(pieces(b["type"], b["text"], child), lambda t, i: F.struct(b["pos"].alias("pos"), i.alias("part"), b["type"].alias("type"), t.alias("text")))
+    made = parents.select(key, "section", "section_path", "p", text(F.col("of")).alias("text"), pack(F.flatten(F.transform("of", fine)), child, overlap).alias("children"))
     alone = (F.size("children") == 1) & (estimated_tokens(F.col("text")) <= child)
     rows = F.when(alone, F.array(F.struct(F.lit(-1).alias("c"), F.col("text").alias("text")))).otherwise(
         F.concat(F.array(F.struct(F.lit(-1).alias("c"), F.col("text").alias("text"))), F.transform("children", lambda xs, i: F.struct(i.alias("c"), text(xs).alias("text"))))

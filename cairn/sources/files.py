@@ -50,11 +50,11 @@ def looks_like_text(content: Column, sample: int = 4096) -> Column:
     """Non-empty, valid UTF-8 without NUL and with less than 1 % control characters in the sample [A4]. A character cut at
     the sample's end does not count against it."""
     head = F.substring(content, 1, sample)
-    text = F.try_validate_utf8(head.cast("string")) if hasattr(F, "try_validate_utf8") else head.cast("string")
+    text = F.try_validate_utf8(head.cast("string"))
     whole = F.coalesce(*[F.try_validate_utf8(F.substring(content, 1, sample - k).cast("string")) for k in range(4)])
     text = F.when(F.length(content) > sample, whole).otherwise(text)
     control = F.length(F.regexp_replace(text, r"[^\x01-\x08\x0b\x0c\x0e-\x1f]", ""))
-    return F.coalesce((F.length(head) > 0) & ~F.contains(F.hex(text.cast("binary")), F.lit("0000")) & ~F.contains(text, F.lit("\x00")) & (control / F.length(text) < 0.01), F.lit(False))
+    return F.coalesce((F.length(head) > 0) & ~F.contains(text, F.lit("\x00")) & (control / F.length(text) < 0.01), F.lit(False))
 
 
 def sniff(content: Column, name: Column) -> Column:
@@ -141,7 +141,7 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON lines file; blank and broken lines are left out [A25, A26]."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
+    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
@@ -174,4 +174,4 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(lines, r"<[^>]+>", "")
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n\t\r"))

@@ -159,25 +159,25 @@ def test_heading_stack(spark):
 def test_packing_fold(spark):
     est = lambda s: max(1, int(len(s) / 3.6))
     rnd = random.Random(6)
-    cases = [[(k, 0, "x" * rnd.randint(1, 30)) for k in range(rnd.randint(1, 25))] for _ in range(20)]
+    cases = [[(k, 0, "p", "x" * rnd.randint(1, 30)) for k in range(rnd.randint(1, 25))] for _ in range(20)]
 
     def spec(blocks, budget, overlap):
         groups, cur = [], []
         for b in blocks:
-            if cur and sum(est(x[2]) for x in cur) + est(b[2]) > budget:
+            if cur and sum(est(x[3]) for x in cur) + est(b[3]) > budget:
                 groups.append(cur)
                 tail, n = [], 0
                 for x in reversed(cur):
-                    if n + est(x[2]) > overlap:
+                    if n + est(x[3]) > overlap:
                         break
                     tail.insert(0, x)
-                    n += est(x[2])
+                    n += est(x[3])
                 cur = [*tail, b]
             else:
                 cur = [*cur, b]
         return groups + [cur] if cur else groups
 
-    df = spark.createDataFrame(list(enumerate(cases)), "i int, items array<struct<pos:bigint,part:int,text:string>>")
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, items array<struct<pos:bigint,part:int,type:string,text:string>>")
     for r in df.select("i", chunking.pack(F.col("items"), 12, 4).alias("g")).collect():
         assert [[tuple(b) for b in g] for g in r["g"]] == spec(cases[r["i"]], 12, 4)
 
