@@ -108,7 +108,7 @@ def sorting(keys: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> 64-bit hash, remembered up to a limit."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 
