@@ -65,6 +65,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def frugal(df: DataFrame) -> DataFrame:
+    """Arrow batches of 2,000 rows where the session has the default of 10,000: documents are large, and both the JVM and
+    the Python worker hold a batch at once, more than once."""
+    conf = df.sparkSession.conf
+    if conf.get(ROWS, "10000") == "10000":
+        conf.set(ROWS, "2000")
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -148,4 +160,4 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text, so the scan reads no more."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

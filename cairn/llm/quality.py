@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch
+from cairn.llm.common import batch, frugal
 
 #: Common words by language.
 COMMON = {
@@ -197,7 +197,7 @@ def _judged(text: str, lang: str | None, refs: dict) -> tuple:
 
 def judge(docs: DataFrame) -> DataFrame:
     """The base counts, the verdict and both distances for each document (columns doc_id, text, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+    shared = frugal(docs).sparkSession.sparkContext.broadcast(references(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = shared.value
@@ -210,7 +210,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that judge() rejects. Nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+    shared = frugal(docs).sparkSession.sparkContext.broadcast(references(docs))
 
     @F.pandas_udf("boolean")
     def kept(text, lang):  # noqa: ANN001, ANN202

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch, materialise
+from cairn.llm.common import batch, frugal, materialise
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -83,7 +83,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     """Each document's spans with their values' hashes, written to the shared folder: the texts are scanned once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
+    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
     return materialise(rows.mapInArrow(_scan, _FOUND).withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
@@ -116,7 +116,7 @@ def redact(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     where there is one, follows the text. The copied values met in several owners are looked up by a join on each
     span's hash, and come back to the documents by their id and text hash."""
     key = [F.col("doc_id"), F.xxhash64(F.col("text")).alias("__text")]
-    small = docs.select(*key, F.col(owner_col).cast("string").alias("owner"), "text")
+    small = frugal(docs).select(*key, F.col(owner_col).cast("string").alias("owner"), "text")
     spans = "doc_id bigint, __text bigint, owner string, hashes array<binary>"
     out = pa.schema([("doc_id", pa.int64()), ("__text", pa.int64()), ("owner", pa.string()), ("hashes", pa.list_(pa.binary()))])
 
