@@ -1,6 +1,6 @@
 """Exact removal of repeated byte strings by suffix arrays [operator 5].
 
-A byte goes if it is covered by a string of LENGTH bytes that also starts elsewhere. To know that of every start in the
+A byte goes if it is covered by a string of a given length (LENGTH bytes) that also starts elsewhere. To know that of every start in the
 corpus without one suffix array over all of it:
 
 1. Each text is cut into segments. The least hash among a string's GRAM-byte grams depends on that string alone, so equal
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, materialise, mix64, partitions
+from cairn.llm.common import batch, frugal, materialise, mix64, partitions
 from cairn.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM, LONGEST = 400, 32, 1024
@@ -74,11 +74,11 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+def segments(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
     """First start, number of starts, least hash and whether it occurs more than once, of each segment."""
     raw = np.frombuffer(text, np.uint8)
     h = gram_hashes(raw)
-    width = LENGTH - GRAM + 1
+    width = length - GRAM + 1
     least = sliding_least(h, width)
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
     lo = np.concatenate(([0], change))
@@ -94,21 +94,21 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool
     return lo, n, fp, again
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, ths, los, ns, fps, hashes, agains = [], [], [], [], [], [], []
         for i, th, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
-            if len(raw) < LENGTH:
+            if len(raw) < length:
                 continue
-            lo, n, fp, again = segments(raw)
+            lo, n, fp, again = segments(raw, length)
             ids += [i] * len(lo)
             ths += [th] * len(lo)
             los.append(lo)
             ns.append(n)
             fps.append(fp)
             agains += again
-            hashes += [xxhash.xxh3_128_digest(raw[a : a + k + LENGTH - 1]) for a, k in zip(lo.tolist(), n.tolist(), strict=True)]
+            hashes += [xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(lo.tolist(), n.tolist(), strict=True)]
         if ids:
             two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
             yield batch(_SEGMENTS_OUT, [ids, ths, np.concatenate(los).astype(np.int32), np.concatenate(ns).astype(np.int32), np.concatenate(fps).view(np.int64), two[:, 0], two[:, 1], agains])
@@ -120,13 +120,13 @@ _RANGES = "doc_id bigint, th bigint, lo int, n int"
 _RANGES_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, held = [], 0
         for r in b.to_pylist():
             raw = r["text"].encode("utf-8", "surrogatepass")
             for x in r["wanted"]:
-                rows.append((x["fp"], r["doc_id"], r["th"], x["lo"], x["n"], x["twice"], x["hot"], raw[x["lo"] : x["lo"] + x["n"] + LENGTH - 1]))
+                rows.append((x["fp"], r["doc_id"], r["th"], x["lo"], x["n"], x["twice"], x["hot"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]))
                 held += len(rows[-1][-1])
             if held > 4_000_000:
                 yield batch(_BYTES_OUT, list(zip(*rows, strict=True)))
@@ -141,13 +141,13 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def repeated_starts(pieces: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """For each piece, of its first counts[i] starts, whether LENGTH bytes from there on also start elsewhere in the
+def repeated_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each piece, of its first counts[i] starts, whether length bytes from there on also start elsewhere in the
     pieces. Pieces are joined by a byte that UTF-8 has not, which no such string reaches."""
     s = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
     sa = suffix_array(s.astype(np.int64))
     near = permuted_prefixes(s, sa)[sa]
-    group = np.cumsum(near < LENGTH)
+    group = np.cumsum(near < length)
     valid = np.zeros(len(s), bool)
     at = np.cumsum([0, *(len(p) + 1 for p in pieces)])[:-1].tolist()
     for a, k in zip(at, counts, strict=True):
@@ -159,14 +159,14 @@ def repeated_starts(pieces: list[bytes], counts: list[int]) -> list[np.ndarray]:
     return [flag[a : a + k] for a, k in zip(at, counts, strict=True)]
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by fp -> ranges of repeated starts, by pieces of whole fps of about PIECE bytes."""
     held: list[dict] = []
     size = 0
 
     def solve() -> pa.RecordBatch:
         out = []
-        for r, f in zip(held, repeated_starts([r["bytes"] for r in held], [r["n"] for r in held]), strict=True):
+        for r, f in zip(held, repeated_starts([r["bytes"] for r in held], [r["n"] for r in held], length), strict=True):
             if not r["twice"]:
                 out += [(r["doc_id"], r["th"], r["lo"] + a, k) for a, k in _runs(f)]
         return batch(_RANGES_OUT, list(zip(*out, strict=True)) or [[]] * 4)
@@ -182,10 +182,10 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def string_hashes(raw: bytes, n: int) -> np.ndarray:
-    """Two 64-bit hashes of the LENGTH bytes at each of the first n starts, by differences of running sums."""
+def string_hashes(raw: bytes, n: int, length: int = LENGTH) -> np.ndarray:
+    """Two 64-bit hashes of the length bytes at each of the first n starts, by differences of running sums."""
     w = words_at(np.frombuffer(raw, np.uint8))
-    m = LENGTH - 7
+    m = length - 7
     out = np.empty((n, 2), np.uint64)
     i = np.arange(len(w), dtype=np.uint64)
     for k in (0, 1):
@@ -199,7 +199,7 @@ def string_hashes(raw: bytes, n: int) -> np.ndarray:
     return mix64(out.ravel()).reshape(n, 2)
 
 
-def _hot_ranges(hot: DataFrame) -> DataFrame:
+def _hot_ranges(hot: DataFrame, length: int) -> DataFrame:
     """Ranges of repeated starts of the hot segments, by an exchange of hashes between blocks and buckets."""
     spark = hot.sparkSession
     buckets = partitions(spark)
@@ -209,7 +209,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
         pid, k, held = TaskContext.get().partitionId(), 0, []
         for b in batches:
             for r in b.to_pylist():
-                held.append((r["doc_id"], r["th"], r["lo"], r["n"], r["twice"], string_hashes(r["bytes"], r["n"])))
+                held.append((r["doc_id"], r["th"], r["lo"], r["n"], r["twice"], string_hashes(r["bytes"], r["n"], length)))
                 if len(held) == HOT_BLOCK:
                     yield batch(out, [[pid << 32 | k], [exchange.pack(held)]])
                     held, k = [], k + 1
@@ -268,11 +268,11 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
     return exchange.concluded(blocks, exchange.answered(exchange.asked(blocks, ask, 0), merge), finish, _RANGES)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs has doc_id, th and text -> doc_id, th, lo, n: ranges of starts whose strings also start elsewhere."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    cut = materialise(docs.mapInArrow(_cut, _SEGMENTS), "segments")
+    cut = materialise(docs.mapInArrow(lambda it: _cut(it, length), _SEGMENTS), "segments")
     content = cut.groupBy("fp", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "lo")).alias("rep"), F.first("n").alias("n"), F.max("again").alias("again"))
     by_hash = content.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.max("again").alias("any"), F.max("c").alias("most"))
     kept = by_hash.where("contents > 1 OR any OR most > 1").select("fp", "contents", "any")
@@ -280,24 +280,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = cut.join(shared.where("c > 1").select("fp", "a", "b"), ["fp", "a", "b"]).select("doc_id", "th", "lo", "n")
     open_ = shared.where("contents > 1 OR any")
     hot = F.col("contents") > HOT
-    n_hot, size = open_.agg(F.count(F.when(hot, 1)), F.sum(F.when(~hot, F.col("n") + LENGTH - 1))).first()
+    n_hot, size = open_.agg(F.count(F.when(hot, 1)), F.sum(F.when(~hot, F.col("n") + length - 1))).first()
     wanted = open_.groupBy(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")).agg(
         F.collect_list(F.struct(F.col("rep.lo").alias("lo"), "n", "fp", (F.col("c") > 1).alias("twice"), hot.alias("hot"))).alias("wanted")
     )
     found = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
-    pieces = found.select("doc_id", "th", "text", "wanted").mapInArrow(_extract, _BYTES)
+    pieces = found.select("doc_id", "th", "text", "wanted").mapInArrow(lambda it: _extract(it, length), _BYTES)
     if n_hot:
         pieces = materialise(pieces, "pieces")
     shards = max(parts, 1 + (size or 0) // (8 * PIECE))
-    ranges = pieces.where("NOT hot").repartition(shards, "fp").sortWithinPartitions("fp").mapInArrow(_shard, _RANGES)
+    ranges = pieces.where("NOT hot").repartition(shards, "fp").sortWithinPartitions("fp").mapInArrow(lambda it: _shard(it, length), _RANGES)
     if n_hot:
-        ranges = ranges.unionByName(_hot_ranges(pieces.where("hot")))
+        ranges = ranges.unionByName(_hot_ranges(pieces.where("hot"), length))
     return whole.unionByName(ranges)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -306,11 +306,11 @@ def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.join(lists.hint("shuffle_hash"), F.col("__i").eqNullSafe(F.col("__ri")) & (F.col("__t") == F.col("__rt")), "left")
 
 
-def spans(ranges: list[dict] | None) -> list[tuple[int, int]]:
+def spans(ranges: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
     """The maximal removed runs, as (first byte, one past the last)."""
     out: list[list[int]] = []
     for lo, n in sorted((r["lo"], r["n"]) for r in ranges or []):
-        end = lo + n - 1 + LENGTH
+        end = lo + n - 1 + length
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -329,7 +329,7 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 _RESULT_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Of each document: bytes, removed bytes, removed runs and the digest of what is left."""
     rows = keyed(docs)
 
@@ -338,26 +338,26 @@ def digest(docs: DataFrame) -> DataFrame:
             out = []
             for i, text, ranges in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                gone = spans(ranges)
+                gone = spans(ranges, length)
                 out.append((i, len(raw), sum(y - x for x, y in gone), len(gone), hashlib.sha256(kept_bytes(raw, gone)).hexdigest()))
             yield batch(_RESULT_OUT, list(zip(*out, strict=True)) or [[]] * 5)
 
-    joined = _with_ranges(rows.withColumnsRenamed({"doc_id": "__i", "th": "__t"}), repeats(rows))
+    joined = _with_ranges(rows.withColumnsRenamed({"doc_id": "__i", "th": "__t"}), repeats(rows, length))
     return joined.select(F.col("__i").alias("doc_id"), "text", F.col("__ranges").alias("ranges")).mapInArrow(run, _RESULT)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, all rows and columns, with repeated strings removed from text (characters of which only a part is left go
     too), and n_chars, where there is one, of what is left. A null text stays null."""
     text = F.col("text").cast("string")
     marked = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64(text)})
-    joined = _with_ranges(marked, repeats(keyed(docs)))
+    joined = _with_ranges(marked, repeats(keyed(docs), length))
 
     @F.pandas_udf("string")
     def clean(text, ranges):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([None if t is None else t if r is None else kept_bytes(t.encode("utf-8", "surrogatepass"), spans(list(r))).decode("utf-8", "ignore") for t, r in zip(text, ranges, strict=True)], dtype=object)
+        return pd.Series([None if t is None else t if r is None else kept_bytes(t.encode("utf-8", "surrogatepass"), spans(list(r), length)).decode("utf-8", "ignore") for t, r in zip(text, ranges, strict=True)], dtype=object)
 
     out = joined.select(*[F.col(c) if c != "text" else clean("text", "__ranges").alias("text") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -445,7 +445,7 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
     firsts = {i for i, _, c in brute_components(rows, 5, 80, 100) if i == c}
     rows = [r for r in rows if r[0] in firsts]
-    texts = [b.decode("utf-8", "ignore") for b, _, _ in removed([t.encode() for _, t in rows])]
+    texts = [b.decode("utf-8", "ignore") for b, _, _ in removed([t.encode() for _, t in rows], corpus_pipeline.PASSAGE)]
     owners = collections.defaultdict(set)
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
     for (i, _), t in zip(rows, texts):
