@@ -33,7 +33,7 @@ class PieceBpe:
     """The model's pieces and scores are read from its file; its normaliser must be the identity, with a leading mark
     and byte fallback, else this algorithm does not apply."""
 
-    def __init__(self, file: str, limit: int = 400_000):
+    def __init__(self, file: str, limit: int = 800_000):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -51,6 +51,9 @@ class PieceBpe:
             raise ValueError("the vocabulary has pieces that cross words")
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.value = {i: b for b, i in self.byte.items()}
+        #: Neighbouring characters within some piece: no merge ever joins others.
+        self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.singles = {p for p in self.id if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             self.automaton.add_word(p, p)
@@ -78,30 +81,37 @@ class PieceBpe:
         if got is None:
             if len(self.fits) >= self.limit:
                 self.fits.clear()
-            got = self.fits[left, right] = self.merge(left + right) == [left, right]
+            got = self.fits[left, right] = left[-1] + right[0] not in self.inside or self.merge(left + right) == [left, right]
         return got
 
+    def apart(self, segment: str) -> list[str]:
+        """The segment cut where no piece has both neighbours."""
+        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.inside]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])] if cuts else [segment]
+
     def tokens(self, segment: str) -> list[str]:
         """The segment's pieces; a character outside the vocabulary is a piece by itself, compatible with any."""
         n = len(segment)
         last: list[str | None] = [None] * (n + 1)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(segment):
-            ends[end].append(piece)
-        for end in range(n):
-            for piece in ends[end]:
-                start = end + 1 - len(piece)
-                if start and (last[start] is None or not self.compatible(last[start], piece)):
-                    continue
-                if not start and len(piece) > 1 and self.alone(piece) is False:
+        known = self.singles
+        if not known.issuperset(segment):
+            for k, c in enumerate(segment):
+                if c not in known:
+                    last[k + 1] = c
+        get = self.fits.get
+        for end, piece in self.automaton.iter(segment):  # by their ends, so what is before a match is settled
+            if last[end + 1] is not None:
+                continue
+            start = end + 1 - len(piece)
+            if start:
+                before = last[start]
+                if before is None:
                     continue
+                fits = get((before, piece))
+                if fits or fits is None and self.compatible(before, piece):
+                    last[end + 1] = piece
+            elif len(piece) == 1 or self.alone(piece):
                 last[end + 1] = piece
-                break
-            else:
-                if segment[end] not in self.id:
-                    last[end + 1] = segment[end]
-                else:
-                    raise AssertionError("a prefix has no last token")
         out, at = [], n
         while at:
             out.append(last[at])
@@ -175,9 +185,16 @@ class _Segments(dict):
     def __missing__(self, segment: str) -> tuple[str, str]:
         if len(self) >= self.model.limit:
             self.clear()
-        ids = self.model.ids_of(self.lead + segment)
-        text = self.model.text_of(ids)
-        got = self[segment] = (" ".join(map(str, ids)), text)
+        parts = self.model.apart(self.lead + segment) if not segment.isalpha() else ()
+        if len(parts) > 1:
+            m = self.model
+            found = [m.marked[p[1:]] if p[0] == MARK else m.bare[p] for p in parts]
+            # bytes of one character never lie in two parts, so the decoded texts join
+            got = (" ".join([f[0] for f in found]), "".join([f[1] for f in found]))
+        else:
+            ids = self.model.ids_of(self.lead + segment)
+            got = (" ".join(map(str, ids)), self.model.text_of(ids))
+        self[segment] = got
         return got
 
 
