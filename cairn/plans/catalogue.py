@@ -541,7 +541,13 @@ def run_budgets(spark: SparkSession, d: str) -> DataFrame:
     return routing.budget_state(e, 5, 2000, 30).select("run_id", "seq", "calls_used", "tokens_used", "exhausted")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS model, floor(epoch(ts)) AS at, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    r AS (SELECT DISTINCT model, CAST(0 AS BIGINT) AS k, 0 AS n, CAST(0 AS DOUBLE) AS first, false AS open FROM e
+      UNION ALL SELECT e.model, e.k, CASE WHEN e.ok THEN 0 WHEN r.n = 0 OR e.at - r.first > 864000 THEN 1 ELSE r.n + 1 END, CASE WHEN e.ok THEN 0 WHEN r.n = 0 OR e.at - r.first > 864000 THEN e.at ELSE r.first END,
+        NOT e.ok AND (r.open OR CASE WHEN r.n = 0 OR e.at - r.first > 864000 THEN 1 ELSE r.n + 1 END >= 2) FROM r JOIN e ON e.model = r.model AND e.k = r.k + 1)
+    SELECT model, arg_max(n, k) AS failures, arg_max(open, k) AS open FROM r GROUP BY model"""
+)
 def circuit_breakers(spark: SparkSession, d: str) -> DataFrame:
     """E20, M14"""
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("model"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") != "error").alias("ok"))
