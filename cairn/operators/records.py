@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,27 +86,21 @@ def chain_payload(time: str = "ts") -> Column:
 
 
 def append_chain(rows: DataFrame, key: str = "shard") -> DataFrame:
-    """prev_hash and hash of each row, chained by seq within each key [M18, K3]. The chain needs each predecessor's hash, so
-    a key's rows are folded in one task; a log is cut into shards, each a chain of its own, to bound that. seq, payload and
-    the hashes are all that a fold holds."""
-    # a struct array in order, folded into the hashes so far
-    items = F.array_sort(F.collect_list(F.struct("seq", chain_payload().alias("payload"))))
-    folded = F.aggregate(
-        "items",
-        F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>"),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    x["seq"].alias("seq"),
-                    F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS)).alias("prev_hash"),
-                    F.sha2(F.concat(x["payload"], F.lit("|"), F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS))), 256).alias("hash"),
-                )
-            ),
-        ),
-    )
-    chained = rows.groupBy(key).agg(items.alias("items")).select(key, F.explode(folded).alias("c")).select(key, "c.*")
-    return rows.join(chained, [key, "seq"])
+    """prev_hash and hash of each row, chained by seq within each key [M18, K3]. The chain needs each predecessor's hash, so a
+    key's rows are hashed in one task; a log is cut into shards, each a chain of its own, to bound that. Only seq and the
+    payload go there; an array fold would copy the hashes so far at each step, so the shard is an Arrow table."""
+    out = pa.schema([(key, pa.int64()), ("seq", pa.int64()), ("prev_hash", pa.string()), ("hash", pa.string())])
+
+    def chain(table: pa.Table) -> pa.Table:
+        prev, got = GENESIS, []
+        for k, seq, payload in sorted(zip(*(table.column(c).to_pylist() for c in (key, "seq", "payload")), strict=True), key=lambda x: x[1]):
+            h = hashlib.sha256(f"{payload}|{prev}".encode()).hexdigest()
+            got.append((k, seq, prev, h))
+            prev = h
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
+
+    items = rows.select(F.col(key).cast("long").alias(key), F.col("seq").cast("long").alias("seq"), chain_payload().alias("payload"))
+    return rows.join(items.groupBy(key).applyInArrow(chain, f"{key} bigint, seq bigint, prev_hash string, hash string"), [key, "seq"])
 
 
 def verify_chain(chained: DataFrame, key: str = "shard", start_seq: int = 0) -> DataFrame:
