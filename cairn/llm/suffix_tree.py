@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, materialise, mix64, partitions, sorting, text_of
+from cairn.llm.common import batch, materialise, mix64, new_table, partitions, sorting, text_of
 
 BLOCK = 1_500_000
 GAIN, K = 8.0, 1.0
@@ -288,7 +288,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions(spark)
     table = f"cairn_blocks_{uuid.uuid4().hex}"
-    text_of(docs).mapInArrow(_encode, "block bigint, payload binary").write.option("compression", "zstd").bucketBy(buckets, "block").format("parquet").saveAsTable(table)
+    text_of(docs).mapInArrow(_encode, "block bigint, payload binary").write.option("compression", "zstd").option("path", new_table(spark, "blocks")).bucketBy(buckets, "block").format("parquet").saveAsTable(table)
     blocks = spark.table(table)
     words = materialise(exchange.answered(exchange.asked(blocks, lambda _, p: list(Block(p, buckets).ask_words()), 0), _merge_words), "words")
     told = [exchange.unpack(r["blob"]) for r in words.where("block = -1").select("blob").collect()]
