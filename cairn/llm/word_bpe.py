@@ -55,7 +55,7 @@ class _Chunks(dict):
 class WordBpe:
     """lengths: remember only how many ids a chunk has. limit: chunks that a worker remembers besides the frequent."""
 
-    def __init__(self, file: str, frequent: dict | None = None, lengths: bool = False, limit: int = 200_000):
+    def __init__(self, file: str, frequent: dict | None = None, lengths: bool = False, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
