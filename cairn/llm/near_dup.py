@@ -4,8 +4,9 @@ Documents with equal shingle sets form a class. Each class has a signature for e
 minimum hashes; the trees' signatures are sorted over the cluster (a range partitioning, so a large group of like
 signatures is spread), and neighbours in an order whose longest common prefix reaches a depth are candidates. The depth
 adapts to the region: where more than REGION neighbours chain up, longer prefixes are asked for. Candidates' components
-are found; small ones are compared in full, each text sent once; of large ones the runs of sorted neighbours are
-compared, for every tree. Links are confirmed on the full sets of 64-bit shingle hashes, and the confirmed links'
+are found and compared in full: small ones in one piece, each text sent once; of large ones first the runs of sorted
+neighbours, for every tree, which join most of a group, then, block by block, every pair of texts that these links have
+not joined and whose numbers of shingles let them reach the threshold. Links are confirmed on the full sets of 64-bit shingle hashes, and the confirmed links'
 components are the result. Links and components stay in the cluster.
 
 With 16 trees of least depth 4, a pair at similarity 0.85 is missed by all trees with probability 8e-6.
@@ -19,6 +20,7 @@ table gives no rows; other columns are ignored by components() and kept by dedup
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,6 +165,30 @@ def confirmed(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     return out
 
 
+def _unjoined(member: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
+    """s, g: the texts of those large components that the links so far (joined: v, c) leave in several clusters, in pairs
+    of blocks. All but a component's largest cluster are compared with one another and with the largest. Blocks hold
+    about GROUP texts, GROUP_BYTES characters and numbers of shingles that differ by less than den / num; only blocks
+    of the same or neighbouring numbers meet, as no others can hold a link."""
+    width = math.log(den / num) * (1 + 1e-9) if 0 < num < den else 0
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)) if width else F.col("n_shingles") if num >= den else F.lit(0)
+    split = F.col("v").isNull()
+    cl = materialise(
+        member.where("large").join(joined.withColumnRenamed("c", "k"), F.col("s") == F.col("v"), "left").select("s", "c", "size", band.cast("long").alias("band"), F.when(split, F.col("s")).otherwise(F.col("k")).alias("k")),
+        "clusters",
+    )
+    main = cl.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", "k")).alias("top"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1")
+    cl = materialise(cl.join(main, "c").select("s", "c", "size", "band", (F.col("k") != F.col("top.k")).alias("rest")), "unjoined")
+    blocks = cl.groupBy("c", "band", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long").alias("nb"))
+    cl = materialise(cl.join(blocks, ["c", "band", "rest"]).select("s", "c", "band", "rest", F.pmod(F.xxhash64("s"), "nb").alias("no")), "blocks")
+    at = cl.select("c", "band", "rest", "no").distinct()
+    x = at.where("rest").select("c", F.col("band").alias("xb"), F.col("no").alias("xn"), F.explode(F.array(*(F.col("band") + F.lit(k) for k in ((-1, 0, 1) if width or num >= den else (0,))))).alias("band"))
+    pairs = x.join(at, ["c", "band"]).where("NOT rest OR band > xb OR (band = xb AND no >= xn)").withColumn("g", F.xxhash64("c", "xb", "xn", "band", "rest", "no"))
+    pairs = materialise(pairs, "meetings")
+    sides = pairs.select("c", F.col("xb").alias("band"), F.lit(True).alias("rest"), F.col("xn").alias("no"), "g").union(pairs.select("c", "band", "rest", "no", "g")).distinct()
+    return cl.join(sides, ["c", "band", "rest", "no"]).select("s", "g")
+
+
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles and component_id of each row of docs (columns doc_id and text), linking
     documents with den * intersection >= num * union of their n-word shingle sets."""
@@ -170,7 +196,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     sig = materialise(signed(rows, n), "signed")
     classes = materialise(
-        sig.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("size").alias("size"), F.first("sig").alias("sig")), "classes"
+        sig.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("size").alias("size"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes"
     )
     parts = partitions(spark)
     order = classes.select("s", "sig").mapInArrow(_orders, "tree int, key binary, s binary").repartitionByRange(2 * parts, "tree", "key", "s").sortWithinPartitions("tree", "key", "s")
@@ -180,10 +206,10 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     edge = near.where("kind = 1").withColumn("next", F.lead(F.struct("tree", "prefix", F.col("a").alias("s"))).over(w))
     across = edge.where((F.col("g") == 1) & (F.col("next.tree") == F.col("tree")) & (F.col("next.prefix") == F.col("prefix"))).select("a", F.col("next.s").alias("b"))
     links = near.where("kind = 0").select("a", "b").union(across)
-    whole = materialise(connected(links, "candidates").withColumnRenamed("v", "s").join(classes.select("s", "rep", "size"), "s"), "members")
+    whole = materialise(connected(links, "candidates").withColumnRenamed("v", "s").join(classes.select("s", "rep", "size", "n_shingles"), "s"), "members")
     sums = whole.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("bytes"))
     large = (F.col("k") > GROUP) | (F.col("bytes") > GROUP_BYTES)
-    member = materialise(whole.join(sums, "c").select("s", "rep", "c", large.alias("large")), "sized")
+    member = materialise(whole.join(sums, "c").select("s", "rep", "c", "size", "n_shingles", large.alias("large")), "sized")
     text = materialise(
         member.select("s", "c", "large", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t"))
         .hint("shuffle_hash")
@@ -204,8 +230,14 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
         out = confirmed([sets[s] for s in ids], num, den) if len(ids) > 1 else []
         return pa.table([pa.array([ids[i] for i, _ in out], pa.binary()), pa.array([ids[j] for _, j in out], pa.binary())], schema=pair)
 
-    true = groups.groupBy("g").applyInArrow(confirm, "a binary, b binary")
-    joined = connected(true.select("a", "b"), "links")
+    def links_in(groups: DataFrame) -> DataFrame:
+        return groups.groupBy("g").applyInArrow(confirm, "a binary, b binary").select("a", "b")
+
+    joined = connected(links_in(groups), "links")
+    more = materialise(_unjoined(member, joined, num, den), "meet")
+    if not more.isEmpty():
+        late = links_in(text.where("large").select("s", "text").join(more, "s").select("g", "s", "text"))
+        joined = connected(joined.select(F.col("v").alias("a"), F.col("c").alias("b")).union(late), "links")
     least = joined.join(classes.select(F.col("s").alias("v"), "least"), "v").select("v", "c", "least")
     of_component = least.groupBy("c").agg(F.min("least").alias("component"))
     label = least.join(of_component, "c").select(F.col("v").alias("s"), "component")

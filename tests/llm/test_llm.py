@@ -262,6 +262,20 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert near_dup.deduplicate(df, 3, 85, 100).count() == len(set(got.values()))
 
 
+def test_a_star_of_near_copies_is_joined(spark):
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(602)]
+    texts = [" ".join(base)]
+    for _ in range(2400):
+        w = list(base)
+        for at in rnd.sample(range(2, 600, 3), 13):
+            w[at] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = near_dup.components(df, 3, 85, 100).select("component_id").collect()
+    assert len(got) == len(texts) and {r["component_id"] for r in got} == {0}
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r["v"]: r["c"] for r in components.components(e).collect()}
