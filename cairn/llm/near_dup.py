@@ -2,14 +2,15 @@
 
 Documents with equal shingle sets form a class. Each class has a signature for every tree of the forest, a string of
 minimum hashes; the trees' signatures are sorted over the cluster (a range partitioning, so a large group of like
-signatures is spread), and neighbours in an order whose longest common prefix reaches a depth are candidates. The depth
-adapts to the region: where more than REGION neighbours chain up, longer prefixes are asked for. Candidates' components
+signatures is spread), and neighbours in an order whose longest common prefix reaches the least depth are candidates.
+Where more than REGION neighbours chain up, they are cut at longer prefixes into the groups that are compared first; all
+of them stay candidates of one another. Candidates' components
 are found and compared in full: small ones in one piece, each text sent once; of large ones first the runs of sorted
 neighbours, for every tree, which join most of a group, then, block by block, every pair of texts that these links have
 not joined and whose numbers of shingles let them reach the threshold. Links are confirmed on the full sets of 64-bit shingle hashes, and the confirmed links'
 components are the result. Links and components stay in the cluster.
 
-With 16 trees of least depth 4, a pair at similarity 0.85 is missed by all trees with probability 8e-6.
+With 16 trees of least depth 4, a pair is missed by all trees with probability 8e-6 at similarity 0.85, 2e-4 at 0.80.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words has its whole sequence
 as one shingle; ids may be repeated (such rows are documents of their own with one id; equal rows share everything) or
@@ -79,25 +80,27 @@ _PAIRS = "kind int, a binary, b binary, g bigint, tree int, prefix binary, pid b
 _PAIRS_OUT = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("g", pa.int64()), ("tree", pa.int32()), ("prefix", pa.binary()), ("pid", pa.int64())])
 
 
-def _runs(lcp: list[int]) -> Iterator[tuple[int, int]]:
-    """Row ranges [lo, hi) that chain up by common prefixes; lcp[i] is that of rows i and i+1, LEAST at least to chain.
-    A range of more than REGION rows is cut again at the next depth, until MOST."""
+def _runs(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(first, lo, hi): row ranges [lo, hi) that chain up by common prefixes, and the first row of the run they are cut
+    from; lcp[i] is that of rows i and i+1, LEAST at least to chain. A range of more than REGION rows is cut again at the
+    next depth, until MOST; rows alone in such a cut are ranges too."""
 
-    def cut(lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
+    def cut(lo: int, hi: int, depth: int) -> Iterator[tuple[int, int, int]]:
         start = lo
         for i in range(lo, hi):
             if i == hi - 1 or lcp[i] < depth:
+                first = start if depth == LEAST else lo
                 if i + 1 - start > REGION and depth < MOST:
-                    yield from cut(start, i + 1, depth + 1)
-                elif i > start:
-                    yield start, i + 1
+                    yield from ((first, a, b) for _, a, b in cut(start, i + 1, depth + 1))
+                elif i > start or depth > LEAST:
+                    yield first, start, i + 1
                 start = i + 1
 
     yield from cut(0, len(lcp) + 1, LEAST)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tree, key, s) -> kind 0: each row b of a run with the run's first row a and its group g of GROUP
+    """Rows sorted by (tree, key, s) -> kind 0: each row b of a run with the run's first row a (of the least depth) and its group g of GROUP
     neighbours; kind 1: the partition's first and last row."""
     pid = TaskContext.get().partitionId()
     trees, keys, ids = [], [], []
@@ -111,9 +114,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = (k[1:] == k[:-1]) & (np.array(trees[1:]) == np.array(trees[:-1]))[:, None]
     lcp = np.where(same.all(axis=1), MOST, np.argmin(same, axis=1)).tolist() if len(ids) > 1 else []
     out = []
-    for lo, hi in _runs(lcp):
+    for first, lo, hi in _runs(lcp):
         for i in range(lo, hi):
-            out.append((0, ids[lo], ids[i], pid << 32 | (lo + (i - lo) // GROUP * GROUP), trees[i], None, pid))
+            out.append((0, ids[first], ids[i], pid << 32 | (lo + (i - lo) // GROUP * GROUP), trees[i], None, pid))
     for i, at in ((0, 0), (len(ids) - 1, 1)):
         out.append((1, ids[i], None, at, trees[i], keys[i][: 4 * LEAST], pid))
     for j in range(0, len(out), 20_000):

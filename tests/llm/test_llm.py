@@ -276,6 +276,15 @@ def test_a_star_of_near_copies_is_joined(spark):
     assert len(got) == len(texts) and {r["component_id"] for r in got} == {0}
 
 
+def test_a_cut_run_stays_linked(monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION", 3)
+    lcp = [4, 7, 5, 7, 4, 0, 6, 0, 4, 4, 5, 4, 3]
+    got = list(near_dup._runs(lcp))
+    linked = {i: first for first, lo, hi in got for i in range(lo, hi)}
+    assert linked == {i: 0 for i in range(6)} | {6: 6, 7: 6} | {i: 8 for i in range(8, 13)}
+    assert sum(hi - lo for _, lo, hi in got) == len(linked)
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r["v"]: r["c"] for r in components.components(e).collect()}
