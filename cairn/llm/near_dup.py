@@ -195,11 +195,16 @@ def _unjoined(member: DataFrame, joined: DataFrame, num: int, den: int) -> DataF
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles and component_id of each row of docs (columns doc_id and text), linking
     documents with den * intersection >= num * union of their n-word shingle sets."""
+    return _labelled(docs, n, num, den).select("doc_id", "th", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of components(), and first: the least (id is null, doc_id, th) of a row's component, null without shingles."""
     spark = docs.sparkSession
     rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     sig = materialise(signed(rows, n), "signed")
     classes = materialise(
-        sig.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("size").alias("size"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes"
+        sig.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.max("size").alias("size"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes"
     )
     parts = partitions(spark)
     order = classes.select("s", "sig").mapInArrow(_orders, "tree int, key binary, s binary").repartitionByRange(2 * parts, "tree", "key", "s").sortWithinPartitions("tree", "key", "s")
@@ -241,18 +246,28 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     if not more.isEmpty():
         late = links_in(text.where("large").select("s", "text").join(more, "s").select("g", "s", "text"))
         joined = connected(joined.select(F.col("v").alias("a"), F.col("c").alias("b")).union(late), "links")
-    least = joined.join(classes.select(F.col("s").alias("v"), "least"), "v").select("v", "c", "least")
-    of_component = least.groupBy("c").agg(F.min("least").alias("component"))
-    label = least.join(of_component, "c").select(F.col("v").alias("s"), "component")
+    least = joined.join(classes.select(F.col("s").alias("v"), "least", "first"), "v").select("v", "c", "least", "first")
+    of_component = least.groupBy("c").agg(F.min("least").alias("component"), F.min("first").alias("of"))
+    label = least.join(of_component, "c").select(F.col("v").alias("s"), "component", "of")
     # a table of its own, so that the join below has exchanges on both sides and a large class of equal texts is split
-    own = materialise(classes.select("s", "least").join(label, "s", "left").select("s", F.coalesce("component", "least").alias("component_id")), "labels")
-    with_set = sig.where("s IS NOT NULL").select("doc_id", "th", "n_shingles", "s").join(own, "s").select("doc_id", "th", "n_shingles", "component_id")
-    without = sig.where("s IS NULL").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = materialise(classes.select("s", "least", "first").join(label, "s", "left").select("s", F.coalesce("component", "least").alias("component_id"), F.coalesce("of", "first").alias("first")), "labels")
+    with_set = sig.where("s IS NOT NULL").select("doc_id", "th", "n_shingles", "s").join(own, "s").select("doc_id", "th", "n_shingles", "component_id", "first")
+    without = sig.where("s IS NULL").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast(with_set.schema["first"].dataType).alias("first"))
     return with_set.unionByName(without)
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns, without the rows whose document is not its component's least. Rows equal in id and text are
-    one document: they are all kept, or all dropped."""
-    gone = components(docs, n, num, den).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__i"), F.col("th").alias("__t")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t")), "left_anti")
+    """docs, all columns, one row of each component: that of the least id (nulls last), then the least text hash. Of rows
+    equal in these the least by the other columns (those that have an order) stays. Rows without shingles are all kept."""
+    rows = _labelled(docs, n, num, den).where("first IS NOT NULL")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    marks = materialise(rows.groupBy(F.col("doc_id").alias("__i"), F.col("th").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.first(stays).alias("__stays")).where("NOT __stays OR __n > 1"), "marks")
+    of = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    once = docs.join(marks.hint("shuffle_hash"), of, "left_anti")
+    again = marks.where("__stays")
+    if again.isEmpty():
+        return once
+    order = [F.col(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    w = Window.partitionBy("__i", "__t").orderBy(*order)
+    least = docs.join(again, of).withColumn("__row", F.row_number().over(w)).where("__row = 1")
+    return once.unionByName(least.select(*docs.columns))

@@ -276,6 +276,21 @@ def test_a_star_of_near_copies_is_joined(spark):
     assert len(got) == len(texts) and {r["component_id"] for r in got} == {0}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rnd = random.Random(8)
+    say = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    a, b, c, d = say(), say(), say(), say()
+    near = lambda w: " ".join([*w, "more"])
+    rows = [(1, " ".join(a), "s2"), (1, " ".join(a), "s1"), (2, " ".join(b), "s1"), (2, near(b), "s1"), (None, " ".join(c), "s1"), (None, near(c), "s1"), (2, " ".join(d), "s1"), (4, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [tuple(r) for r in near_dup.deduplicate(df, 5, 80, 100).collect()]
+    assert len(got) == 5 and (1, " ".join(a), "s1") in got and (4, "", "s1") in got
+    for w in (a, b, c, d):
+        assert sum(t.startswith(" ".join(w)) for _, t, _ in got) == 1
+    left = [r["text"] for r in corpus_pipeline.repeated_substrings(spark, near_dup.deduplicate(df, 5, 80, 100), "").collect()]
+    assert all(any(t.startswith(" ".join(w)) for t in left) for w in (a, b, c, d))
+
+
 def test_a_cut_run_stays_linked(monkeypatch):
     monkeypatch.setattr(near_dup, "REGION", 3)
     lcp = [4, 7, 5, 7, 4, 0, 6, 0, 4, 4, 5, 4, 3]
