@@ -5,7 +5,8 @@ owners and distinct repositories. A value that several owners hold is a copied e
 looks random and is no placeholder looks live. Only the hashes of candidates are shuffled, partly aggregated, never texts.
 
 Base kinds are assign, access and hex; the method adds spans of the kinds jwt, pem and vendor. Offsets are code points,
-ends exclusive. A value hash is the 128-bit start of SHA-256, so secrets are not copied about.
+ends exclusive. A pem span goes through its END line, or without one to the end of the base64 after the header, and its
+value is the key's body without white space, so each key has an ownership of its own. A value hash is the 128-bit start of SHA-256, so secrets are not copied about.
 
 Cases: a null text counts as empty; a null owner is one owner of its own; ids may be null or repeated (a repository is a
 document here, known by its id: repeated rows count once in the frequencies, and each row has its result); an empty
@@ -31,17 +32,32 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_SPACE = re.compile(r"(?:\s|\\[nr])+")
+_BLOCK = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]{16,}+={0,2}))*+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,15}={1,2})?")
+#: Characters within which an END line is looked for; a key of 16,384 bits has 12,700.
+PEM_LONGEST = 20_000
 VENDOR = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "vendor")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|redacted|your|xxxx|test|0123456789|abcdef0", re.I)
 #: Owners from which on a value is a copied example, and bits a character of a random-looking value.
 MIN_OWNERS, MIN_BITS = 3, 2.5
+#: Characters of base64 alone from which on a value is no placeholder.
+LONG = 256
 _FOUND = "doc_id bigint, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, hashes array<binary>, random array<boolean>"
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("hashes", pa.list_(pa.binary())), ("random", pa.list_(pa.bool_()))]
 )
 
 
+def _key(text: str, header: re.Match) -> tuple[int, str]:
+    """End and value of the private key that the header opens: the END line's end, or that of the base64 block."""
+    at = header.end()
+    other = text.find("-----BEGIN ", at, at + PEM_LONGEST)
+    stop = text.find(line := header[0].replace("BEGIN", "END", 1), at, other if other >= 0 else at + PEM_LONGEST)
+    end = stop + len(line) if stop >= 0 else _BLOCK.match(text, at).end()
+    return end, _SPACE.sub("", text[at : stop if stop >= 0 else end]) or header[0]
+
+
 def find(text: str | None) -> list[tuple[int, int, int, str]]:
     """(start, kind's number, end, value) of every span, by start, then kind."""
     if not text:
@@ -49,9 +65,11 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
     out = []
     if ":" in text or "=" in text:
         out += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    for kind, pattern, hint in ((1, ACCESS, "AKIA"), (2, HEX, ""), (3, JWT, "eyJ"), (4, PEM, "PRIVATE KEY"), (5, VENDOR, "")):
+    for kind, pattern, hint in ((1, ACCESS, "AKIA"), (2, HEX, ""), (3, JWT, "eyJ"), (5, VENDOR, "")):
         if not hint or hint in text:
             out += [(m.start(), kind, m.end(), m[0]) for m in pattern.finditer(text)]
+    if "PRIVATE KEY" in text:
+        out += [(m.start(), 4, *_key(text, m)) for m in PEM.finditer(text)]
     return sorted(out)
 
 
@@ -59,7 +77,8 @@ def looks_random(value: str) -> bool:
     """Whether the value's characters are spread as a generated secret's are, and it names no placeholder."""
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return bits >= MIN_BITS and not _PLACEHOLDER.search(value)
+    # in a long key's base64 a placeholder's few letters come up by chance
+    return bits >= MIN_BITS and (len(value) > LONG and value.isascii() and _BLOCK.fullmatch(value) is not None or not _PLACEHOLDER.search(value))
 
 
 def spans_text(found: list[tuple[int, int, int, str]]) -> str:

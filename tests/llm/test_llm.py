@@ -446,6 +446,22 @@ def test_copied_examples_and_live_secrets(spark):
     assert out[10]["n_chars"] == len(out[10]["text"])
 
 
+def test_private_keys_are_told_apart(spark):
+    rnd = random.Random(6)
+    body = lambda: "\n".join("".join(rnd.choices("ABCDEFGHIJKLMabcdefghijklm0123456789+/", k=64)) for _ in range(12)) + "\nQk9=="
+    keys = [body() for _ in range(5)]
+    keys[1] = keys[1][:70] + "test" + keys[1][74:]
+    pem = lambda k, end=True: "-----BEGIN RSA PRIVATE KEY-----\n" + k + ("\n-----END RSA PRIVATE KEY-----" if end else "")
+    rows = [(i, f"before {pem(keys[i])} after", f"own{i}") for i in range(4)] + [(4, f"before {pem(keys[4], False)}\nafter", "own4")]
+    rows += [(5 + i, f"shared {pem(keys[0][::-1].strip('=').strip())}", f"own{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: (r["n_copied"], r["n_live"]) for r in secrets.scan(df).select("doc_id", *(F.col(c) for c in ("n_copied", "n_live"))).collect()}
+    assert all(got[i][0] == 0 and got[i][1] >= 1 for i in range(5)) and all(got[i][0] >= 1 for i in range(5, 8))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert {out[i] for i in range(4)} == {"before [pem] after"} and out[4] == "before [pem]\nafter"
+    assert all(out[i] == rows[i][1] for i in range(5, 8))
+
+
 def test_licences(docs, empty):
     want = []
     for i, x in pairs():
