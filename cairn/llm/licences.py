@@ -42,6 +42,12 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+TEMPLATES |= {"MIT-paragraph": _MIT[0], "MIT-text": "\n\n".join(("MIT License", *_MIT))}
 THRESHOLD = 0.8
 SCHEMA = "doc_id bigint, licence string, dice double, n_matches bigint, matches string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("n_matches", pa.int64()), ("matches", pa.string())])
@@ -67,8 +73,6 @@ class Matcher:
         for at, (_, _, g) in enumerate(self.templates):
             for x in g:
                 self.having.setdefault(x, []).append(at)
-        # a unit must hold a word of some template's every bigram: the words that open and close bigrams
-        self.hints = re.compile("|".join(sorted({re.escape(w) for _, _, g in self.templates for x in g for w in (x if isinstance(x, tuple) else (x,)) if len(w) > 4}, key=len, reverse=True)) or "$^")
         t = threshold
         self.largest = max(self.sizes, default=0) * (2 - t) / t if t else float("inf")
 
@@ -108,10 +112,7 @@ class Matcher:
         units = [s for s in spans if s[1] > s[0]] + [(a, b) for a, b, n in blocks if n > 1]
         if len(blocks) > 1:
             units.append((0, len(text)))
-        low = text.lower() if len(text.lower()) == len(text) else None
         for a, b in units:
-            if low is not None and not self.hints.search(low, a, b):
-                continue
             got = self.best(text[a:b])
             if got:
                 out.append((a, b, got[1], got[0]))

@@ -477,6 +477,16 @@ def test_licences(docs, empty):
     assert len(got) == len(ROWS) and licences.scan(empty).count() == 0
 
 
+def test_licence_of_short_words_and_whole_text():
+    m = licences.Matcher(licences.TEMPLATES, 0.8)
+    for line in ("CC BY-NC 4.0", "CC BY-SA 4.0"):
+        assert [x[:2] for x in m.matches(line)] == [(0, 12)]
+    first, *rest = licences._MIT
+    assert {x[2] for x in m.matches(f"Some words.\n\n{first}\n\nOther words.")} == {"MIT-paragraph"}
+    wrapped = "\n\n".join(" \n".join(re.findall(r".{1,70}(?:\s|$)", p)) for p in ("Copyright (c) 2020 A. Writer", first, *rest))
+    assert (0, len(wrapped), "MIT-text") in [x[:3] for x in m.matches(wrapped)]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, docs, empty):
     now, left = docs, []
