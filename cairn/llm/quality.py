@@ -5,8 +5,8 @@ the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Ref
 corpus: each language's class histogram is the per-document mean, and its word histogram the summed counts, over all of
 its documents. A verdict needs a minimum length: below it the distances say little and only the base rules decide.
 
-Cases: a null text has no words and fails the base rules; a null or unknown language is compared with all languages
-and takes the smallest distance; ids may be null or repeated; an empty table gives no rows; other columns pass by;
+Cases: a null text has no words and fails the base rules; a null or unknown language is taken for that whose common
+words are nearest (then the nearest classes, then the first in COMMON), and both distances are from it; ids may be null or repeated; an empty table gives no rows; other columns pass by;
 texts are read whole.
 """
 
@@ -191,7 +191,7 @@ def _judged(text: str, lang: str | None, refs: dict) -> tuple:
     dc = dw = 1.0
     if text and langs:
         c, w = histograms(text, ws, langs)
-        dc, dw = min((distance(c, refs[x][0]), distance(w[x], refs[x][1])) for x in langs)
+        dw, dc = min((distance(w[x], refs[x][1]), distance(c, refs[x][0])) for x in langs)
     return n, chars, symbols, lines, repeat, failed, not failed and (not langs or verdict(n, dc, dw)), dc, dw
 
 

@@ -307,25 +307,33 @@ def test_components_of_a_long_path(spark):
 
 
 # --- top-k --------------------------------------------------------------------------------------------------------------------
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rnd.normal(size=16)], 0) for k in range(400)]
     rows += [(400, rows[20][1], 1), (420, rows[20][1], 1), (401, None, 0), (402, [1.0, None], 0), (403, [float("nan")] * 16, 0), (404, [float("inf")] * 16, 0), (440, [2.0, 3.0], 0), (None, rows[0][1], 0), (460, [], 0), rows[5], (480, [1e7] * 16, 0)]
+    rows += [(20, [float(x) for x in rnd.normal(size=16)], 1), (21, rows[40][1], 1)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id bigint, embedding array<double>, label int, rank int, score int")
-    v = {}
-    for i, x, _ in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            v[i] = [math.floor(64 * c) for c in x]
+    v = [(i, [math.floor(64 * c) for c in x]) for i, x, _ in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     want = []
-    for q in v:
+    for q, x in v:
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:20]
-            want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    got = ball_tree.top_k(df, shard_rows=90, block_rows=7).select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+            s = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in v if c != q)[:20]
+            want += [(q, k + 1, c, -n) for k, (n, c) in enumerate(s)]
+    for run in (1, 3):
+        monkeypatch.setattr(ball_tree, "partitions", lambda _, n=run: 5 // n)
+        got = ball_tree.top_k(df, shard_rows=90, block_rows=7).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
     assert ball_tree.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_very_large_components(spark):
+    rows = [(0, [2.0**56, 0.0]), (20, [0.0, 1.0]), (21, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in ball_tree.top_k(df).collect()) == [(0, 1, 20, 0), (0, 2, 21, 0), (20, 1, 21, 8192), (20, 2, 0, 0)]
+    with pytest.raises(Exception, match="64 bits"):
+        ball_tree.top_k(spark.createDataFrame([*rows, (22, [2.0**57, 0.0])], "vec_id bigint, embedding array<double>")).collect()
+
+
 # --- language model -----------------------------------------------------------------------------------------------------------
 def spec_scores(rows):
     docs_ = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
@@ -404,6 +412,46 @@ def test_quality_base(docs, empty):
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def plain_distance(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    h = lambda d: -sum(x * math.log2(x) for x in d if x)
+    return math.sqrt(max(0.0, h([(x + y) / 2 for x, y in zip(p, q)]) - (h(p) + h(q)) / 2))
+
+
+def plain_histograms(text, lang):
+    kind = lambda c: 4 if c in " \t\n\x0b\x0c\r" else 5 if c in ".,;:!?'\"()-" else 6 if c in "#*$%&|<>" else 7 if ord(c) > 0xFFFE else 0 if c.islower() else 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 7
+    n = collections.Counter(map(kind, text))
+    ws = ["".join(c.lower() if c.isascii() else c for c in w).strip(".,;:!?") for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    m = collections.Counter(w for w in ws if w in quality.COMMON[lang])
+    return [n[k] for k in range(8)], [*(m[w] for w in quality.COMMON[lang]), len(ws) - sum(m.values())]
+
+
+@pytest.mark.parametrize("rows", [[(r[0], r[1], r[2]) for r in ROWS], None])
+def test_quality_verdicts(spark, sf, rows):
+    """Both distances and the verdict, languages known, unknown and null, against plain Python."""
+    if rows is None:
+        rows = [(r["doc_id"], r["text"], None if r["doc_id"] % 3 == 0 else "xx" if r["doc_id"] % 3 == 1 else r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    refs = {}
+    for _, x, lang in rows:
+        if x and lang in quality.COMMON and len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= quality.MIN_JUDGED:
+            c, w = plain_histograms(x, lang)
+            got = refs.setdefault(lang, [[0] * 8, [0] * len(w)])
+            got[0] = [a + round(1e6 * b / sum(c)) for a, b in zip(got[0], c)]
+            got[1] = [a + b for a, b in zip(got[1], w)]
+    assert len(refs) > 1
+    want = []
+    for i, x, lang in rows:
+        n, dc, dw = len(re.findall(r"[^\x20\x09-\x0D]+", x or "")), 1.0, 1.0
+        if x:
+            each = [(plain_distance(h[1], refs[k][1]) if sum(h[1]) else 1.0, plain_distance(h[0], refs[k][0])) for k in ([lang] if lang in refs else [k for k in quality.COMMON if k in refs]) for h in [plain_histograms(x, k)]]
+            dw, dc = min(each)
+        want.append((key(i), n, round(dc, 9), round(dw, 9), n < quality.MIN_JUDGED or (dc <= quality.MAX_CLASS and dw <= quality.MAX_WORDS)))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    seen = [(key(r["doc_id"]), r["n_words"], round(r["class_distance"], 9), round(r["word_distance"], 9), not r["base_failed"] and v) for r, v in ((r, r["n_words"] < quality.MIN_JUDGED or (r["class_distance"] <= quality.MAX_CLASS and r["word_distance"] <= quality.MAX_WORDS)) for r in got)]
+    assert all(r["kept"] == s[4] for r, s in zip(got, seen))
+    assert multiset(s[:4] for s in seen) == multiset(w[:4] for w in want)
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 0]), np.array([0, 2.0, 0])
     assert quality.distance(p, p) == 0 and quality.distance(p, q) == pytest.approx(1) and quality.distance(p, np.zeros(3)) == 1.0
