@@ -1,18 +1,19 @@
 """Exact top-k inner products by ball trees [operator 2].
 
-Vectors are dealt into shards by a hash of their id; a ball tree is built for each shard and written to the shared
-folder. Queries go in blocks. Each block first searches one shard, which gives every query a k-th score to beat; then
-every pair of block and shard is searched, the pairs of a block one after the other, and the k-th score found so far is
-carried on. In a tree the surviving (query, node) pairs go down level by level, bounded by q.c + |q| r, and each query
-takes the leaves in order of that bound until it falls below its k-th score. What the pairs return is merged by query.
+Vectors are dealt into shards by a hash of their row; a ball tree is built for each shard and written to the shared
+folder. Queries go in blocks. Each block first searches one shard, which gives every query a k-th score to beat, and
+that score goes with the block to all others. Then shards are dealt out in runs, a task holds the trees of a run, and the
+blocks pass by, each searching the run's trees one after the other and improving its k-th scores on the way. In a tree
+the surviving (query, node) pairs go down level by level, bounded by q.c + |q| r, and each query takes the leaves in
+order of that bound until it falls below its k-th score. What the runs return is merged by query.
 
 Components are floor(64 x) as whole numbers, so scores are exact: in doubles while they stay below 2^53, else in
-Python's integers.
+Python's integers. They are kept and sent in the narrowest type that holds them.
 
 Cases: vectors null or with null or non-finite components, and null ids, take no part; a shorter vector counts as
-filled up with zeros; rows that repeat an id are one vector (the largest, if they differ), and no row with the query's
-id is its candidate; equal scores go to the smaller id; an empty table gives no rows; other columns are ignored. A score
-beyond 64 bits is an error.
+filled up with zeros; rows that repeat an id are rows of their own, as queries (each gets its k best) and as candidates,
+but no row with the query's id is its candidate; equal scores go to the smaller id; an empty table gives no rows; other
+columns are ignored. A component of 2^57 or more in size, whose floor leaves 64 bits, and a score that does, are errors.
 """
 
 from __future__ import annotations
@@ -24,22 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch, materialise
+from cairn.llm.common import batch, materialise, partitions
+from cairn.llm.exchange import pack, unpack
 
-SHARD, BLOCK, LEAF = 4096, 512, 128
-_HITS = "query_id bigint, vec_id bigint, score bigint"
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_BLOB = "shard int, ids binary, vectors binary, n int"
-_BLOB_OUT = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("n", pa.int32())])
+SHARD, BLOCK, LEAF, RUN = 4096, 512, 128, 8
+_HITS = "row bigint, query_id bigint, vec_id bigint, score bigint"
+_OUT = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_TREE = "shard int, tree binary"
+_TREE_OUT = pa.schema([("shard", pa.int32()), ("tree", pa.binary())])
+_BLOCK = "block int, shard int, asked binary, found binary"
+_BLOCK_OUT = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("asked", pa.binary()), ("found", pa.binary())])
 EXACT = 2.0**53
+Best = list[tuple[np.ndarray, np.ndarray]]
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """vec_id and v: floor(64 x) of each component, of the vectors that take part; one row for each id."""
+    """row (a number), vec_id and v: floor(64 x) of each component, of the vectors that take part. The rows' numbers
+    stay only once the result is written."""
     x = F.col(col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & F.col(col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**56))
-    floors = F.transform(x, lambda c: F.floor(c * 64).cast("long"))
-    return vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), floors.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    sound = F.col(id_col).isNotNull() & F.col(col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    floors = F.transform(x, lambda c: F.when(F.abs(c) < 2.0**57, F.floor(c * 64).cast("long")).otherwise(F.raise_error(F.lit("a component times 64 leaves 64 bits")).cast("long")))
+    return vectors.where(sound).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), floors.alias("v"))
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest signed type that holds them."""
+    lo, hi = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max))
 
 
 class BallTree:
@@ -65,16 +77,27 @@ class BallTree:
                 child = len(todo)
                 todo += [(lo, lo + mid), (lo + mid, hi)]
             nodes.append((c, float(d.max()) if len(d) else 0.0, lo, hi, child))
-        self.ids, self.x, self.f = ids[order], x[order], f[order]
+        self.ids, self.x, self.f = ids[order], narrow(x[order]), f[order]
         self.centre = np.array([n[0] for n in nodes])
         self.radius, self.lo, self.hi, self.child = (np.array([n[k] for n in nodes]) for k in (1, 2, 3, 4))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, best: list, k: int) -> None:
-        """best[i]: the i-th query's (scores, ids), both sorted by score, then id; it is improved by this tree's rows."""
+    def packed(self) -> bytes:
+        return pack(self.ids, self.x, self.centre, self.radius, self.lo, self.hi, self.child)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> BallTree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.x, tree.centre, tree.radius, tree.lo, tree.hi, tree.child = unpack(blob)
+        tree.f = tree.x.astype(np.float64)
+        return tree
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, best: Best, k: int, least: np.ndarray) -> None:
+        """best[i]: the i-th query's (scores, ids), both sorted by score, then id; it is improved by this tree's rows.
+        least[i]: a score that k other rows are known to reach; lower ones are of no use."""
         f = q.astype(np.float64)
         norm = np.sqrt((f**2).sum(axis=1))
         exact = float(np.abs(f).max(initial=0)) * float(np.abs(self.f).max(initial=0)) * max(1, f.shape[1]) < EXACT
-        kth = np.array([b[0][k - 1] if len(b[0]) >= k else -np.inf for b in best], np.float64)
+        kth = np.maximum(least, np.nextafter(kth_scores(best, k), -np.inf))
         slack = 1e-9 * (1 + np.abs(self.centre).max(initial=0) + self.radius.max(initial=0)) * (1 + norm.max(initial=0)) * max(1, f.shape[1])
         who, node = np.arange(len(q)), np.zeros(len(q), np.int64)
         above = np.full(len(q), np.inf)
@@ -108,7 +131,7 @@ class BallTree:
                 if exact:
                     s = (f[qs] @ self.f[lo:hi].T).astype(np.int64)
                 else:
-                    s = q[qs].astype(object) @ self.x[lo:hi].astype(object).T
+                    s = q[qs].astype(np.int64).astype(object) @ self.x[lo:hi].astype(np.int64).astype(object).T
                 for i, row in zip(qs, s, strict=True):
                     keep = np.flatnonzero((row >= kth[i]) & (self.ids[lo:hi] != q_ids[i]))
                     if not len(keep):
@@ -118,81 +141,91 @@ class BallTree:
                     top = np.lexsort((ids, -scores))[:k] if exact else np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k])
                     best[i] = (scores[top], ids[top])
                     if len(top) >= k:
-                        kth[i] = scores[top][-1]
+                        kth[i] = max(kth[i], np.nextafter(float(scores[top][-1]), -np.inf))
             turn += 1
 
 
-def _matrix(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+def kth_scores(best: Best, k: int) -> np.ndarray:
+    """Each query's k-th score so far, minus infinity before there are k."""
+    return np.array([float(b[0][k - 1]) if len(b[0]) >= k else -np.inf for b in best], np.float64)
 
 
-def _wide(x: np.ndarray, d: int) -> np.ndarray:
-    return x if x.shape[1] == d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
+def _none(n: int) -> Best:
+    return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n)]
 
 
-def _blobs(rows: DataFrame, by: str) -> DataFrame:
-    """One row for each shard or block: its ids and vectors, filled up with zeros to one width, as 64-bit bytes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        lists = table.column("v").to_pylist()
-        d = max(map(len, lists))
-        x = np.zeros((len(lists), d), np.int64)
-        for k, v in enumerate(lists):
-            x[k, : len(v)] = v
-        shard = table.column(by)[0].as_py()
-        return pa.table([pa.array(c, f.type) for c, f in zip([[shard], [ids[order].tobytes()], [x[order].tobytes()], [len(ids)]], _BLOB_OUT, strict=True)], schema=_BLOB_OUT)
-
-    return rows.groupBy(by).applyInArrow(run, _BLOB)
+def _rows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and vectors (filled up with zeros), by row number."""
+    rows, ids, lists = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    x = np.zeros((len(ids), width), np.int64)
+    at = np.repeat(np.arange(len(ids)), sizes)
+    x[at, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], ids[order], x[order]
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row whose id is divisible by every."""
     v = materialise(quantised(vectors, id_col, col), "vectors")
-    n, m = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    n, m, width = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
+    width = width or 0
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    h = F.xxhash64("vec_id")
-    trees = materialise(_blobs(v.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int")), "shard"), "shards")
-    asked = v.where(F.col("vec_id") % every == 0)
-    block = materialise(_blobs(asked.withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")), "block").withColumnRenamed("shard", "block"), "blocks")
-    # every block's shards in turn, from one of its own on, so that a block's pairs share what they have found
-    run = min(shards, 16)
-    pairs = (
-        block.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        .join(trees, "shard")
-        .withColumn("turn", (F.col("shard") / run).cast("int"))
-        .repartition("block", "turn")
-        .sortWithinPartitions("block", "turn", "shard")
-    )
+    # as many shards in a run as keep all partitions busy, RUN at most
+    run = max(1, min(RUN, shards // partitions(vectors.sparkSession)))
+    runs = -(-shards // run)
+    h = F.xxhash64("row")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, q_ids = None, [], np.zeros(0, np.int64)
-        made: tuple[int, BallTree] | None = None
+    def plant(table: pa.Table) -> pa.Table:
+        _, ids, x = _rows(table, width)
+        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int32()), pa.array([BallTree(ids, x).packed()], pa.binary())], schema=_TREE_OUT)
+
+    def gather(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        rows, ids, x = _rows(table, width)
+        return pa.table([pa.array(c, f.type) for c, f in zip([[block], [block % shards], [pack(rows, ids, narrow(x))], [None]], _BLOCK_OUT, strict=True)], schema=_BLOCK_OUT)
 
-        def found() -> pa.RecordBatch:
-            n = [len(b[0]) for b in best]
-            scores = [int(s) for b in best for s in b[0]]
-            return batch(_OUT, [np.repeat(q_ids, n), np.concatenate([b[1] for b in best]) if best else [], scores])
+    trees = materialise(v.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(plant, _TREE), "trees")
+    asked = v.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(gather, _BLOCK)
 
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's first shard: its k-th scores go into asked, the hits into found."""
+        for b in batches:
+            for r in b.to_pylist():
+                rows, ids, q = unpack(r["asked"])
+                best = _none(len(ids))
+                BallTree.unpacked(r["tree"]).search(ids, q, best, k, np.full(len(ids), -np.inf))
+                yield batch(_BLOCK_OUT, [[r["block"]], [r["shard"]], [pack(rows, ids, q, np.nextafter(kth_scores(best, k), -np.inf))], [pack(best)]])
+
+    begun = materialise(asked.join(trees, "shard").select("block", "shard", "asked", "tree").mapInArrow(begin, _BLOCK), "begun")
+    at = F.col("shard") / run
+    meet = (
+        trees.select(F.floor(at).cast("int").alias("run"), F.lit(0).alias("kind"), "shard", F.col("tree").alias("blob"), F.lit(None).cast("binary").alias("found"))
+        .union(
+            begun.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "block", "shard", "asked", "found")
+            .select("run", (F.col("block") + 1).alias("kind"), "shard", F.col("asked"), F.when(F.floor(at) == F.col("run"), F.col("found")))
+        )
+        .repartition(runs, "run")
+        .sortWithinPartitions("run", "kind", "shard")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, {}
         for b in batches:
             for r in b.to_pylist():
-                if (r["block"], r["turn"]) != at:
-                    if at is not None:
-                        yield found()
-                    at = (r["block"], r["turn"])
-                    q_ids = np.frombuffer(r["q_ids"], np.int64)
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-                x, q = _matrix(r["vectors"], r["n"]), _matrix(r["q"], r["m"])
-                d = max(x.shape[1], q.shape[1])
-                if made is None or made[0] != r["shard"]:
-                    made = (r["shard"], BallTree(np.frombuffer(r["ids"], np.int64), _wide(x, d)))
-                elif made[1].x.shape[1] < d:
-                    made = (r["shard"], BallTree(np.frombuffer(r["ids"], np.int64), _wide(x, d)))
-                made[1].search(q_ids, _wide(q, made[1].x.shape[1]), best, k)
-        if at is not None:
-            yield found()
-
-    hits = pairs.select("block", "turn", "shard", "q_ids", "q", "m", "ids", "vectors", "n").mapInArrow(search, _HITS)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if r["run"] != now:
+                    now, held = r["run"], {}
+                if not r["kind"]:
+                    held[r["shard"]] = BallTree.unpacked(r["blob"])
+                    continue
+                rows, ids, q, least = unpack(r["blob"])
+                best = unpack(r["found"])[0] if r["found"] else _none(len(ids))
+                for shard, tree in held.items():
+                    if shard != r["shard"]:
+                        tree.search(ids, q, best, k, least)
+                n = [len(x[0]) for x in best]
+                yield batch(_OUT, [np.repeat(rows, n), np.repeat(ids, n), np.concatenate([x[1] for x in best]), [int(s) for x in best for s in x[0]]])
+
+    hits = meet.mapInArrow(search, _HITS)
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
