@@ -6,6 +6,7 @@ import atexit
 import gc
 import time
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if the session has none (tests)."""
+    """The cluster's shared checkpoint folder. A local session that has none gets a temporary one; on a cluster, where
+    each executor would write to its own disk, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = got.get() if got.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="cairn-")
@@ -40,7 +45,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() gave and that nothing still to be run reads."""
+    for table in tables:
+        path = _paths.pop(table)
+        _delete(table.sparkSession, path)
+        _written.remove((table.sparkSession, path))
 
 
 def new_table(spark: SparkSession, tag: str) -> str:
@@ -50,13 +65,16 @@ def new_table(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 
@@ -77,6 +95,14 @@ def frugal(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df has not, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

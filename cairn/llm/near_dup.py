@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch, frugal, materialise, partitions, shingles, WordHash, words
+from cairn.llm.common import batch, frugal, materialise, partitions, shingles, unused, WordHash, words
 from cairn.llm.components import components as connected
 
 TREES, LEAST, MOST = 16, 4, 7
@@ -261,13 +261,15 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     equal in these the least by the other columns (those that have an order) stays. Rows without shingles are all kept."""
     rows = _labelled(docs, n, num, den).where("first IS NOT NULL")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    marks = materialise(rows.groupBy(F.col("doc_id").alias("__i"), F.col("th").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.first(stays).alias("__stays")).where("NOT __stays OR __n > 1"), "marks")
-    of = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    once = docs.join(marks.hint("shuffle_hash"), of, "left_anti")
-    again = marks.where("__stays")
+    i, t, rank = (unused(docs, x) for x in ("id_", "text_hash", "rank_"))
+    found = rows.groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.count(F.lit(1)).alias("rows_of"), F.first(stays).alias("stays"))
+    marks = materialise(found.where("NOT stays OR rows_of > 1"), "marks")
+    of = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
+    once = docs.join(marks.select(i, t).hint("shuffle_hash"), of, "left_anti")
+    again = marks.where("stays").select(i, t)
     if again.isEmpty():
         return once
     order = [F.col(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
-    w = Window.partitionBy("__i", "__t").orderBy(*order)
-    least = docs.join(again, of).withColumn("__row", F.row_number().over(w)).where("__row = 1")
+    w = Window.partitionBy(i, t).orderBy(*order)
+    least = docs.join(again, of).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
     return once.unionByName(least.select(*docs.columns))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch, frugal, materialise
+from cairn.llm.common import batch, frugal, materialise, unused
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -134,10 +134,9 @@ def redact(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     """The documents, each span that looks live replaced by [kind]; copied examples stay. All columns are kept; n_chars,
     where there is one, follows the text. The copied values met in several owners are looked up by a join on each
     span's hash, and come back to the documents by their id and text hash."""
-    key = [F.col("doc_id"), F.xxhash64(F.col("text")).alias("__text")]
-    small = frugal(docs).select(*key, F.col(owner_col).cast("string").alias("owner"), "text")
-    spans = "doc_id bigint, __text bigint, owner string, hashes array<binary>"
-    out = pa.schema([("doc_id", pa.int64()), ("__text", pa.int64()), ("owner", pa.string()), ("hashes", pa.list_(pa.binary()))])
+    small = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col(owner_col).cast("string").alias("owner"), "text")
+    spans = "doc_id bigint, th bigint, owner string, hashes array<binary>"
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("owner", pa.string()), ("hashes", pa.list_(pa.binary()))])
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,19 +144,19 @@ def redact(docs: DataFrame, owner_col: str = "source") -> DataFrame:
             for r in b.to_pylist():
                 got = {value_hash(x[3]) for x in find(r["text"]) if looks_random(x[3])}
                 if got:
-                    rows.append((r["doc_id"], r["__text"], r["owner"], sorted(got)))
+                    rows.append((r["doc_id"], r["th"], r["owner"], sorted(got)))
             yield batch(out, list(zip(*rows, strict=True)) or [[]] * 4)
 
-    found = materialise(small.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(live, spans), "redact")
+    found = materialise(small.mapInArrow(live, spans), "redact")
+    i, t, of, th, gone = (unused(docs, n) for n in ("id_", "text_hash", "of_id", "of_text", "gone"))
     hashes = (
-        found.select("doc_id", "__text", F.explode("hashes").alias("hash"))
+        found.select("doc_id", "th", F.explode("hashes").alias("hash"))
         .join(ownership(found).where("not copied").select("hash"), "hash")
-        .groupBy("doc_id", "__text")
-        .agg(F.collect_set("hash").alias("__live"))
-        .withColumnRenamed("doc_id", "__id")
-        .withColumnRenamed("__text", "__of")
+        .groupBy(F.col("doc_id").alias(of), F.col("th").alias(th))
+        .agg(F.collect_set("hash").alias(gone))
     )
-    joined = docs.withColumn("__text", F.xxhash64("text")).join(hashes.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")), "left")
+    keyed = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64("text")})
+    joined = keyed.join(hashes.hint("shuffle_hash"), F.col(i).eqNullSafe(F.col(of)) & (F.col(t) == F.col(th)), "left")
 
     @F.pandas_udf("string")
     def clean(text, hashes):  # noqa: ANN001, ANN202
@@ -165,7 +164,7 @@ def redact(docs: DataFrame, owner_col: str = "source") -> DataFrame:
 
         return pd.Series([t if h is None else _without(t, {bytes(x) for x in h}) for t, h in zip(text, hashes, strict=True)])
 
-    columns = [F.col(c) if c != "text" else F.when(F.col("__live").isNull(), F.col("text")).otherwise(clean("text", "__live")).alias("text") for c in docs.columns]
+    columns = [F.col(c) if c != "text" else F.when(F.col(gone).isNull(), F.col("text")).otherwise(clean("text", gone)).alias("text") for c in docs.columns]
     out_docs = joined.select(*columns)
     return out_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out_docs
 

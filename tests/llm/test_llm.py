@@ -199,11 +199,41 @@ def removed(texts, n=400):
 def test_substring_dedup(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     raw = [(i, x.encode()) for i, x in pairs()]
-    want = [(i, len(b), n, runs, hashlib.sha256(kept).hexdigest()) for (i, b), (kept, n, runs) in zip(raw, removed([b for _, b in raw]))]
+    all_ = [b for _, b in raw]
+    want = [(i, len(b), n, runs, hashlib.sha256(kept).hexdigest(), m, short) for (i, b), (kept, n, runs), (_, m, short) in zip(raw, removed(all_), removed(all_, 256))]
     assert multiset(tuple(r) for r in substring_dedup.digest(docs).collect()) == multiset(want)
     assert substring_dedup.digest(empty).count() == 0
 
 
+def test_passages_and_longer_repeats(spark):
+    """Repeats of just under and just over either length, within and across documents, side by side and overlapping."""
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnopq é") for _ in range(n))
+    p = [say(n) for n in (240, 255, 256, 300, 398, 399, 400, 401, 700)]
+    texts = [say(50) + x + say(60) + y + say(9) for x in p for y in rnd.sample(p, 2)] + [x + say(20) + x[60:] for x in p] + [p[3] + p[6], p[6] + p[3], "ab" * 400, say(300) * 3, p[8][:500] + p[8][200:]]
+    rows = list(enumerate(texts)) + [(5, texts[5]), (None, texts[6]), (None, None)]
+    got = substring_dedup.digest(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    raw = [(t or "").encode() for _, t in rows]
+    want = [(i, len(b), n, runs, hashlib.sha256(kept).hexdigest(), m, short) for (i, _), b, (kept, n, runs), (_, m, short) in zip(rows, raw, removed(raw), removed(raw, 256))]
+    assert multiset(tuple(r) for r in got.collect()) == multiset(want)
+
+
+def test_names_that_clash(spark):
+    """Columns named like the operators' own come through the pipeline's stages as they are."""
+    rnd = random.Random(13)
+    say = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b = say(200), say(80)
+    texts = [a, a + " more", say(30) + " " + b, b + " " + say(30), 'token = "q9Zk3Lm8Xw2Rt7" ' + say(60)]
+    names = ["id_", "text_hash", "rank_", "of_id", "of_text", "gone", "ranges", "th", "s", "first", "stays", "raw", "shorts"]
+    plain = spark.createDataFrame([(k, t, "s1", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, source string, n_chars bigint")
+    wide = plain.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for step in (near_dup.deduplicate, substring_dedup.remove_repeats, secrets.redact):
+        got = step(wide)
+        assert got.columns == wide.columns
+        assert multiset(tuple(r) for r in got.select(plain.columns).collect()) == multiset(tuple(r) for r in step(plain).collect())
+        assert got.select(names).distinct().collect() == [tuple(range(len(names)))]
+
+
 def test_string_hashes_tell_strings_apart():
     rnd = random.Random(4)
     raw = bytes(rnd.randint(97, 99) for _ in range(1500)) + b"q" + bytes(97 for _ in range(900))
@@ -557,7 +587,7 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
     firsts = {i for i, _, c in brute_components(rows, 5, 80, 100) if i == c}
     rows = [r for r in rows if r[0] in firsts]
-    texts = [b.decode("utf-8", "ignore") for b, _, _ in removed([t.encode() for _, t in rows], corpus_pipeline.PASSAGE)]
+    texts = [b.decode("utf-8", "ignore") for b, _, _ in removed([t.encode() for _, t in rows], substring_dedup.PASSAGE)]
     owners = collections.defaultdict(set)
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
     for (i, _), t in zip(rows, texts):
