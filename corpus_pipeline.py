@@ -23,12 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dup.deduplicate(docs, n=5, num=80, den=100)
 
 
-#: Bytes of a repeated passage: about fifty words of short ones.
-PASSAGE = 256
-
-
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(docs, PASSAGE)
+    return substring_dedup.remove_repeats(docs, substring_dedup.PASSAGE)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
