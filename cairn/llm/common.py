@@ -10,7 +10,7 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
@@ -39,23 +39,46 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     only the tasks that read it, not what made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    for _ in range(2):  # the cleaner then drops shuffle files that nothing needs any more; the first time shows it what
+    df.write.option("compression", "zstd").parquet(path)
+    _clean_shuffles(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _clean_shuffles(spark: SparkSession) -> None:
+    """Spark then drops shuffle files that nothing needs any more; the first time shows it what."""
+    for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
+
+
+def parted(df: DataFrame, tag: str, flag: Column) -> tuple[DataFrame, DataFrame]:
+    """As materialise(), for the rows with the flag (a boolean, not null) and those without apart: two tables, each to be
+    released by itself, from one run."""
+    spark, name = df.sparkSession, unused(df, "flag")
+    path = new_table(spark, tag)
+    df.withColumn(name, flag).write.option("compression", "zstd").partitionBy(name).parquet(path)
+    _clean_shuffles(spark)
+    rows = spark.read.schema(df.schema.add(name, "boolean")).parquet(path)
+    out = rows.where(F.col(name)).drop(name), rows.where(~F.col(name)).drop(name)
+    for table, value in zip(out, ("true", "false"), strict=True):
+        _paths[table] = f"{path}/{name}={value}"
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the files of tables that materialise() gave and that nothing still to be run reads."""
+    """Delete the files of tables that materialise() or parted() gave and that nothing still to be run reads."""
     for table in tables:
-        path = _paths.pop(table)
-        _delete(table.sparkSession, path)
-        _written.remove((table.sparkSession, path))
+        forget(table.sparkSession, _paths.pop(table))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
 
 
 def new_table(spark: SparkSession, tag: str) -> str:
@@ -143,6 +166,16 @@ def sorting(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct unsigned keys in order, the place of each key among them, and where each first stands."""
+    order = sorting(keys)
+    s = keys[order]
+    new = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
+    of = np.empty(len(s), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return s[new], of, order[new]
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered up to a limit."""
 

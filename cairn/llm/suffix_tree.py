@@ -1,23 +1,29 @@
 """Probabilistic suffix tree language model over words [operator 1].
 
-The symbols are lower-cased words and one end for each document; contexts are the last word or the last two. A context s
-is a state of the tree if it passes a divergence test against the next shorter one, s': the sum over its repeated
-continuations w of n(s, w) ln(n(s, w) / (n(s) P(w | s'))) is GAIN nats or more. Distributions are smoothed by the shorter
-context's:
+The symbols are lower-cased words and one end for each document; contexts are the last words, as many as it takes. A
+context s that occurs twice or more in training is a state of the tree if it passes a divergence test against the next
+shorter one, s': the sum over its repeated continuations w of n(s, w) ln(n(s, w) / (n(s) P(w | s'))) is GAIN nats or
+more. (The test takes ln P(w | s') in steps of 1/2048 nat.) A state's distribution is smoothed by the shorter context's,
+with as much weight as it has different continuations, T(s):
 
-    P(w | s) = (n'(s, w) + (n(s) - m(s) + K) P(w | s')) / (n(s) + K)
+    P(w | s) = (n(s, w) + T(s) P(w | s')) / (n(s) + T(s))
 
-where n' is n without continuations seen once, m(s) their sum; the root is the add-one unigram distribution. Each is
-a distribution over the training words and the unknown word. A token is scored in the longest state that is a suffix of
-its history.
+Any other context has the distribution of s'; the root is the add-one unigram distribution. Each is a distribution over
+the training words and the unknown word. A token is scored in the longest state that is a suffix of its history.
 
-The corpus is read once into blocks of encoded texts, in a table bucketed by block. Three exchanges (words, pairs,
-triples) count over the corpus what the blocks hold, one binary for each block and bucket; no token or n-gram is a
-shuffled row, and counts below two are never asked for in a longer context. A context that holds a large share of all
-tokens is split over buckets by its continuations. The model stays in the cluster and grows with the corpus; only the
-numbers of tokens and of distinct words come to the driver, summed from one row for each bucket.
+Contexts grow by a word a round. One is left when no longer context can pass the test: of all that end in s, the gain is
+at most the sum over the repeated continuations of n(s, w) (-ln P(w | s)), so below GAIN there is nothing further to
+find. This loses no state, and in repeated text, where the next word is all but certain, it ends within a few words. The
+rounds end when none is left.
 
-Words are told apart by 96-bit hashes, contexts by 64-bit ones.
+The corpus is read once into blocks of encoded texts, in a table bucketed by block. Each round counts by an exchange what
+the blocks hold, one binary for each block and bucket: no token or n-gram is a shuffled row, and contexts known to occur
+less than twice are never asked for. A context that holds a large share of all tokens is split over buckets by its
+continuations. The model stays in the cluster and grows with the corpus; only the numbers of tokens and of distinct words
+come to the driver, summed from one row for each bucket.
+
+Words are told apart by 96-bit hashes, contexts by 64-bit ones, continuations of one context by 40 bits (of a million,
+one pair in all is taken for one with probability 0.4).
 
 Cases: a null or empty text is the end alone; a null id counts as the empty text in the held-out rule; ids may be
 repeated (each row is scored, and counted if it is for training); with no training row N and V are 0 and every token
@@ -28,28 +34,30 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, materialise, mix64, new_table, partitions, sorting, text_of
+from cairn.llm.common import batch, forget, materialise, mix64, new_table, parted, partitions, ranked, release, sorting, text_of
 
 BLOCK = 1_500_000
-GAIN, K = 8.0, 1.0
+GAIN = 8.0
 FOLDS, HELD = 7, 2
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint"
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint, longest_state bigint"
 _OUT = pa.schema(
-    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_states", pa.int64())]
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_states", pa.int64()), ("longest_state", pa.int64())]
 )
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PROBE = np.uint32(0xFFFFFFFF)
 #: Log probabilities are sent in steps of a nat.
 _STEPS = 2048
+#: Bits of a continuation's hash.
+_SYMBOL = 40
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -99,111 +107,144 @@ def _bounds(buckets: int) -> list[np.uint64]:
     return [np.uint64((k << 64) // buckets) for k in range(1, buckets)]
 
 
-class Grams:
-    """The distinct (context, symbol) pairs of a block's positions, in the order in which buckets are asked. A symbol that
-    cannot repeat is a probe: it only asks after its context."""
-
-    def __init__(self, ctx: np.ndarray, sym: np.ndarray, which_ctx: np.ndarray, which_sym: np.ndarray, n: np.ndarray, lp: np.ndarray, train: np.ndarray, total: int, buckets: int, width: int):
-        """ctx, sym: hashes of each position's context and symbol; which_*: their local numbers (symbols below width);
-        n: the context's count; lp: log probability of the symbol in the shorter context."""
-        key = which_ctx.astype(np.uint64) * np.uint64(width) + which_sym.astype(np.uint64)
-        order = sorting(key)
-        key = key[order]
-        new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
-        self.which = np.empty(len(key), np.int32)
-        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
-        first = order[new]
-        del order, key
-        count = np.bincount(self.which, train, len(first)).astype(np.int64)
-        c, s, ns, local = ctx[first], sym[first], n[first].astype(np.int64), which_ctx[first]
-        split = 1 + (4 * buckets * ns) // max(1, total)
-        part = s.astype(np.int64) % split
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers in so many bytes each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widened(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _rounded(p: np.ndarray) -> np.ndarray:
+    """Probabilities with the 36 bits that are kept between rounds."""
+    return ((p.view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16) << np.uint64(16)).view(np.float64)
+
+
+def judged(n: np.ndarray, t: np.ndarray, r: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts are states and whether longer ones may be. n: occurrences, t: different continuations; over the
+    repeated continuations w, r: sum of n(w), a: sum of n(w) (ln n(w) - ln P(w | s')), c: sum of n(w) ln n(w)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        state = (n >= 2) & (a - r * np.log(n) >= GAIN)
+        bound = np.where(state, r * np.log(n + t) - c, a - c)
+        return state, (n >= 2) & (bound >= GAIN - 1e-6)
+
+
+class Level:
+    """The distinct (context, symbol) pairs at a block's live positions, by unit: a context, or one of the parts into
+    which a large one is split by its symbols. Units are in the order in which buckets are asked."""
+
+    def __init__(self, block: Block, depth: int, at: np.ndarray, p: np.ndarray, most: np.ndarray):
+        """at: positions; p: probability of their symbol in the shorter context; most: bounds of the contexts' counts."""
+        self.buckets = block.buckets
+        w, c = block.token[at], block.contexts(at, depth)
+        unit, split = c, 1 + (4 * block.buckets * most) // max(1, block.total)
         wide = np.flatnonzero(split > 1)
-        if len(wide):  # a context's every part is asked, so that its sums are whole
-            _, one = np.unique(local[wide], return_index=True)
-            one = wide[one]
+        more = own = np.zeros(0, np.uint64)
+        if len(wide):  # every part of such a context is asked, so that its sums are whole
+            unit = c.copy()
+            unit[wide] = mix64(c[wide] + (block.symbol[w[wide]] % split[wide].astype(np.uint64) + np.uint64(1)) * _ODD)
+            one = wide[np.unique(c[wide], return_index=True)[1]]
             times = split[one]
-            probe = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            more = np.repeat(one, times)
-            c, s, ns, local, first = np.append(c, c[more]), np.append(s, np.full(len(probe), _PROBE)), np.append(ns, ns[more]), np.append(local, local[more]), np.append(first, first[more])
-            part, count = np.append(part, probe), np.append(count, np.zeros(len(probe), np.int64))
-        g = mix64(c + part.astype(np.uint64) * _ODD)
-        self.order = sorting(g)
-        self.g, self.s, self.local = g[self.order], s[self.order], local[self.order]
-        self.real = self.s != _PROBE
-        self.n, self.count, self.lp = ns[self.order], count[self.order], lp[first][self.order]
-        self.head = np.concatenate((np.ones(min(1, len(g)), bool), self.g[1:] != self.g[:-1]))
-        self.cut = [0, *np.searchsorted(self.g, _bounds(buckets)).tolist(), len(g)]
+            part = np.arange(1, times.sum() + 1) - np.repeat(np.cumsum(times) - times, times)
+            own = np.repeat(c[one], times)
+            more = mix64(own + part.astype(np.uint64) * _ODD)
+        self.units, of, _ = ranked(np.concatenate((unit, more)))
+        self.unit = of[: len(at)]
+        self.wide = np.unique(of[len(at) :])
+        self.whose = np.zeros(len(self.units), np.uint64)
+        self.whose[of[len(at) :]] = own
+        width = len(block.hi)
+        pair, self.pair, first = ranked(self.unit.astype(np.uint64) * np.uint64(width) + w.astype(np.uint64))
+        self.pair_unit = (pair // np.uint64(width)).astype(np.int64)
+        self.symbol = block.symbol[(pair % np.uint64(width)).astype(np.int64)]
+        self.count = np.bincount(self.pair, block.train[at], len(pair)).astype(np.int64)
+        self.lp = np.clip(np.rint(np.log(p[first]) * -_STEPS), 0, 65535).astype(np.uint16)
+        self.cut = [0, *np.searchsorted(self.units, _bounds(self.buckets)).tolist(), len(self.units)]
+        self.pair_cut = np.searchsorted(self.pair_unit, self.cut).tolist()
+
+    def _slices(self) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
+        for k, (a, b, x, y) in enumerate(zip(self.cut, self.cut[1:], self.pair_cut, self.pair_cut[1:])):
+            if b > a:
+                yield k, slice(a, b), slice(x, y), self.wide[(self.wide >= a) & (self.wide < b)]
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
-        for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
-            if b > a:
-                h, real = np.flatnonzero(self.head[a:b]), self.real[a:b]
-                sizes = np.add.reduceat(real.astype(np.int64), h)
-                lp = np.clip(np.rint(self.lp[a:b][real] * -_STEPS), 0, 65535).astype(np.uint16)
-                yield k, exchange.pack(exchange.squeeze(self.g[a:b][h]), exchange.short(sizes), exchange.short(self.n[a:b][h]), self.s[a:b][real], exchange.short(self.count[a:b][real]), lp)
-
-    def read(self, answers: dict, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each position: n'(s, w), m(s) and the gain of s."""
-        repeats = np.zeros(len(self.g), np.int32)
-        m, gain = np.zeros(len(self.g)), np.zeros(len(self.g))
-        for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
-            if b > a:
-                n, mm, gg = exchange.unpack(answers[round_, k])
-                repeats[a:b][self.real[a:b]] = exchange.long(n)
-                h = a + np.flatnonzero(self.head[a:b])
-                m[h], gain[h] = exchange.long(mm), gg
-        m, gain = np.bincount(self.local, m), np.bincount(self.local, gain)
-        back = np.empty(len(self.g), np.int32)
-        back[self.order] = np.arange(len(self.g), dtype=np.int32)
-        at = back[self.which]
-        context = self.local[at]
-        return repeats[at], m[context].astype(np.int64), gain[context]
+        for k, units, pairs, wide in self._slices():
+            sizes = np.bincount(self.pair_unit[pairs] - units.start, minlength=units.stop - units.start)
+            seen = self.count[pairs] > 0
+            yield k, exchange.pack(exchange.squeeze(self.units[units]), exchange.short(sizes), exchange.small(wide - units.start), _narrow(self.symbol[pairs], _SYMBOL // 8), exchange.short(self.count[pairs]), self.lp[pairs][seen])
+
+    def read(self, answers: dict, depth: int) -> tuple[np.ndarray, ...]:
+        """For each position: n(s, w), n(s), T(s), whether s is a state, whether a longer context may be."""
+        total = np.zeros(len(self.pair_unit), np.int64)
+        n, t, flag = np.zeros(len(self.units), np.int64), np.zeros(len(self.units), np.int64), np.zeros(len(self.units), np.uint8)
+        sums = []
+        for k, units, pairs, wide in self._slices():
+            totals, flags, ns, ts, parts = exchange.unpack(answers[depth, k])
+            total[pairs], flag[units], n[units] = exchange.long(totals), flags, exchange.long(ns)
+            t[units][flags & 1 > 0] = exchange.long(ts)
+            sums.append(parts)
+        if len(self.wide):
+            whose, of = np.unique(self.whose[self.wide], return_inverse=True)
+            whole = np.stack([np.bincount(of, x, len(whose)) for x in np.concatenate(sums).T])
+            state, more = judged(*whole)
+            n[self.wide], t[self.wide] = whole[0][of], whole[1][of]
+            flag[self.wide] = (state + 2 * more)[of]
+        u = self.unit
+        return total[self.pair], n[u], t[u], flag[u] & 1 > 0, flag[u] & 2 > 0
 
 
 def merge_grams(blobs: list[bytes]) -> tuple[list[bytes], None]:
-    """A bucket's contexts: the counts of repeated continuations summed over the blocks, their sum and their gain."""
+    """A bucket's units: counts summed over the blocks, and what the divergence test says."""
     parts = [exchange.unpack(x) for x in blobs]
     sizes = [exchange.long(p[1]) for p in parts]
-    heads, of = np.unique(np.concatenate([exchange.expand(p[0]) for p in parts]), return_inverse=True)
-    n = np.zeros(len(heads), np.int64)
-    n[of] = np.concatenate([exchange.long(p[2]) for p in parts])
-    ctx = np.repeat(of, np.concatenate(sizes))
-    s, count, lp = np.concatenate([p[3] for p in parts]), np.concatenate([exchange.long(p[4]) for p in parts]), np.concatenate([p[5] for p in parts])
-    key = ctx.astype(np.uint64) << np.uint64(32) | s
-    order = np.argsort(key)
-    key = key[order]
-    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
-    gram = np.cumsum(new) - 1
-    first = order[new]
-    total = np.bincount(gram, count[order], len(first)).astype(np.int64)
-    total[total < 2] = 0
-    c = ctx[first]
-    m = np.bincount(c, total, len(heads)).astype(np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(total > 0, total * (np.log(total) - np.log(n[c]) + lp[first] / _STEPS), 0.0)
-    gain = np.clip(np.bincount(c, gain, len(heads)), -60_000, 60_000).astype(np.float16)
-    entry = np.empty(len(key), np.int64)
-    entry[order] = total[gram]
+    heads, of, _ = ranked(np.concatenate([exchange.expand(p[0]) for p in parts]))
+    unit = np.repeat(of, np.concatenate(sizes))
+    count = np.concatenate([exchange.long(p[4]) for p in parts])
+    lp = np.zeros(len(count))
+    lp[count > 0] = np.concatenate([p[5] for p in parts]) / _STEPS
+    key = mix64(heads[unit] + np.concatenate([_widened(p[3], _SYMBOL // 8) for p in parts]) * _ODD)
+    order = sorting(key)
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[order][1:] != key[order][:-1])))
+    gram = np.empty(len(key), np.int64)
+    gram[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+    n = np.bincount(gram, count, len(new)).astype(np.int64)
+    minus = np.maximum.reduceat(lp[order], new) if len(new) else lp  # the same from all blocks that have counts
+    h, many = unit[order[new]], n >= 2
+    log = np.where(many, n * np.log(np.maximum(n, 1)), 0.0)
+    add = lambda x: np.bincount(h, x, len(heads))
+    sums = np.stack([add(n), add(n > 0), add(np.where(many, n, 0)), add(log + np.where(many, n * minus, 0.0)), add(log)], axis=1)
+    state, more = judged(*sums.T)
     out, at, head = [], 0, 0
-    for z in sizes:
+    for z, p in zip(sizes, parts, strict=True):
         end, last = at + int(z.sum()), head + len(z)
-        out.append(exchange.pack(exchange.short(entry[at:end]), exchange.short(m[of[head:last]]), gain[of[head:last]]))
+        u = of[head:last]
+        flags = (state[u] + 2 * more[u]).astype(np.uint8)
+        out.append(exchange.pack(exchange.short(n[gram[at:end]]), flags, exchange.short(sums[u, 0].astype(np.int64)), exchange.short(sums[u, 1][state[u]].astype(np.int64)), sums[u[p[2].astype(np.int64)]]))
         at, head = end, last
     return out, None
 
 
+#: Positions in order, the probabilities of their symbols, bounds of their contexts' counts, and whether a
+#: shorter context is a state.
+Live = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 class Block:
     def __init__(self, payload: bytes, buckets: int):
         self.ids, self.held, self.lengths, planes, words = exchange.unpack(payload)
         two = np.frombuffer(b"".join([bytes(16), *map(xxhash.xxh3_128_digest, words.split(b"\n"))] if words else [bytes(16)]), np.uint64).reshape(-1, 2)
         self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
-        self.buckets = buckets
+        self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
+        self.buckets, self.total = buckets, 0
         raw = np.zeros((planes.shape[1], 4), np.uint8)
         raw[:, : planes.shape[0]] = planes.T
         self.token = raw.reshape(-1).view(np.int32)
         self.train = np.repeat(~self.held, self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.order = sorting(self.hi)
         hi = self.hi[self.order]
         if (hi[1:] == hi[:-1]).any():
@@ -217,57 +258,31 @@ class Block:
             if b > a:
                 yield k, exchange.pack(exchange.squeeze(hi[a:b]), lo[a:b], exchange.short(count[a:b]))
 
-    def read_words(self, answers: dict, n: int, v: int) -> None:
+    def read_words(self, answers: dict) -> np.ndarray:
+        """Training counts of the block's words."""
         c = np.zeros(len(self.hi), np.int64)
         for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
             if b > a:
                 c[a:b] = exchange.long(exchange.unpack(answers[0, k])[0])
-        self.count = np.empty(len(c), np.int64)
-        self.count[self.order] = c
-        self.total = n
-        self.p = ((self.count + 1) / (n + 1 * (v + 1)))[self.token]  # of each token, in its state so far
-
-    def _grams(self, ctx: np.ndarray, which: np.ndarray, at: np.ndarray, eligible: np.ndarray, n: np.ndarray) -> Grams:
-        w = self.token[at]
-        width = len(self.hi)
-        symbol = np.minimum(self.lo ^ (self.hi >> np.uint64(32)).astype(np.uint32), _PROBE - np.uint32(1))
-        return Grams(ctx, np.where(eligible, symbol[w], _PROBE), which, np.where(eligible, w, width), n, np.log(self.p[at]), self.train[at] & eligible, self.total, self.buckets, width + 1)
-
-    def pairs(self) -> Grams:
-        """Positions whose last word occurs twice or more in training."""
-        known = self.count >= 2
-        ok = np.zeros(len(self.token), bool)
-        ok[1:] = known[self.token[:-1]]
-        ok[self.first] = False
-        self.at1 = i = np.flatnonzero(ok)
-        a = self.token[i - 1]
-        return self._grams(mix64(self.hi ^ _ODD)[a], a, i, known[self.token[i]], self.count[a])
-
-    def _states(self, at: np.ndarray, n: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Scores the positions whose context is a state; returns those."""
-        repeats, m, gain = got
-        is_state = gain >= GAIN
-        self.p[at[is_state]] = ((repeats + (n - m + K) * self.p[at]) / (n + K))[is_state]
-        return at[is_state]
-
-    def read_pairs(self, grams: Grams, answers: dict) -> None:
-        i = self.at1
-        got = grams.read(answers, 1)
-        self.repeats, self.pair, self.state = np.zeros(len(self.token), np.int32), np.zeros(len(self.token), np.int32), np.zeros(len(self.token), bool)
-        self.repeats[i], self.pair[i] = got[0], grams.which
-        self.state[self._states(i, self.count[self.token[i - 1]], got)] = True
-
-    def triples(self) -> Grams:
-        """Positions whose last two words are a repeated pair."""
-        ok = np.zeros(len(self.token), bool)
-        ok[1:] = self.repeats[:-1] >= 2
-        ok[self.first] = False
-        self.at2 = i = np.flatnonzero(ok)
-        a, b = self.token[i - 2], self.token[i - 1]
-        return self._grams(mix64(mix64(self.hi ^ _ODD)[a] + self.hi[b]), self.pair[i - 1], i, self.repeats[i] >= 2, self.repeats[i - 1])
-
-    def read_triples(self, grams: Grams, answers: dict) -> None:
-        self.state[self._states(self.at2, self.repeats[self.at2 - 1].astype(np.int64), grams.read(answers, 2))] = True
+        count = np.empty(len(c), np.int64)
+        count[self.order] = c
+        return count
+
+    def contexts(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Hashes of the depth words before each position."""
+        h = np.full(len(at), depth, np.uint64)
+        for k in range(1, depth + 1):
+            h = mix64(h * _ODD + self.hi[self.token[at - k]])
+        return h
+
+    def longer(self, depth: int, at: np.ndarray, p: np.ndarray, inside: np.ndarray, total: np.ndarray, n: np.ndarray, more: np.ndarray) -> Live:
+        """The positions live at the next depth. total: how often the symbol follows; that of the position before is the
+        count of the next context, where it was live."""
+        before = np.full(len(self.token) + 1, -1, np.int64)
+        before[at + 1] = total
+        most = np.where(before[at] >= 0, np.minimum(before[at], n), n)
+        keep = more & (most >= 2) & (at - self.first[self.doc[at]] > depth)
+        return at[keep], _rounded(p[keep]), most[keep], inside[keep]
 
 
 def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -283,48 +298,95 @@ def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
     return [exchange.pack(exchange.short(x)) for x in np.split(total[group], ends)], exchange.pack(int(total.sum()), int((total > 0).sum()))
 
 
+def _state(block: Block, sums: list[np.ndarray], live: Live) -> bytes:
+    """A block between rounds: sums by document, and the live positions with what is known of them."""
+    at, p, most, inside = live
+    mask = np.zeros(len(block.token), bool)
+    mask[at] = True
+    return exchange.pack(sums, np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(16), 6), exchange.short(most), np.packbits(inside))
+
+
+def _resumed(block: Block, blob: bytes) -> tuple[list[np.ndarray], Live]:
+    sums, mask, p, most, inside = exchange.unpack(blob)
+    p = (_widened(p, 6) << np.uint64(16)).view(np.float64)
+    return sums, (np.flatnonzero(np.unpackbits(mask, count=len(block.token))), p, exchange.long(most), np.unpackbits(inside, count=len(p)) > 0)
+
+
 def score(docs: DataFrame) -> DataFrame:
-    """Base and tree score of each document, learned from those whose crc32(doc_id) mod FOLDS is not HELD."""
+    """Base and tree score of each document, learned from those whose crc32(doc_id) mod FOLDS is not HELD; n_states: tokens
+    scored in a state, longest_state: words of the longest."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    table = f"cairn_blocks_{uuid.uuid4().hex}"
-    text_of(docs).mapInArrow(_encode, "block bigint, payload binary").write.option("compression", "zstd").option("path", new_table(spark, "blocks")).bucketBy(buckets, "block").format("parquet").saveAsTable(table)
-    blocks = spark.table(table)
+    table, path = f"cairn_blocks_{uuid.uuid4().hex}", new_table(spark, "blocks")
+    text_of(docs).mapInArrow(_encode, "block bigint, payload binary").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").format("parquet").saveAsTable(table)
+    try:
+        out = _scored(spark.table(table), buckets)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+        forget(spark, path)
+    return out
+
+
+def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
     words = materialise(exchange.answered(exchange.asked(blocks, lambda _, p: list(Block(p, buckets).ask_words()), 0), _merge_words), "words")
     told = [exchange.unpack(r["blob"]) for r in words.where("block = -1").select("blob").collect()]
     n, v = sum(x[0] for x in told), sum(x[1] for x in told)
-    words = words.where("block >= 0")
-
-    def opened(payload: bytes, answers: dict) -> Block:
-        block = Block(payload, buckets)
-        block.read_words(answers, n, v)
-        return block
-
-    def ask_pairs(at: int, payload: bytes, answers: dict) -> pa.Table:
-        return exchange.messages([(at, k, 1, x) for k, x in opened(payload, answers).pairs().asks()] if payload else [])
 
-    pairs = materialise(exchange.answered(exchange.concluded(blocks, words, ask_pairs, exchange.MESSAGE), merge_grams), "pairs")
+    def said(number: int, block: Block, depth: int, sums: list[np.ndarray], live: Live) -> pa.Table:
+        """What a block asks in a round, and its own state, to bucket -1."""
+        asks = Level(block, depth, *live[:3]).asks() if len(live[0]) else []
+        return exchange.messages([(number, k, depth, x) for k, x in asks] + [(number, -1, depth, _state(block, sums, live))])
 
-    def ask_triples(at: int, payload: bytes, answers: dict) -> pa.Table:
+    def begin(number: int, payload: bytes, answers: dict) -> pa.Table:
         if not payload:
             return exchange.messages([])
-        block = opened(payload, answers)
-        block.read_pairs(block.pairs(), answers)
-        return exchange.messages([(at, k, 2, x) for k, x in block.triples().asks()])
-
-    triples = materialise(exchange.answered(exchange.concluded(blocks, words.union(pairs), ask_triples, exchange.MESSAGE), merge_grams), "triples")
-
-    def finish(_at: int, payload: bytes, answers: dict) -> pa.Table:
+        block = Block(payload, buckets)
+        block.total = n
+        count = block.read_words(answers)[block.token]
+        p = (count + 1) / (n + 1 * (v + 1))
+        base = np.add.reduceat(np.log10(p), block.first)
+        every, no = np.arange(len(p)), np.zeros(len(p), bool)
+        live = block.longer(0, every, p, no, count, np.full(len(p), n), ~no)
+        none = np.zeros(len(base), np.int64)
+        return said(number, block, 1, [base, np.add.reduceat((count > 0).astype(np.int64), block.first), base, none, none], live)
+
+    def deeper(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
+        def step(number: int, payload: bytes, answers: dict) -> pa.Table:
+            if not payload:
+                return exchange.messages([])
+            block = Block(payload, buckets)
+            block.total = n
+            sums, (at, p, most, inside) = _resumed(block, answers[depth, -1])
+            if not len(at):
+                return exchange.messages([(number, -1, depth + 1, answers[depth, -1])])
+            total, ns, t, state, more = Level(block, depth, at, p, most).read(answers, depth)
+            new = np.where(state, (total + t * p) / np.maximum(ns + t, 1), p)
+            add = lambda x, of: np.bincount(block.doc[at[of]], x, len(block.lengths))
+            base, known, now, states, longest = sums
+            now = now + add(np.log10(new[state]) - np.log10(p[state]), state)
+            states = states + add(None, state & ~inside)
+            sums = [base, known, now, states, np.where(add(None, state) > 0, depth, longest)]
+            return said(number, block, depth + 1, sums, block.longer(depth, at, new, inside | state, total, ns, more))
+
+        return step
+
+    def finish(_number: int, payload: bytes, answers: dict) -> pa.Table:
         if not payload:
             return _OUT.empty_table()
-        block = opened(payload, answers)
-        base = np.log10(block.p)
-        block.read_pairs(block.pairs(), answers)
-        block.read_triples(block.triples(), answers)
-        first = block.first
-        known = (block.count[block.token] > 0).astype(np.int64)
-        states = block.state.astype(np.int64)
-        columns = [block.ids, block.held, block.lengths, np.add.reduceat(known, first), np.full(len(first), n), np.add.reduceat(base, first), np.add.reduceat(np.log10(block.p), first), np.add.reduceat(states, first)]
+        block = Block(payload, buckets)
+        base, known, now, states, longest = _resumed(block, next(iter(answers.values())))[0]
+        columns = [block.ids, block.held, block.lengths, known, np.full(len(base), n), base, now, states, longest]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
-    return exchange.concluded(blocks, words.union(pairs).union(triples), finish, SCHEMA)
+    own, asks = parted(exchange.concluded(blocks, words.where("block >= 0"), begin, exchange.MESSAGE), "said", F.col("bucket") < 0)
+    release(words)
+    depth = 1
+    while not asks.isEmpty():
+        answers = materialise(exchange.answered(asks, merge_grams), "answers")
+        release(asks)
+        then = parted(exchange.concluded(blocks, answers.union(own), deeper(depth), exchange.MESSAGE), "said", F.col("bucket") < 0)
+        release(answers, own)
+        (own, asks), depth = then, depth + 1
+    out = materialise(exchange.concluded(blocks, own, finish, SCHEMA), "scores")
+    release(asks, own)
+    return out
