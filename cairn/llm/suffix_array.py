@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from cairn.llm.common import sorting
+
 WIDE = 256
 
 
@@ -33,7 +35,7 @@ def _spread(preds: np.ndarray, symbols: np.ndarray, queues: list[list[np.ndarray
     """Append preds to the queues of their symbols, in order."""
     if not len(preds):
         return
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint8 if len(queues) <= 256 else np.uint16), kind="stable")  # by radix
     symbols, preds = symbols[order], preds[order]
     cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
     starts = [0, *cuts.tolist(), len(preds)]
@@ -86,7 +88,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - step] += rank[step:]
-        order = np.argsort(key, kind="stable")
+        order = sorting(key)
         sorted_ = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate(([1], sorted_[1:] != sorted_[:-1])))
