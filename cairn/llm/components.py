@@ -1,11 +1,29 @@
-"""Connected components by alternating large and small stars, each round a written table in the shared folder."""
+"""Connected components by alternating large and small stars, each round a written table in the shared folder.
+
+A star's centre may have as many edges as there are vertices; its edges are spread over SALTS keys, so that no task holds
+all of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialise
+from cairn.llm.common import materialise, release, unused
+
+SALTS = 32
+
+
+def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """rows with aggregates over their key, a key's rows spread by column by. totals: name -> the aggregate of a part, and
+    what makes the whole of the parts' column of that name."""
+    salt = unused(rows, "salt")
+    spread = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = spread.groupBy(key, salt).agg(*(part.alias(name) for name, (part, _) in totals.items()))
+    whole = parts.groupBy(key).agg(*(fold(name).alias(name) for name, (_, fold) in totals.items()), F.collect_set(salt).alias(salt))
+    return spread.join(whole.withColumn(salt, F.explode(salt)), [key, salt]).drop(salt)
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,12 +33,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = sides.groupBy("a").agg(F.min("b").alias("m"))
-    joined = sides.join(least, "a")
+    joined = with_totals(sides, "a", "b", {"m": (F.min("b"), F.min)})
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     else:
-        out = joined.select("b", "m").union(least.select("a", "m")).toDF("a", "b")
+        out = joined.select("b", "m").union(joined.where("b = m").select("a", "m")).toDF("a", "b")
     return out.where("a <> b").distinct()
 
 
@@ -33,6 +50,7 @@ def components(edges: DataFrame, tag: str = "links") -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
-        seen = mark
-        now = materialise(_stars(_stars(now, True), False), tag)
+        seen, before = mark, now
+        now = materialise(_stars(_stars(before, True), False), tag)
+        release(before)
     return now.select(F.col("a").alias("v"), F.col("b").alias("c")).union(now.select("b", "b")).distinct()

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import batch, frugal, materialise, partitions, shingles, unused, WordHash, words
 from cairn.llm.components import components as connected
+from cairn.llm.components import with_totals
 
 TREES, LEAST, MOST = 16, 4, 7
 REGION, GROUP, GROUP_BYTES = 4096, 128, 4_000_000
@@ -215,9 +216,8 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     across = edge.where((F.col("g") == 1) & (F.col("next.tree") == F.col("tree")) & (F.col("next.prefix") == F.col("prefix"))).select("a", F.col("next.s").alias("b"))
     links = near.where("kind = 0").select("a", "b").union(across)
     whole = materialise(connected(links, "candidates").withColumnRenamed("v", "s").join(classes.select("s", "rep", "size", "n_shingles"), "s"), "members")
-    sums = whole.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("bytes"))
     large = (F.col("k") > GROUP) | (F.col("bytes") > GROUP_BYTES)
-    member = materialise(whole.join(sums, "c").select("s", "rep", "c", "size", "n_shingles", large.alias("large")), "sized")
+    member = materialise(with_totals(whole, "c", "s", {"k": (F.count(F.lit(1)), F.sum), "bytes": (F.sum("size"), F.sum)}).select("s", "rep", "c", "size", "n_shingles", large.alias("large")), "sized")
     text = materialise(
         member.select("s", "c", "large", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t"))
         .hint("shuffle_hash")
@@ -247,8 +247,7 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         late = links_in(text.where("large").select("s", "text").join(more, "s").select("g", "s", "text"))
         joined = connected(joined.select(F.col("v").alias("a"), F.col("c").alias("b")).union(late), "links")
     least = joined.join(classes.select(F.col("s").alias("v"), "least", "first"), "v").select("v", "c", "least", "first")
-    of_component = least.groupBy("c").agg(F.min("least").alias("component"), F.min("first").alias("of"))
-    label = least.join(of_component, "c").select(F.col("v").alias("s"), "component", "of")
+    label = with_totals(least, "c", "v", {"component": (F.min("least"), F.min), "of": (F.min("first"), F.min)}).select(F.col("v").alias("s"), "component", "of")
     # a table of its own, so that the join below has exchanges on both sides and a large class of equal texts is split
     own = materialise(classes.select("s", "least", "first").join(label, "s", "left").select("s", F.coalesce("component", "least").alias("component_id"), F.coalesce("of", "first").alias("first")), "labels")
     with_set = sig.where("s IS NOT NULL").select("doc_id", "th", "n_shingles", "s").join(own, "s").select("doc_id", "th", "n_shingles", "component_id", "first")
