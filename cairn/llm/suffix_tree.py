@@ -11,10 +11,9 @@ with as much weight as it has different continuations, T(s):
 Any other context has the distribution of s'; the root is the add-one unigram distribution. Each is a distribution over
 the training words and the unknown word. A token is scored in the longest state that is a suffix of its history.
 
-Contexts grow by a word a round. One is left when no longer context can pass the test: of all that end in s, the gain is
-at most the sum over the repeated continuations of n(s, w) (-ln P(w | s)), so below GAIN there is nothing further to
-find. This loses no state, and in repeated text, where the next word is all but certain, it ends within a few words. The
-rounds end when none is left.
+Contexts grow by a word a round, to the left of states alone, so the tree is closed under suffixes; the rounds end when
+there is nothing to look at. A state is not gone on from when no context that ends in it can pass the test: their gains
+are at most the sum over its repeated continuations of n(s, w) (-ln P(w | s)), so below GAIN nothing is lost.
 
 The corpus is read once into blocks of encoded texts, in a table bucketed by block. Each round counts by an exchange what
 the blocks hold, one binary for each block and bucket: no token or n-gram is a shuffled row, and contexts known to occur
@@ -41,12 +40,11 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, forget, materialise, mix64, new_table, parted, partitions, ranked, release, sorting, text_of
+from cairn.llm.common import batch, forget, materialise, mix64, new_table, partitions, ranked, release, sorting, text_of
 
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 GAIN = 8.0
 FOLDS, HELD = 7, 2
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint, longest_state bigint"
@@ -119,35 +117,34 @@ def _widened(raw: bytes, width: int) -> np.ndarray:
 
 
 def _rounded(p: np.ndarray) -> np.ndarray:
-    """Probabilities with the 36 bits that are kept between rounds."""
-    return ((p.view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16) << np.uint64(16)).view(np.float64)
+    """Probabilities with the 28 bits that are kept between rounds."""
+    return ((p.view(np.uint64) + np.uint64(1 << 23)) >> np.uint64(24) << np.uint64(24)).view(np.float64)
 
 
 def judged(n: np.ndarray, t: np.ndarray, r: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether contexts are states and whether longer ones may be. n: occurrences, t: different continuations; over the
+    """Whether contexts are states, and whether longer ones may be as well. n: occurrences, t: different continuations; over the
     repeated continuations w, r: sum of n(w), a: sum of n(w) (ln n(w) - ln P(w | s')), c: sum of n(w) ln n(w)."""
     with np.errstate(divide="ignore", invalid="ignore"):
         state = (n >= 2) & (a - r * np.log(n) >= GAIN)
-        bound = np.where(state, r * np.log(n + t) - c, a - c)
-        return state, (n >= 2) & (bound >= GAIN - 1e-6)
+        return state, state & (r * np.log(n + t) - c >= GAIN - 1e-6)
 
 
 class Level:
     """The distinct (context, symbol) pairs at a block's live positions, by unit: a context, or one of the parts into
     which a large one is split by its symbols. Units are in the order in which buckets are asked."""
 
-    def __init__(self, block: Block, depth: int, at: np.ndarray, p: np.ndarray, most: np.ndarray):
-        """at: positions; p: probability of their symbol in the shorter context; most: bounds of the contexts' counts."""
+    def __init__(self, block: Block, depth: int, at: np.ndarray, p: np.ndarray, split: np.ndarray):
+        """at: positions; p: probability of their symbol in the shorter context; split: parts of their contexts."""
         self.buckets = block.buckets
         w, c = block.token[at], block.contexts(at, depth)
-        unit, split = c, 1 + (4 * block.buckets * most) // max(1, block.total)
+        unit = c
         wide = np.flatnonzero(split > 1)
         more = own = np.zeros(0, np.uint64)
         if len(wide):  # every part of such a context is asked, so that its sums are whole
             unit = c.copy()
             unit[wide] = mix64(c[wide] + (block.symbol[w[wide]] % split[wide].astype(np.uint64) + np.uint64(1)) * _ODD)
             one = wide[np.unique(c[wide], return_index=True)[1]]
-            times = split[one]
+            times = split[one].astype(np.int64)
             part = np.arange(1, times.sum() + 1) - np.repeat(np.cumsum(times) - times, times)
             own = np.repeat(c[one], times)
             more = mix64(own + part.astype(np.uint64) * _ODD)
@@ -227,7 +224,7 @@ def merge_grams(blobs: list[bytes]) -> tuple[list[bytes], None]:
     return out, None
 
 
-#: Positions in order, the probabilities of their symbols, bounds of their contexts' counts, and whether a
+#: Positions in order, the probabilities of their symbols, the parts that their contexts are split into, and whether a
 #: shorter context is a state.
 Live = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -282,7 +279,7 @@ class Block:
         before[at + 1] = total
         most = np.where(before[at] >= 0, np.minimum(before[at], n), n)
         keep = more & (most >= 2) & (at - self.first[self.doc[at]] > depth)
-        return at[keep], _rounded(p[keep]), most[keep], inside[keep]
+        return at[keep], _rounded(p[keep]), 1 + (4 * self.buckets * most[keep]) // max(1, self.total), inside[keep]
 
 
 def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -300,16 +297,16 @@ def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
 
 def _state(block: Block, sums: list[np.ndarray], live: Live) -> bytes:
     """A block between rounds: sums by document, and the live positions with what is known of them."""
-    at, p, most, inside = live
+    at, p, split, inside = live
     mask = np.zeros(len(block.token), bool)
     mask[at] = True
-    return exchange.pack(sums, np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(16), 6), exchange.short(most), np.packbits(inside))
+    return exchange.pack(sums, np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(24), 5), exchange.short(split - 1), np.packbits(inside))
 
 
 def _resumed(block: Block, blob: bytes) -> tuple[list[np.ndarray], Live]:
-    sums, mask, p, most, inside = exchange.unpack(blob)
-    p = (_widened(p, 6) << np.uint64(16)).view(np.float64)
-    return sums, (np.flatnonzero(np.unpackbits(mask, count=len(block.token))), p, exchange.long(most), np.unpackbits(inside, count=len(p)) > 0)
+    sums, mask, p, split, inside = exchange.unpack(blob)
+    p = (_widened(p, 5) << np.uint64(24)).view(np.float64)
+    return sums, (np.flatnonzero(np.unpackbits(mask, count=len(block.token))), p, 1 + exchange.long(split), np.unpackbits(inside, count=len(p)) > 0)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -332,61 +329,63 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
     told = [exchange.unpack(r["blob"]) for r in words.where("block = -1").select("blob").collect()]
     n, v = sum(x[0] for x in told), sum(x[1] for x in told)
 
-    def said(number: int, block: Block, depth: int, sums: list[np.ndarray], live: Live) -> pa.Table:
-        """What a block asks in a round, and its own state, to bucket -1."""
-        asks = Level(block, depth, *live[:3]).asks() if len(live[0]) else []
-        return exchange.messages([(number, k, depth, x) for k, x in asks] + [(number, -1, depth, _state(block, sums, live))])
-
-    def begin(number: int, payload: bytes, answers: dict) -> pa.Table:
-        if not payload:
-            return exchange.messages([])
+    def opened(payload: bytes, answers: dict, depth: int) -> tuple[Block, list[np.ndarray], Live]:
+        """A block as the rounds before depth have left it; before the first these are the words' counts."""
         block = Block(payload, buckets)
         block.total = n
+        if depth > 1:
+            return block, *_resumed(block, answers[depth, -1])
         count = block.read_words(answers)[block.token]
         p = (count + 1) / (n + 1 * (v + 1))
-        base = np.add.reduceat(np.log10(p), block.first)
-        every, no = np.arange(len(p)), np.zeros(len(p), bool)
-        live = block.longer(0, every, p, no, count, np.full(len(p), n), ~no)
-        none = np.zeros(len(base), np.int64)
-        return said(number, block, 1, [base, np.add.reduceat((count > 0).astype(np.int64), block.first), base, none, none], live)
-
-    def deeper(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
-        def step(number: int, payload: bytes, answers: dict) -> pa.Table:
+        base, none, no = np.add.reduceat(np.log10(p), block.first), np.zeros(len(block.first), np.int64), np.zeros(len(p), bool)
+        live = block.longer(0, np.arange(len(p)), p, no, count, np.full(len(p), n), ~no)
+        return block, [base, np.add.reduceat((count > 0).astype(np.int64), block.first), base, none, none], live
+
+    def asking(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
+        def ask(number: int, payload: bytes, answers: dict) -> pa.Table:
             if not payload:
                 return exchange.messages([])
-            block = Block(payload, buckets)
-            block.total = n
-            sums, (at, p, most, inside) = _resumed(block, answers[depth, -1])
-            if not len(at):
-                return exchange.messages([(number, -1, depth + 1, answers[depth, -1])])
-            total, ns, t, state, more = Level(block, depth, at, p, most).read(answers, depth)
-            new = np.where(state, (total + t * p) / np.maximum(ns + t, 1), p)
-            add = lambda x, of: np.bincount(block.doc[at[of]], x, len(block.lengths))
-            base, known, now, states, longest = sums
-            now = now + add(np.log10(new[state]) - np.log10(p[state]), state)
-            states = states + add(None, state & ~inside)
-            sums = [base, known, now, states, np.where(add(None, state) > 0, depth, longest)]
-            return said(number, block, depth + 1, sums, block.longer(depth, at, new, inside | state, total, ns, more))
+            block, _, live = opened(payload, answers, depth)
+            return exchange.messages([(number, k, depth, x) for k, x in Level(block, depth, *live[:3]).asks()] if len(live[0]) else [])
 
-        return step
+        return ask
 
-    def finish(_number: int, payload: bytes, answers: dict) -> pa.Table:
-        if not payload:
-            return _OUT.empty_table()
-        block = Block(payload, buckets)
-        base, known, now, states, longest = _resumed(block, next(iter(answers.values())))[0]
-        columns = [block.ids, block.held, block.lengths, known, np.full(len(base), n), base, now, states, longest]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
-
-    own, asks = parted(exchange.concluded(blocks, words.where("block >= 0"), begin, exchange.MESSAGE), "said", F.col("bucket") < 0)
-    release(words)
-    depth = 1
-    while not asks.isEmpty():
-        answers = materialise(exchange.answered(asks, merge_grams), "answers")
-        release(asks)
-        then = parted(exchange.concluded(blocks, answers.union(own), deeper(depth), exchange.MESSAGE), "said", F.col("bucket") < 0)
-        release(answers, own)
-        (own, asks), depth = then, depth + 1
-    out = materialise(exchange.concluded(blocks, own, finish, SCHEMA), "scores")
-    release(asks, own)
-    return out
+    def reading(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
+        def read(number: int, payload: bytes, answers: dict) -> pa.Table:
+            if not payload:
+                return exchange.messages([])
+            block, sums, (at, p, split, inside) = opened(payload, answers, depth)
+            base, known, now, states, longest = sums
+            live = at, p, split, inside
+            if len(at):
+                total, ns, t, state, more = Level(block, depth, at, p, split).read(answers, depth)
+                new = np.where(state, (total + t * p) / np.maximum(ns + t, 1), p)
+                add = lambda x, of: np.bincount(block.doc[at[of]], x, len(block.lengths))
+                now = now + add(np.log10(new[state]) - np.log10(p[state]), state)
+                states = states + add(None, state & ~inside)
+                longest = np.where(add(None, state) > 0, depth, longest)
+                live = block.longer(depth, at, new, inside | state, total, ns, more)
+            return exchange.messages([(number, -1, depth + 1, _state(block, [base, known, now, states, longest], live))])
+
+        return read
+
+    def finishing(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
+        def finish(_number: int, payload: bytes, answers: dict) -> pa.Table:
+            if not payload:
+                return _OUT.empty_table()
+            block, (base, known, now, states, longest), _ = opened(payload, answers, depth)
+            columns = [block.ids, block.held, block.lengths, known, np.full(len(base), n), base, now, states, longest]
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
+
+        return finish
+
+    known, held, depth = words.where("block >= 0"), words, 1
+    while True:
+        answers = materialise(exchange.answered(exchange.concluded(blocks, known, asking(depth), exchange.MESSAGE), merge_grams), "answers")
+        if answers.isEmpty():
+            out = materialise(exchange.concluded(blocks, known, finishing(depth), SCHEMA), "scores")
+            release(answers, held)
+            return out
+        own = materialise(exchange.concluded(blocks, answers.union(known), reading(depth), exchange.MESSAGE), "own")
+        release(answers, held)
+        known, held, depth = own, own, depth + 1
