@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_names: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,16 +56,28 @@ def _clean_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete the files of tables that materialise() gave and that nothing still to be run reads."""
-    for table in tables:
-        forget(table.sparkSession, _paths.pop(table))
+def bucketed(df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
+    """As materialise(), in buckets of a column, so that reading by it takes no shuffle. The catalogue holds the table until
+    it is released."""
+    spark, name = df.sparkSession, f"cairn_{tag}_{uuid.uuid4().hex}"
+    path = new_table(spark, tag)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(name)
+    _clean_shuffles(spark)
+    out = spark.table(name)
+    _paths[out], _names[out] = path, name
+    return out
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    _delete(spark, path)
-    if (spark, path) in _written:
-        _written.remove((spark, path))
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() or bucketed() gave and that nothing still to be run reads. Those
+    released before are passed by."""
+    for table in tables:
+        path, spark = _paths.pop(table, None), table.sparkSession
+        if path is not None:
+            _delete(spark, path)
+            _written.remove((spark, path))
+            if table in _names:
+                spark.sql(f"DROP TABLE IF EXISTS {_names.pop(table)}")
 
 
 def new_table(spark: SparkSession, tag: str) -> str:

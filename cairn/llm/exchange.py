@@ -91,11 +91,26 @@ def answered(asks: DataFrame, merge: Callable[[list[bytes]], tuple[list[bytes],
 
 
 def concluded(blocks: DataFrame, answers: DataFrame, finish: Callable[[int, bytes, dict], pa.Table], schema: str) -> DataFrame:
-    """finish(block, payload, {(round, bucket): answer}) makes the block's rows."""
+    """finish(block, payload, {(round, bucket): answer}) makes the block's rows. A third column of blocks, where there is
+    one, is what the block has kept for itself: the answer (-1, -1)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {(r["round"], r["bucket"]): r["blob"] for r in right.to_pylist()}
         rows = left.to_pylist()
-        return finish(rows[0]["block"], rows[0]["payload"], got) if rows else finish(-1, b"", {})
+        if not rows:
+            return finish(-1, b"", {})
+        got[-1, -1] = rows[0].get("own")
+        return finish(rows[0]["block"], rows[0]["payload"], got)
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def alone(blocks: DataFrame, finish: Callable[[int, bytes, dict], pa.Table], schema: str) -> DataFrame:
+    """As concluded(), where a block needs no answer but what it has kept: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from finish(r["block"], r["payload"], {(-1, -1): r["own"]}).to_batches()
+
+    return blocks.mapInArrow(run, schema)

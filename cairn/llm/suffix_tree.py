@@ -21,8 +21,9 @@ less than twice are never asked for. A context that holds a large share of all t
 continuations. The model stays in the cluster and grows with the corpus; only the numbers of tokens and of distinct words
 come to the driver, summed from one row for each bucket.
 
-Words are told apart by 96-bit hashes, contexts by 64-bit ones, continuations of one context by 40 bits (of a million,
-one pair in all is taken for one with probability 0.4).
+Words are told apart by 96-bit hashes; contexts by 20 bits more than it takes to number the tokens (64 at most), so one in
+a million shares its counts with another; continuations of one context by 32 bits, so of T different ones a share of
+T / 2^32 is counted with another. All blocks see the same, so the sums stay whole.
 
 Cases: a null or empty text is the end alone; a null id counts as the empty text in the held-out rule; ids may be
 repeated (each row is scored, and counted if it is for training); with no training row N and V are 0 and every token
@@ -31,7 +32,6 @@ scores 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairn.llm import exchange
-from cairn.llm.common import batch, forget, materialise, mix64, new_table, partitions, ranked, release, sorting, text_of
+from cairn.llm.common import batch, bucketed, materialise, mix64, partitions, ranked, release, sorting, text_of
 
 BLOCK = 1_000_000
 GAIN = 8.0
@@ -55,7 +55,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Log probabilities are sent in steps of a nat.
 _STEPS = 2048
 #: Bits of a continuation's hash.
-_SYMBOL = 40
+_SYMBOL = 32
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -101,8 +101,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _bounds(buckets: int) -> list[np.uint64]:
-    return [np.uint64((k << 64) // buckets) for k in range(1, buckets)]
+def _bounds(buckets: int, bits: int = 64) -> list[np.uint64]:
+    return [np.uint64((k << bits) // buckets) for k in range(1, buckets)]
 
 
 def _narrow(x: np.ndarray, width: int) -> bytes:
@@ -148,7 +148,8 @@ class Level:
             part = np.arange(1, times.sum() + 1) - np.repeat(np.cumsum(times) - times, times)
             own = np.repeat(c[one], times)
             more = mix64(own + part.astype(np.uint64) * _ODD)
-        self.units, of, _ = ranked(np.concatenate((unit, more)))
+        bits = block.bits
+        self.units, of, _ = ranked(np.concatenate((unit, more)) >> np.uint64(64 - bits))
         self.unit = of[: len(at)]
         self.wide = np.unique(of[len(at) :])
         self.whose = np.zeros(len(self.units), np.uint64)
@@ -159,7 +160,7 @@ class Level:
         self.symbol = block.symbol[(pair % np.uint64(width)).astype(np.int64)]
         self.count = np.bincount(self.pair, block.train[at], len(pair)).astype(np.int64)
         self.lp = np.clip(np.rint(np.log(p[first]) * -_STEPS), 0, 65535).astype(np.uint16)
-        self.cut = [0, *np.searchsorted(self.units, _bounds(self.buckets)).tolist(), len(self.units)]
+        self.cut = [0, *np.searchsorted(self.units, _bounds(self.buckets, bits)).tolist(), len(self.units)]
         self.pair_cut = np.searchsorted(self.pair_unit, self.cut).tolist()
 
     def _slices(self) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
@@ -236,6 +237,7 @@ class Block:
         self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
         self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
         self.buckets, self.total = buckets, 0
+        self.bits = 64
         raw = np.zeros((planes.shape[1], 4), np.uint8)
         raw[:, : planes.shape[0]] = planes.T
         self.token = raw.reshape(-1).view(np.int32)
@@ -312,29 +314,28 @@ def _resumed(block: Block, blob: bytes) -> tuple[list[np.ndarray], Live]:
 def score(docs: DataFrame) -> DataFrame:
     """Base and tree score of each document, learned from those whose crc32(doc_id) mod FOLDS is not HELD; n_states: tokens
     scored in a state, longest_state: words of the longest."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    table, path = f"cairn_blocks_{uuid.uuid4().hex}", new_table(spark, "blocks")
-    text_of(docs).mapInArrow(_encode, "block bigint, payload binary").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").format("parquet").saveAsTable(table)
+    buckets = partitions(docs.sparkSession)
+    held = [bucketed(text_of(docs).mapInArrow(_encode, "block bigint, payload binary"), "blocks", "block", buckets)]
     try:
-        out = _scored(spark.table(table), buckets)
+        return _scored(held, buckets)
     finally:
-        spark.sql(f"DROP TABLE {table}")
-        forget(spark, path)
-    return out
+        release(*held)
 
 
-def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
+def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
+    """held: the blocks, and tables to be released at the end, come what may."""
+    blocks = held[0]
     words = materialise(exchange.answered(exchange.asked(blocks, lambda _, p: list(Block(p, buckets).ask_words()), 0), _merge_words), "words")
+    held.append(words)
     told = [exchange.unpack(r["blob"]) for r in words.where("block = -1").select("blob").collect()]
     n, v = sum(x[0] for x in told), sum(x[1] for x in told)
 
     def opened(payload: bytes, answers: dict, depth: int) -> tuple[Block, list[np.ndarray], Live]:
         """A block as the rounds before depth have left it; before the first these are the words' counts."""
         block = Block(payload, buckets)
-        block.total = n
+        block.total, block.bits = n, min(64, n.bit_length() + 20)
         if depth > 1:
-            return block, *_resumed(block, answers[depth, -1])
+            return block, *_resumed(block, answers[-1, -1])
         count = block.read_words(answers)[block.token]
         p = (count + 1) / (n + 1 * (v + 1))
         base, none, no = np.add.reduceat(np.log10(p), block.first), np.zeros(len(block.first), np.int64), np.zeros(len(p), bool)
@@ -353,7 +354,7 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
     def reading(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
         def read(number: int, payload: bytes, answers: dict) -> pa.Table:
             if not payload:
-                return exchange.messages([])
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "own"])
             block, sums, (at, p, split, inside) = opened(payload, answers, depth)
             base, known, now, states, longest = sums
             live = at, p, split, inside
@@ -365,7 +366,8 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
                 states = states + add(None, state & ~inside)
                 longest = np.where(add(None, state) > 0, depth, longest)
                 live = block.longer(depth, at, new, inside | state, total, ns, more)
-            return exchange.messages([(number, -1, depth + 1, _state(block, [base, known, now, states, longest], live))])
+            state = _state(block, [base, known, now, states, longest], live)
+            return pa.table([pa.array([number], pa.int64()), pa.array([state], pa.binary())], names=["block", "own"])
 
         return read
 
@@ -379,13 +381,16 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
 
         return finish
 
-    known, held, depth = words.where("block >= 0"), words, 1
+    # the first round starts from the words' counts, the others from what the blocks have kept
+    with_words = words.where("block >= 0")
+    now, depth = blocks, 1
     while True:
-        answers = materialise(exchange.answered(exchange.concluded(blocks, known, asking(depth), exchange.MESSAGE), merge_grams), "answers")
+        run = lambda finish, schema: exchange.concluded(blocks, with_words, finish, schema) if depth == 1 else exchange.alone(now, finish, schema)  # noqa: B023, E731
+        answers = materialise(exchange.answered(run(asking(depth), exchange.MESSAGE), merge_grams), "answers")
+        held.append(answers)
         if answers.isEmpty():
-            out = materialise(exchange.concluded(blocks, known, finishing(depth), SCHEMA), "scores")
-            release(answers, held)
-            return out
-        own = materialise(exchange.concluded(blocks, answers.union(known), reading(depth), exchange.MESSAGE), "own")
-        release(answers, held)
-        known, held, depth = own, own, depth + 1
+            return materialise(run(finishing(depth), SCHEMA), "scores")
+        own = bucketed(exchange.concluded(now, answers.union(with_words) if depth == 1 else answers, reading(depth), "block bigint, own binary"), "own", "block", buckets)
+        release(*held[1:])
+        held[1:] = [own]
+        now, depth = blocks.join(own.hint("merge"), "block"), depth + 1
