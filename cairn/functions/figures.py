@@ -13,9 +13,13 @@ UNITS = (
     "ppb % kw mw kv v a crore lakh inr usd rs"
 ).split()
 _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
+#: A measurement, and the rules of tables, which hold none.
 FIGURE = rf"(?i)(?<![A-Za-z0-9_.\-/])(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+\.\d+|\d+)(?:\s*({_UNIT})\b)?"
 
 
+_RULES = r"(?m)^\s*\|?[\s:|-]+\|?\s*$"
+
+
 def normalised(number: Column) -> Column:
     """"1,200" as "1200", "9.20" as "9.2", "18.0" as "18" [H12]."""
     bare = F.replace(number, F.lit(","), F.lit(""))
@@ -30,7 +34,7 @@ def numbers(text: Column) -> Column:
 def figures(text: Column) -> Column:
     """The measurements of a text in order: number with a unit, or decimal; markers and table rules are none; each
     (value, unit) once [H14]. Array of struct<text, value, unit>."""
-    body = F.regexp_replace(F.regexp_replace(text, r"\[\d+\]", " "), r"(?m)^\s*\|?[\s:|-]+\|?\s*$", " ")
+    body = F.regexp_replace(F.regexp_replace(text, r"\[\d+\]", " "), _RULES, " ")
     found = F.arrays_zip(F.regexp_extract_all(body, F.lit(FIGURE), F.lit(1)).alias("n"), F.regexp_extract_all(body, F.lit(FIGURE), F.lit(2)).alias("u"))
     kept = F.filter(found, lambda x: (x["u"] != "") | x["n"].contains("."))
     out = F.transform(kept, lambda x: F.struct(F.trim(F.concat(x["n"], F.lit(" "), x["u"])).alias("text"), normalised(x["n"]).alias("value"), x["u"].alias("unit")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -119,13 +120,25 @@ FORMATS = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first(tests: list[Column]) -> Column:
+    """The place of the first test that holds, from 1 on, one past the last if none; later ones are not evaluated."""
+    return reduce(lambda out, kt: F.when(kt[1], kt[0]).otherwise(out), reversed(list(enumerate(tests, 1))), F.lit(len(tests) + 1))
+
+
 def policy_verdict(text: Column) -> Column:
     """struct<allowed, category, matched>: the first rule that matches refuses; 120 characters of evidence [N1]."""
-    category, matched = F.lit(""), F.lit("")
-    for name, pattern in reversed(POLICY):
-        hit = text.rlike(f"(?i){pattern}")
-        category, matched = F.when(hit, name).otherwise(category), F.when(hit, F.substring(F.regexp_extract(text, f"(?i){pattern}", 0), 1, 120)).otherwise(matched)
-    return F.struct((category == "").alias("allowed"), category.alias("category"), matched.alias("matched"))
+    names, patterns = F.array(*(F.lit(n) for n, _ in POLICY), F.lit("")), F.array(*(F.lit(f"(?i){p}") for _, p in POLICY), F.lit("$^"))
+
+    def verdict(k: Column) -> Column:
+        evidence = F.substring(F.call_function("regexp_extract", text, F.element_at(patterns, k), F.lit(0)), 1, 120)
+        return F.struct((k > len(POLICY)).alias("allowed"), F.element_at(names, k).alias("category"), evidence.alias("matched"))
+
+    return bound(_first([text.rlike(f"(?i){p}") for _, p in POLICY]), verdict)
 
 
 def prompt_features(text: Column) -> Column:
@@ -162,14 +175,17 @@ def route(text: Column, has_images: Column | None = None, tokens: Column | None
     images = has_images if has_images is not None else F.lit(False)
     step_lane = F.element_at(F.create_map(*[F.lit(x) for kv in STEP_LANES.items() for x in kv]), step) if step is not None else none
     first = F.coalesce(F.when(hint.isin(*LANES), hint), F.when(images, "vision"), step_lane, F.when((tokens if tokens is not None else F.lit(0)) > LONG_TOKENS, "long_ctx"))
-    ranked = lane_scores(prompt_features(text), images)
-    top, second = ranked[0]["score"], ranked[1]["score"]
-    clear = (top > 0) & (top - second >= MARGIN)
-    return F.struct(
-        F.coalesce(first, F.when(clear, ranked[0]["lane"])).alias("lane"),
-        F.when(first.isNotNull(), 0).when(clear, 1).otherwise(2).alias("stage"),
-        F.when(first.isNotNull(), 1.0).when(clear, F.least(F.lit(1.0), (top - second) / F.greatest(top, F.lit(1.0)))).otherwise(0.0).alias("confidence"),
-    )
+
+    def verdict(ranked: Column) -> Column:
+        top, second = ranked[0]["score"], ranked[1]["score"]
+        clear = (top > 0) & (top - second >= MARGIN)
+        return F.struct(
+            F.coalesce(first, F.when(clear, ranked[0]["lane"])).alias("lane"),
+            F.when(first.isNotNull(), 0).when(clear, 1).otherwise(2).alias("stage"),
+            F.when(first.isNotNull(), 1.0).when(clear, F.least(F.lit(1.0), (top - second) / F.greatest(top, F.lit(1.0)))).otherwise(0.0).alias("confidence"),
+        )
+
+    return bound(prompt_features(text), lambda f: bound(lane_scores(f, images), verdict))
 
 
 def is_refusal(text: Column, leading: int = 3) -> Column:
@@ -190,10 +206,8 @@ def is_refusal(text: Column, leading: int = 3) -> Column:
 def requested_format(text: Column) -> Column:
     """The kind of file asked for, null if none: a verb of making within 60 characters before the word [N7]."""
     low = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-    out = F.lit(None).cast("string")
-    for tool, words in reversed(FORMATS):
-        out = F.when(low.rlike(rf"\b{_PRODUCE}\b.{{0,60}}?\b{words}\b"), tool).otherwise(out)
-    return out
+    tools = F.array(*(F.lit(tool) for tool, _ in FORMATS), F.lit(None).cast("string"))
+    return bound(low, lambda t: F.element_at(tools, _first([t.rlike(rf"\b{_PRODUCE}\b.{{0,60}}?\b{words}\b") for _, words in FORMATS])))
 
 
 def failure_message(kind: Column) -> Column:

@@ -54,6 +54,12 @@ SYMBOLS = (
 )
 
 
+#: Typeset fractions, wrappers, roots and delimiters.
+FRACTION = (r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "$1 / $2")
+WRAPPERS = ((r"\\(?:text|mathrm|mathit|mathbf|operatorname)\s*\{([^{}]*)\}", "$1"), (r"\\sqrt\s*\{([^{}]*)\}", "√($1)"))
+DELIMITERS = (r"(?s)\\\[\s*(.+?)\s*\\\]", r"(?s)\\\(\s*(.+?)\s*\\\)", r"(?s)\$\$?\s*(.+?)\s*\$\$?")
+
+
 def words(text: Column) -> Column:
     """White-space-separated words, Unicode white space [D6]."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -122,22 +128,22 @@ def plain_maths(text: Column) -> Column:
     """Typeset notation as the same expression in plain text [H8]."""
     out = text
     for _ in range(4):
-        out = F.regexp_replace(out, r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "$1 / $2")
-    out = F.regexp_replace(out, r"\\(?:text|mathrm|mathit|mathbf|operatorname)\s*\{([^{}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\\sqrt\s*\{([^{}]*)\}", "√($1)")
+        out = F.regexp_replace(out, *FRACTION)
+    for form in WRAPPERS:
+        out = F.regexp_replace(out, *form)
     for symbol, plain in SYMBOLS:
         out = F.replace(out, F.lit(symbol), F.lit(plain))
-    for form in (r"(?s)\\\[\s*(.+?)\s*\\\]", r"(?s)\\\(\s*(.+?)\s*\\\)", r"(?s)\$\$?\s*(.+?)\s*\$\$?"):
+    for form in DELIMITERS:
         out = F.regexp_replace(out, form, "$1")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r" +([,.;:)])", "$1")
     return F.when(text.contains("\\") | text.contains("$"), out).otherwise(text)
 
 
 def redact_text(text: Column) -> Column:
-    """Bearer tokens, keys, account and identity numbers and addresses masked, in order [H9]."""
+    """Bearer tokens, keys, account and identity numbers and addresses masked, in order, with Unicode's word classes [H9]."""
     out = text
     for pattern, mask in MASKS:
-        out = F.regexp_replace(out, pattern, mask)
+        out = F.regexp_replace(out, f"(?U){pattern}", mask)
     return out
 
 

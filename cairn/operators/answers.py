@@ -21,7 +21,10 @@ def verify_figures(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return asked.join(found, ["answer_id", "value"], "left").select("answer_id", "pos", "text", "value", "unit", F.col("sources").isNotNull().alias("found"), F.coalesce("sources", F.array().cast("array<int>")).alias("sources"))
 
 
+#: Citation markers, what parts the ids in one, and the tags of quoted sources.
 _MARKER = r"(?is)[\[\(]{1,2}\s*cite\s*:\s*(?P<ids>.+?)\s*[\]\)]{1,2}|\[{1,2}\s*(?P<ordinal>\d{1,2})\s*\]{1,2}"
+_PARTS = r"(?i)[,;\s]+|[\]\)]\s*[\[\(]\s*cite\s*:\s*"
+_SOURCE_TAG = r"</?source[^>]*>"
 _RESOLVED = "answer_id bigint, text string, cited array<string>, unresolved array<string>"
 
 
@@ -33,7 +36,7 @@ def resolve_markers(answers: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        marker, cut = re.compile(_MARKER), re.compile(r"(?i)[,;\s]+|[\]\)]\s*[\[\(]\s*cite\s*:\s*")
+        marker, cut = re.compile(_MARKER), re.compile(_PARTS)
         for f in frames:
             rows = []
             for answer_id, text, evidence in zip(f["answer_id"], f["text"], f["evidence"], strict=True):
@@ -59,33 +62,51 @@ def resolve_markers(answers: DataFrame) -> DataFrame:
                             lost.append(t)  # noqa: B023
                     return out
 
-                done = re.sub(r"[ \t]{2,}", " ", re.sub(r"\s+([.,;:!?])", r"\1", marker.sub(one, re.sub(r"</?source[^>]*>", "", text or "")))).strip()
+                done = re.sub(r"[ \t]{2,}", " ", re.sub(r"\s+([.,;:!?])", r"\1", marker.sub(one, re.sub(_SOURCE_TAG, "", text or "")))).strip()
                 rows.append((answer_id, done, list(order), lost))
             yield pd.DataFrame(rows, columns=["answer_id", "text", "cited", "unresolved"])
 
     return answers.select("answer_id", "text", "evidence").mapInPandas(run, _RESOLVED)
 
 
-def coverage(answers: DataFrame) -> DataFrame:
-    """Share of an answer's claims that carry a citation [D28, E17]. Paragraphs of four words or more are claims, headings
-    are not; a paragraph of markers alone belongs to the one before it. Answers without a claim are no rows."""
+def _claims(answers: DataFrame) -> DataFrame:
+    """answer_id, g, claim, cited: an answer's claims in order. Paragraphs of four words or more are claims, headings are
+    not; a paragraph of markers alone belongs to the one before it [E17]."""
     parts = answers.select("answer_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "p")).where(F.trim("p") != "")
     bare = F.trim(F.regexp_replace("p", r"\[\d+\]", ""))
     w = Window.partitionBy("answer_id").orderBy("pos")
     runs = parts.withColumn("g", F.sum(F.when((bare != "") | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w))
     claims = runs.groupBy("answer_id", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: F.trim(x["p"])), " ").alias("claim"))
     body = F.trim(F.regexp_replace("claim", r"\[\d+\]", ""))
-    is_claim = ~body.startswith("#") & (F.regexp_count(body, F.lit("[A-Za-z][A-Za-z'-]*")) >= 4)
-    return claims.where(is_claim).groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("claim").rlike(r"\[\d+\]")).alias("cited")).withColumn("ratio", F.round(F.col("cited") / F.col("claims"), 10))
+    return claims.where(~body.startswith("#") & (F.regexp_count(body, F.lit("[A-Za-z][A-Za-z'-]*")) >= 4)).withColumn("cited", F.col("claim").rlike(r"\[\d+\]"))
+
+
+def coverage(answers: DataFrame) -> DataFrame:
+    """Share of an answer's claims that carry a citation, and the first five that don't, cut to 200 characters [D28]. Answers
+    without a claim are no rows."""
+    bare = F.array_sort(F.collect_list(F.when(~F.col("cited"), F.struct("g", F.substring("claim", 1, 200).alias("claim")))))
+    out = _claims(answers).groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("cited").alias("cited"), F.transform(F.slice(bare, 1, 5), lambda x: x["claim"]).alias("uncited"))
+    return out.withColumn("ratio", F.round(F.col("cited") / F.col("claims"), 10))
 
 
 def validate(answers: DataFrame) -> DataFrame:
-    """Refusals are grounded, answers without a citation are not, others by their coverage; acceptable from 0.8 on
-    [N9, N10]."""
-    c = coverage(answers).select("answer_id", "ratio")
-    refusal, cites = is_refusal(F.col("text")), F.col("text").rlike(r"\[\d+\]")
-    ratio = F.when(refusal, 1.0).when(~cites, 0.0).otherwise(F.coalesce("ratio", F.lit(1.0)))
-    return answers.join(c, "answer_id", "left").select("answer_id", refusal.alias("refusal"), ratio.alias("grounded_ratio"), (refusal | (ratio >= 0.8)).alias("acceptable"))
+    """The report on each answer [N9, N10]. answers: answer_id, text, and optionally unresolved and schema_errors (arrays of
+    strings). A refusal is grounded; so is an answer without a sentence of more than 25 characters, which asserts nothing; an
+    answer of substance without a citation is not, and its first five sentences are unsupported; others by their coverage.
+    Acceptable: no schema errors, and a refusal or a ratio from 0.8 on."""
+    none = F.array().cast("array<string>")
+    has = lambda c: F.coalesce(F.col(c), none) if c in answers.columns else none
+    long = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 25)
+    features = answers.select("answer_id", is_refusal(F.col("text")).alias("refusal"), long.alias("long"), F.col("text").rlike(r"\[\d+\]").alias("cites"), has("unresolved").alias("unresolved_citations"), has("schema_errors").alias("schema_errors"))
+    j = features.join(coverage(answers).select("answer_id", "ratio", "uncited"), "answer_id", "left")
+    easy, bare = F.col("refusal") | (F.size("long") == 0), ~F.col("cites")
+    out = j.withColumns(
+        {
+            "grounded_ratio": F.when(easy, 1.0).when(bare, 0.0).otherwise(F.coalesce("ratio", F.lit(1.0))),
+            "unsupported": F.when(easy, none).when(bare, F.slice("long", 1, 5)).otherwise(F.coalesce("uncited", none)),
+        }
+    )
+    return out.select("answer_id", "refusal", "grounded_ratio", "unsupported", "unresolved_citations", "schema_errors", ((F.size("schema_errors") == 0) & (F.col("refusal") | (F.col("grounded_ratio") >= 0.8))).alias("acceptable"))
 
 
 def overridden(answers: DataFrame, calculated: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import scores
-from cairn.functions.text import normalised
 
 
-def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, recall, reciprocal_rank and ndcg at k. hits: query_id, chunk_id, rank; gold: query_id, chunk_id. Queries
-    without gold are no rows: the caller compares counts, an empty gold set is never a zero [J16-J18]."""
-    size = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    found = hits.where(F.col("rank") <= k).join(gold, ["query_id", "chunk_id"]).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(scores.gain(F.col("rank").cast("double"))).alias("gain")
-    )
+def ranking_metrics(hits: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, recall, reciprocal_rank and ndcg at k. hits: query_id, rank, hit (whether it is relevant); sizes: query_id,
+    relevant, the number of a query's relevant items, so these need not be joined as pairs. Queries without relevant items
+    are no rows: the caller compares counts, an empty gold set is never a zero [J16-J18]."""
+    found = hits.where((F.col("rank") <= k) & F.col("hit")).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(scores.gain(F.col("rank").cast("double"))).alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r.cast("double") + 1))
-    return size.join(found, "query_id", "left").select(
+    return sizes.where("relevant > 0").join(found, "query_id", "left").select(
         "query_id",
         F.round(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), 10).alias("recall"),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 10).alias("reciprocal_rank"),
@@ -30,54 +27,76 @@ def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
 
 
 def character_error_rate(truth: Column, hypothesis: Column, spaces: bool = True) -> Column:
-    """Edit distance over characters by the truth's length; 0 for no truth [H34, H36]."""
-    a, b = normalised(truth), normalised(hypothesis)
-    if not spaces:
-        a, b = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    """Edit distance over characters of two normalised texts by the truth's length; 0 for no truth [H34, H36]. For short
+    texts: the work grows with the product of the lengths. document_errors() is for long ones."""
+    a, b = (truth, hypothesis) if spaces else (F.replace(truth, F.lit(" "), F.lit("")), F.replace(hypothesis, F.lit(" "), F.lit("")))
     return F.when(F.length(a) == 0, 0.0).otherwise(F.levenshtein(a, b) / F.length(a))
 
 
-def _edit_distance(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-@F.pandas_udf(T.DoubleType())
-def word_error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Edit distance over words of normalised texts by the truth's words [H35]. Batches of columns: no built-in compares
-    arrays by edits."""
-    return pd.Series([_edit_distance(a.split(), b.split()) / max(1, len(a.split())) if a else 0.0 for a, b in zip(truth.fillna(""), hypothesis.fillna(""), strict=True)])
-
-
-FAULTS = T.StructType([T.StructField(n, T.LongType()) for n in ("split", "merged", "substituted", "inserted", "dropped")])
-
-
-@F.pandas_udf(FAULTS)
-def word_faults(truth: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """How the words of two normalised texts differ, by aligned runs: words run together or apart, replaced, added, lost
-    [H37]."""
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Edits between two sequences. A column of the table of distances is two bit vectors (where it rises, where it falls)
+    in Python's long integers, so a whole column is a few operations."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < n and lo < m and a[lo] == b[lo]:
+        lo += 1
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[lo:n], b[lo:m]
+    if not a or not b:
+        return len(a) or len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    at: dict = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rise, fall, out = every, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        level = ((same & rise) + rise ^ rise) | same | fall
+        up, down = fall | ~(level | rise) & every, rise & level
+        out += bool(up & last) - bool(down & last)
+        up, down = up << 1 & every | 1, down << 1 & every
+        rise, fall = down | ~(level | up) & every, up & level
+    return out
+
+
+#: The kinds of wrong words.
+FAULT_KINDS = ("misread", "one_char", "missing_extra", "spacing", "punctuation")
+
+
+def fault_kind(expected: list[str], actual: list[str]) -> str:
+    """What a run of differing words is wrong about [H37]: only spaces, only marks, words too few or too many, one
+    character of as many, or anything else."""
+    x, y = "".join(expected), "".join(actual)
+    if x.lower() == y.lower():
+        return "spacing"
+    if [c for c in x.lower() if c.isalnum()] == [c for c in y.lower() if c.isalnum()]:
+        return "punctuation"
+    if not x or not y:
+        return "missing_extra"
+    return "one_char" if len(x) == len(y) and sum(map(str.__ne__, x, y)) == 1 else "misread"
+
+
+DOCUMENT_ERRORS = T.StructType([T.StructField("cer", T.DoubleType()), T.StructField("wer", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in (*FAULT_KINDS, "words"))])
+
+
+@F.pandas_udf(DOCUMENT_ERRORS)
+def document_errors(truth: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """Of two whole normalised texts: error rates over characters and over words, and the wrong words by kind, a run
+    counted by its longer side [H34-H37]. No built-in compares word sequences, and the texts are long."""
     import difflib
 
     rows = []
     for a, b in zip(truth.fillna(""), hypothesis.fillna(""), strict=True):
-        n = dict.fromkeys(("split", "merged", "substituted", "inserted", "dropped"), 0)
         x, y = a.split(), b.split()
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "insert":
-                n["inserted"] += m - k
-            elif op == "delete":
-                n["dropped"] += j - i
-            elif op == "replace":
-                if "".join(x[i:j]) == "".join(y[k:m]):
-                    n["merged" if m - k < j - i else "split"] += max(j - i, m - k)
-                else:
-                    n["substituted"] += max(j - i, m - k)
-        rows.append(n)
-    return pd.DataFrame(rows, columns=["split", "merged", "substituted", "inserted", "dropped"])
+        n = dict.fromkeys(FAULT_KINDS, 0)
+        if x:
+            for op, i, j, k, m in difflib.SequenceMatcher(None, [w.lower() for w in x], [w.lower() for w in y]).get_opcodes():
+                if op != "equal":
+                    n[fault_kind(x[i:j], y[k:m])] += max(j - i, m - k)
+        rows.append((edit_distance(a, b) / len(a) if a else 0.0, edit_distance(x, y) / len(x) if x else 0.0, *n.values(), len(x)))
+    return pd.DataFrame(rows, columns=[f.name for f in DOCUMENT_ERRORS])
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

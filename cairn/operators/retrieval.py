@@ -7,11 +7,11 @@ never broadcast by a hint, the planner does it where their measured size allows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scores
@@ -25,6 +25,7 @@ def top(rows: DataFrame, k: int, score: str = "score", key: str = "chunk_id", by
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+SHARD_ROWS = 65_536
 _PACK = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("confidence", pa.binary()), ("unit", pa.binary())])
 _HITS = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("mean_confidence", pa.float64()), ("score", pa.float64())])
 
@@ -49,11 +50,11 @@ def _packed(rows: DataFrame, key: str, vec: str, parts: int, block: int) -> Data
 
 def dense(queries: DataFrame, vectors: DataFrame, who: Principal | None = None, k: int = 40, digits: int = 10) -> DataFrame:
     """Cosine top-k of each query (query_id, q) over vectors (chunk_id, vec, access columns), all of one width [L2, F2].
-    Vectors are dealt into as many shards as the session has shuffle partitions and packed into blocks; every block of
-    queries meets every shard by an equality on the shard, and a task multiplies two matrices and keeps k for each query,
+    Vectors are dealt into shards of about SHARD_ROWS, as many as the session has shuffle partitions at least, and packed
+    into blocks; every block of queries meets every shard by an equality on the shard, and a task multiplies two matrices and keeps k for each query,
     so what is shuffled is blocks and k hits a shard, never pairs."""
-    shards = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     seen = vectors.where(who.predicate()) if who else vectors
+    shards = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-seen.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // 1024))
     asked = _packed(queries.withColumn("mean_confidence", F.lit(0.0)), "query_id", "q", blocks, 1024).select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
     held = _packed(seen, "chunk_id", "vec", shards, 16384)
@@ -73,19 +74,29 @@ def dense(queries: DataFrame, vectors: DataFrame, who: Principal | None = None,
     return top(pairs.mapInArrow(run, "query_id bigint, chunk_id bigint, mean_confidence double, score double"), k)
 
 
-def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
-    """term, key, tf: the inverted index, to be written once and bucketed by term [H2, L3]."""
-    token = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{1,4}-\d{1,5}[a-z]?|[a-z0-9]+"), F.lit(0)))
-    return chunks.select(key, token.alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+def query_lexemes(queries: DataFrame) -> DataFrame:
+    """query_id, term: the lower-cased search terms of each query, once each [H1]."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("text")), F.lower))).alias("term"))
 
 
-def sparse(queries: DataFrame, index: DataFrame, chunks: DataFrame, who: Principal | None = None, k: int = 40) -> DataFrame:
-    """Any-term search: a tenth of the matching positions, the best k of each query [L3, L4, F1]. queries: query_id, text.
-    The predicate drops chunks before the terms are joined."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("text")), F.lower))).alias("term"))
-    seen = (chunks.where(who.predicate()) if who else chunks).select("chunk_id", "mean_confidence")
-    hits = index.join(terms, "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
-    return top(hits.join(seen, "chunk_id"), k)
+def postings(chunks: DataFrame, terms: DataFrame | None = None, text: str = "text", key: str = "chunk_id") -> DataFrame:
+    """term, key, tf and mean_confidence: the inverted index of the chunks given [H2, L3]. For a few queries at a time, the
+    terms that they ask for: other tokens are then dropped before anything is shuffled. To keep, write it once for all terms,
+    with the access columns, bucketed by term."""
+    tokens = chunks.select(key, "mean_confidence", F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{1,4}-\d{1,5}[a-z]?|[a-z0-9]+"), F.lit(0))).alias("term"))
+    if terms is not None:
+        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
+    return tokens.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("mean_confidence").alias("mean_confidence"))
+
+
+def sparse(queries: DataFrame, chunks: DataFrame, who: Principal | None = None, k: int = 40) -> DataFrame:
+    """Any-term search over chunks, the best k of each query [L3, L4, F1]. queries: query_id, text. The predicate is part of
+    the scan: what a principal may not see is not tokenised. The rank is cover density, which for an any-term query is a
+    tenth for each position of a term: each is a cover of its own, of one word."""
+    terms = query_lexemes(queries)
+    index = postings(chunks.where(who.predicate()) if who else chunks, terms)
+    hits = index.join(terms, "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"), F.first("mean_confidence").alias("mean_confidence"))
+    return top(hits, k)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 0.8, limit: int | None = None, penalty: bool = True) -> DataFrame:
@@ -106,6 +117,42 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = 60, dense_weigh
     return top(out, limit) if limit else out
 
 
+PROBE_BYTES = 8_000_000
+
+
+def passages(chunks: DataFrame, probes: DataFrame) -> DataFrame:
+    """chunk_id, probe_id: the probes (probe_id bigint, probe) that a chunk's text contains whole [C11]. Probes are a set of
+    queries: they go in blocks of PROBE_BYTES, each an automaton in every task that the texts pass by once; no text is
+    shuffled and no pair looked at. Null and empty probes are in no text."""
+    rows = probes.where(F.col("probe") != "").select("probe_id", "probe", F.octet_length("probe").alias("bytes"))
+    size = rows.agg(F.sum("bytes")).first()[0] or 0
+    blocks = 1 + size // PROBE_BYTES
+    found = None
+    for k in range(blocks):
+        block = [(r["probe_id"], r["probe"]) for r in rows.where(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == k).toLocalIterator()]
+        one = chunks.select("chunk_id", "text").mapInArrow(_containing(block), "chunk_id bigint, probe_id bigint")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _containing(block: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids: dict[str, list[int]] = {}
+        for i, p in block:
+            ids.setdefault(p, []).append(i)
+        machine = ahocorasick.Automaton()
+        for p in ids:
+            machine.add_word(p, p)
+        machine.make_automaton()
+        for b in batches:
+            out = [(i, k) for i, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist(), strict=True) if text and ids for p in {p for _, p in machine.iter(text)} for k in ids[p]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["chunk_id", "probe_id"])
+
+    return run
+
+
 def merge_evidence(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Union that keeps each key's best score; of equal ones the earlier [G2, F9, M12]."""
     both = existing.withColumn("__old", F.lit(1)).unionByName(incoming.withColumn("__old", F.lit(0)))
@@ -114,10 +161,6 @@ def merge_evidence(existing: DataFrame, incoming: DataFrame, key: str = "chunk_i
     return both.groupBy(key).agg(best).select(key, *[F.col(f"b.{c}").alias(c) for c in cols])
 
 
-def as_map(keys: list[str], values: list[Column]) -> Column:
-    return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*values))
-
-
 def evidence_graph(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (documents with their passages) and edges (query to passage, weighted by the best score) [L13, D32, J24]."""
     w = Window.partitionBy("query_id")

@@ -144,7 +144,11 @@ def audit_chain(spark: SparkSession, d: str) -> DataFrame:
     return records.append_chain(tables.audit_events(spark, d).withColumn("shard", F.col("seq") % 50)).select("shard", "seq", "prev_hash", "hash")
 
 
-@query(f"WITH {_AUDIT} SELECT seq % 50 AS shard, count(*) AS events, CASE WHEN seq % 50 = 7 THEN 107 END AS first_invalid_seq FROM audit GROUP BY seq % 50")
+@query(
+    ORACLE_SQL["audit_chain"].replace("SELECT shard, seq, prev_hash, hash FROM c", """, w AS (SELECT c.*, '{"action":"' || CASE WHEN seq = 107 THEN 'forged' ELSE action END || '","actor":"' || actor || '","decision":"' || decision || '","seq":' || seq || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}' AS p FROM c JOIN audit USING (seq)),
+    v AS (SELECT *, sha256(p || '|' || prev_hash) <> hash OR prev_hash <> coalesce(lag(hash) OVER (PARTITION BY shard ORDER BY seq), repeat('0', 64)) AS broken FROM w)
+    SELECT shard, count(*) AS events, CAST(min(seq) FILTER (broken) AS INTEGER) AS first_invalid_seq FROM v GROUP BY shard""")
+)
 def audit_verify(spark: SparkSession, d: str) -> DataFrame:
     """The chains checked, with one record altered after it was written"""
     chained = records.append_chain(tables.audit_events(spark, d).withColumn("shard", F.col("seq") % 50))
@@ -197,11 +201,11 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return records.display_names(tables.table(spark, d, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 5 <> 3)")
 def unresolved_keys(spark: SparkSession, d: str) -> DataFrame:
-    """C17, C18, G5, N12, N13"""
+    """Suppliers of some nations are left out, so that there are keys to miss"""
     n = tables.table(spark, d, "nation").select(F.col("n_nationkey"), "n_name")
-    lost = records.unresolved(n, tables.table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
+    lost = records.unresolved(n, tables.table(spark, d, "supplier").where("s_nationkey % 5 <> 3").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
     return n.join(lost, "n_nationkey", "left_semi")
 
 
@@ -284,21 +288,25 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sr")
 def sparse_search(spark: SparkSession, d: str) -> DataFrame:
     """L3, L4, H1, H2, F1: any-term top 40 of each query under the predicate"""
-    c = tables.chunks(spark, d)
-    return retrieval.sparse(_text_queries(spark, d), retrieval.postings(c), c, ANALYST).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.sparse(_text_queries(spark, d), tables.chunks(spark, d), ANALYST).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-_FUSED = f"""{_DENSE.replace('query_id % 50 = 0', 'query_id % 50 = 0')}, {_SPARSE},
- b AS (SELECT query_id, chunk_id, rank, 'dense' AS method, 1.0::DOUBLE AS w FROM dr UNION ALL SELECT query_id, chunk_id, rank, 'sparse', 0.8::DOUBLE FROM sr WHERE query_id % 50 = 0),
+# each vector query takes the words of a benchmark item, so all have both halves
+_ASKED = f"""asked AS (SELECT DISTINCT chunk_id AS query_id, CAST(floor(chunk_id / 50) AS BIGINT) % (SELECT count(*) FROM benchmark) AS item_id FROM vectors WHERE chunk_id % 50 = 0),
+ both_terms AS (SELECT a.query_id, t.term FROM asked a JOIN terms t ON t.query_id = a.item_id)"""
+_FUSED = f"""{_DENSE}, {_SPARSE.replace('p AS (', _ASKED + ', p AS (', 1).replace('JOIN terms USING', 'JOIN both_terms USING')},
+ b AS (SELECT query_id, chunk_id, rank, 'dense' AS method, 1.0::DOUBLE AS w FROM dr UNION ALL SELECT query_id, chunk_id, rank, 'sparse', 0.8::DOUBLE FROM sr),
  f AS (SELECT query_id, chunk_id, sum(w / (60 + rank)) AS raw, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(method) END AS method, 0.5 + (chunk_id % 6) / 10.0::DOUBLE AS c FROM b GROUP BY 1, 2),
  g AS (SELECT *, round(CASE WHEN c < 0.8 THEN raw * (1 - 0.15::DOUBLE * (0.8::DOUBLE - c) / 0.8::DOUBLE) ELSE raw END, 10) AS score FROM f),
  h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g QUALIFY rank <= 8)"""
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    c = tables.chunks(spark, d)
-    sparse = retrieval.sparse(_text_queries(spark, d).where("query_id % 50 = 0"), retrieval.postings(c), c, ANALYST)
-    return retrieval.fuse(retrieval.dense(_vector_queries(spark, d), tables.vectors(spark, d), ANALYST), sparse, limit=8)
+    vectors, texts = _vector_queries(spark, d), _text_queries(spark, d)
+    n = F.broadcast(texts.agg(F.count(F.lit(1)).alias("n")))  # one row
+    asked = vectors.select("query_id").join(n).select("query_id", ((F.col("query_id") / 50).cast("long") % F.col("n")).alias("item_id"))
+    words = asked.join(texts.withColumnRenamed("query_id", "item_id"), "item_id").select("query_id", "text")
+    return retrieval.fuse(retrieval.dense(vectors, tables.vectors(spark, d), ANALYST), retrieval.sparse(words, tables.chunks(spark, d), ANALYST), limit=8)
 
 
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, score, method, CAST(rank AS INTEGER) AS rank FROM h")
@@ -388,10 +396,10 @@ def html_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- text functions [2-H] ---------------------------------------------------------------------------------------------------
-@query(f"SELECT doc_id, {_norm('text')} AS normalised FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_norm('text')} AS normalised FROM documents")
 def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     """H11"""
-    return tables.table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.normalised(F.col("text")).alias("normalised"))
+    return tables.table(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("normalised"))
 
 
 @query(
@@ -402,15 +410,10 @@ def search_terms(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "benchmark").select("item_id", F.lit("").alias("none"), F.size(text.query_terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
-@query(
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bBearer\s+[A-Za-z0-9._\-]{16,}', 'Bearer [REDACTED]', 'g'), '\beyJ[A-Za-z0-9._\-]{20,}', '[REDACTED]', 'g'),
-    '\b[A-Z]{5}[0-9]{4}[A-Z]\b', '[REDACTED]', 'g'), '\b\d{4}\s?\d{4}\s?\d{4}\b', '[REDACTED]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[REDACTED]', 'g'), '\b\d{12,19}\b', '[REDACTED]', 'g')) AS redacted FROM documents WHERE lang = 'en' AND source <> 'src3' AND ascii_only"""
-    .replace("FROM documents", "FROM (SELECT *, len(text) = strlen(text) AS ascii_only FROM documents)")
-)
+@query()
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
-    """On ASCII texts, where both dialects' word classes agree"""
-    t = tables.table(spark, d, "documents").where((F.col("lang") == "en") & (F.col("source") != "src3") & (F.length("text") == F.octet_length("text")))
-    return t.select("doc_id", F.sha2(text.redact_text(F.col("text")), 256).alias("redacted"))
+    """Every document; its word classes are Java's, so it is held against a Python statement of the masks"""
+    return tables.table(spark, d, "documents").select("doc_id", F.sha2(text.redact_text(F.col("text")), 256).alias("redacted"))
 
 
 @query(
@@ -451,22 +454,22 @@ def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT a.doc_id, CASE WHEN len(x) = 0 THEN 0.0 ELSE levenshtein(x, y) / len(x)::DOUBLE END AS cer, CASE WHEN len(replace(x, ' ', '')) = 0 THEN 0.0 ELSE levenshtein(replace(x, ' ', ''), replace(y, ' ', '')) / len(replace(x, ' ', ''))::DOUBLE END AS cer_no_spaces
-    FROM (SELECT doc_id, {a} AS x, {b} AS y FROM documents) a""".format(a=_norm("left(text, 300)"), b=_norm("replace(left(text, 300), 'the ', 'teh')"))
+    """SELECT conv_id, turn, CASE WHEN len(x) = 0 THEN 0.0 ELSE levenshtein(x, y) / len(x)::DOUBLE END AS cer, CASE WHEN len(replace(x, ' ', '')) = 0 THEN 0.0 ELSE levenshtein(replace(x, ' ', ''), replace(y, ' ', '')) / len(replace(x, ' ', ''))::DOUBLE END AS cer_no_spaces
+    FROM (SELECT conv_id, turn, {a} AS x, {b} AS y FROM conversations) a""".format(a=_norm("text"), b=_norm("replace(text, 'the ', 'teh')"))
 )
 def character_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Error rates of the openings with a planted fault"""
-    a = F.substring("text", 1, 300)
-    b = F.replace(a, F.lit("the "), F.lit("teh"))
-    return tables.table(spark, d, "documents").select("doc_id", evaluation.character_error_rate(a, b).alias("cer"), evaluation.character_error_rate(a, b, False).alias("cer_no_spaces"))
+    """Error rates of whole messages with a planted fault"""
+    m = tables.messages(spark, d).repartition("conv_id", "turn")
+    pair = m.select("conv_id", "turn", text.normalised(F.col("content")).alias("x"), text.normalised(F.replace("content", F.lit("the "), F.lit("teh"))).alias("y"))
+    return pair.select("conv_id", "turn", evaluation.character_error_rate(F.col("x"), F.col("y")).alias("cer"), evaluation.character_error_rate(F.col("x"), F.col("y"), False).alias("cer_no_spaces"))
 
 
 @query()
 def word_errors(spark: SparkSession, d: str) -> DataFrame:
-    """H35, H37, D22"""
-    a = F.substring("text", 1, 300)
-    x, y = text.normalised(a), text.normalised(F.replace(a, F.lit("the "), F.lit("the")))
-    return tables.table(spark, d, "documents").select("doc_id", F.round(evaluation.word_error_rate(x, y), 10).alias("wer"), evaluation.word_faults(x, y).alias("f")).select("doc_id", "wer", "f.*")
+    """Whole documents with planted faults"""
+    t = tables.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    pair = t.select("doc_id", text.normalised(F.col("text")).alias("x"), text.normalised(F.regexp_replace(F.replace("text", F.lit("the "), F.lit("the")), "ing", "ihg")).alias("y"))
+    return pair.select("doc_id", evaluation.document_errors("x", "y").alias("f")).select("doc_id", F.round("f.cer", 10).alias("cer"), F.round("f.wer", 10).alias("wer"), *(F.col(f"f.{k}") for k in (*evaluation.FAULT_KINDS, "words")))
 
 
 # --- rules and routing [2-N] ---------------------------------------------------------------------------------------------
@@ -617,8 +620,11 @@ def rolling_latency(spark: SparkSession, d: str) -> DataFrame:
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Dense search against vectors of the same label"""
     v = tables.vectors(spark, d)
-    gold = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "label").join(v.select("chunk_id", "label"), "label").select("query_id", "chunk_id")
-    return evaluation.ranking_metrics(retrieval.dense(_vector_queries(spark, d), v, ANALYST), gold)
+    labels = v.select("chunk_id", "label")
+    asked = labels.where("chunk_id % 50 = 0").withColumnsRenamed({"chunk_id": "query_id", "label": "wanted"})
+    sizes = asked.join(labels.groupBy(F.col("label").alias("wanted")).agg(F.count(F.lit(1)).alias("relevant")), "wanted").select("query_id", "relevant")
+    hits = retrieval.dense(_vector_queries(spark, d), v, ANALYST).join(labels, "chunk_id").join(asked, "query_id").select("query_id", "rank", (F.col("label") == F.col("wanted")).alias("hit"))
+    return evaluation.ranking_metrics(hits, sizes)
 
 
 _PAIRS = "p AS (SELECT CAST(l.quality AS VARCHAR) AS expected, CASE WHEN d.n_chars > 400 THEN '1' ELSE '0' END AS actual FROM labels l JOIN documents d USING (doc_id))"
@@ -706,19 +712,12 @@ def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- joins [2-C] --------------------------------------------------------------------------------------------------------------
-@query(
-    """WITH b AS (SELECT item_id, left(text, 60) AS probe FROM benchmark) SELECT b.item_id, count(*) AS documents FROM b JOIN documents d ON contains(d.text, b.probe) GROUP BY 1"""
-)
+@query("SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def passages_in_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Passages found in documents. Candidates come from an equality on the opening words of each line, so no pair
-    of all is looked at; containment decides."""
-    head = lambda c: F.array_join(F.slice(F.split(F.trim(c), r"\s+"), 1, 3), " ")
-    b = tables.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("probe"), head(F.col("text")).alias("head"))
-    t = tables.table(spark, d, "documents").select("doc_id", "text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-    heads = b.select("head").distinct()
-    at = t.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w")).select("doc_id", F.explode(grams).alias("head")).join(heads, "head", "left_semi")
-    return at.join(b, "head").join(t, "doc_id").where(F.col("text").contains(F.col("probe"))).select("doc_id", "item_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    """Whole passages found in whole documents"""
+    probes = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), F.col("text").alias("probe"))
+    found = retrieval.passages(tables.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), probes)
+    return found.groupBy(F.col("probe_id").alias("item_id")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(
@@ -748,7 +747,7 @@ def readings_in_force(spark: SparkSession, d: str) -> DataFrame:
 def answer_validation(spark: SparkSession, d: str) -> DataFrame:
     """Assistant messages as answers"""
     m = tables.messages(spark, d).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat("content", F.lit(" [1]")).alias("text"))
-    return answers.validate(m)
+    return answers.validate(m).select("answer_id", "refusal", "grounded_ratio", F.size("unsupported").alias("n_unsupported"), "acceptable")
 
 
 # --- reports, plans, providers [2-H, 2-N, 2-P] ---------------------------------------------------------------------------
@@ -764,12 +763,12 @@ def evidence_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT source AS title, list_sort(list_distinct(list(CAST(doc_id % 3 AS BIGINT)))) AS p, min(0.5 + (doc_id % 6) / 10.0::DOUBLE) AS c FROM documents WHERE doc_id % 4 > 1 GROUP BY 1)
+    """WITH s AS (SELECT source AS title, list_sort(list_distinct(list(CAST(doc_id % 3 AS BIGINT)))) AS p, min(0.5 + (doc_id % 6) / 10.0::DOUBLE) AS c FROM documents GROUP BY 1)
     SELECT title, title || CASE WHEN len(p) > 1 THEN ' — pages ' ELSE ' — page ' END || array_to_string(p, ', ') || CASE WHEN c < 0.85 THEN '  [text recognised from a scan at ' || CAST(round(c * 100) AS INTEGER) || '% confidence — verify against the original]' ELSE '' END AS line FROM s"""
 )
 def provenance_lines(spark: SparkSession, d: str) -> DataFrame:
     """D12, D13, H28, H29, P36, P37"""
-    c = tables.chunks(spark, d).where("chunk_id % 4 > 1").groupBy(F.col("doc_type").alias("title")).agg(F.array_sort(F.collect_set(F.col("chunk_id") % 3)).alias("p"), F.min("mean_confidence").alias("c"))
+    c = tables.chunks(spark, d).groupBy(F.col("doc_type").alias("title")).agg(F.array_sort(F.collect_set(F.col("chunk_id") % 3)).alias("p"), F.min("mean_confidence").alias("c"))
     return c.select("title", reports.source_line(F.col("title"), F.col("p"), F.col("c")).alias("line"))
 
 
@@ -794,12 +793,12 @@ def planner_output(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '.example:' || (8000 + n_nationkey) ELSE '10.0.0.' || n_nationkey END AS host, n_nationkey % 2 = 1 AS private,
-    CAST(floor(n_nationkey * 1001 / 4) AS BIGINT) + 800 * (n_nationkey % 3) AS tokens FROM nation WHERE n_name NOT LIKE '% %'"""
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(replace(n_name, ' ', '-')) || '.example:' || (8000 + n_nationkey) ELSE '10.0.0.' || n_nationkey END AS host, n_nationkey % 2 = 1 AS private,
+    CAST(floor(n_nationkey * 1001 / 4) AS BIGINT) + 800 * (n_nationkey % 3) AS tokens FROM nation"""
 )
 def provider_hosts(spark: SparkSession, d: str) -> DataFrame:
     """B33, P5, P14"""
-    n = tables.table(spark, d, "nation").where(~F.col("n_name").contains(" "))
+    n = tables.table(spark, d, "nation").withColumn("n_name", F.replace("n_name", F.lit(" "), F.lit("-")))
     url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("https://user@"), "n_name", F.lit(".example:"), (8000 + F.col("n_nationkey")).cast("string"), F.lit("/v1"))).otherwise(F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")))
     host = planning.host_of(url)
     return n.select("n_nationkey", host.alias("host"), planning.is_private(host).alias("private"), planning.prompt_tokens(F.col("n_nationkey") * 1001, F.col("n_nationkey") % 3).alias("tokens"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import engineering, figures, planning, reports, rules, scores, text
 from cairn.functions.access import Principal, clearance_rank, label_rank
-from cairn.operators import answers, chunking, evaluation, records, routing
+from cairn.operators import answers, chunking, evaluation, records, retrieval, routing
 from cairn.operators.code_check import inspected
 from cairn.sources import files
 
@@ -182,10 +182,74 @@ def test_packing_fold(spark):
         assert [[tuple(b) for b in g] for g in r["g"]] == spec(cases[r["i"]], 12, 4)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_error_rates(spark):
-    a, b = F.lit("The surge drum V-1201"), F.lit("the surgedrum v1201")
-    cer, free, wer = one(spark, evaluation.character_error_rate(a, b), evaluation.character_error_rate(a, b, False), evaluation.word_error_rate(text.normalised(a), text.normalised(b)))
-    assert cer == pytest.approx(1 / 20) and free == 0.0 and wer == 0.5
+    x, y = text.normalised(F.lit("The surge drum V-1201")), text.normalised(F.lit("the surgedrum v1201"))
+    cer, free, f = one(spark, evaluation.character_error_rate(x, y), evaluation.character_error_rate(x, y, False), evaluation.document_errors(x, y))
+    assert cer == pytest.approx(1 / 20) and free == 0.0 and f["wer"] == 0.5 and f["cer"] == pytest.approx(1 / 20)
+    assert {k: f[k] for k in evaluation.FAULT_KINDS} == {"misread": 0, "one_char": 0, "missing_extra": 0, "spacing": 2, "punctuation": 0} and f["words"] == 4
+
+
+def test_edit_distance():
+    rnd = random.Random(9)
+    for _ in range(400):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 90))) for _ in "ab")
+        if rnd.random() < 0.5:
+            b = a[: len(a) // 2] + "x" + a[len(a) // 2 + 1 :]
+        assert evaluation.edit_distance(a, b) == plain_distance(a, b) == evaluation.edit_distance(list(b), list(a))
+
+
+def test_kinds_of_wrong_words(spark):
+    cases = [
+        ("the pressure was high", "the pressure was hiqh", {"one_char": 1}), ("the pressure was high", "the presure was high", {"misread": 1}), ("pump trip at noon", "pump at noon", {"missing_extra": 1}),
+        ("pump at noon", "pump tripped badly at noon", {"missing_extra": 2}), ("re set the relay", "reset the relay", {"spacing": 2}), ("one two three", "four five", {"misread": 3}), ("same words here", "same words here", {}), ("", "words", {}),
+    ]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string").select("k", evaluation.document_errors("a", "b").alias("f"))
+    for r in df.collect():
+        assert {n: r["f"][n] for n in evaluation.FAULT_KINDS if r["f"][n]} == cases[r["k"]][2]
+
+
+def test_validation_report(spark):
+    long = "The relief valve was set to twelve bar in the last overhaul"
+    cases = {
+        1: ("Yes.", 1.0, [], True), 2: (f"{long}.", 0.0, [f"{long}."], False), 3: (f"{long} [1].\n\nThe second claim stands here without any.", 0.5, ["The second claim stands here without any."], False),
+        4: ("The documents do not contain the requested figure.", 1.0, [], True), 5: (f"{long}.\n\n[1]", 1.0, [], True), 6: ("", 1.0, [], True), 7: (" ".join([f"{long}."] * 7), 0.0, [f"{long}."] * 5, False),
+    }
+    df = spark.createDataFrame([(k, c[0], ["chk_x"] if k == 5 else [], ["bad"] if k == 6 else None) for k, c in cases.items()], "answer_id bigint, text string, unresolved array<string>, schema_errors array<string>")
+    for r in answers.validate(df).collect():
+        _, ratio, unsupported, good = cases[r["answer_id"]]
+        assert (r["grounded_ratio"], r["unsupported"]) == (ratio, unsupported)
+        assert r["acceptable"] == (good and r["answer_id"] != 6)
+        assert r["unresolved_citations"] == (["chk_x"] if r["answer_id"] == 5 else [])
+
+
+def test_masks_of_every_document(spark, sf):
+    import hashlib
+
+    from cairn.plans.catalogue import QUERIES
+
+    got = {r["doc_id"]: r["redacted"] for r in QUERIES["redacted_documents"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        t = r["text"]
+        for pattern, mask in text.MASKS:
+            t = re.sub(pattern, mask, t)
+        assert got[r["doc_id"]] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_passages_in_texts(spark):
+    chunks = spark.createDataFrame([(1, '"foo bar baz qux'), (2, "a foo bar baz"), (3, None), (4, ""), (5, "foo bar bazfoo bar baz")], "chunk_id bigint, text string")
+    probes = spark.createDataFrame([(1, "foo bar baz"), (2, "qux"), (3, "foo bar baz"), (4, ""), (5, None)], "probe_id bigint, probe string")
+    want = {(1, 1), (1, 3), (1, 2), (2, 1), (2, 3), (5, 1), (5, 3)}
+    got = [tuple(r) for r in retrieval.passages(chunks, probes).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_chain_tampering(spark):
