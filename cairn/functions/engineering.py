@@ -116,3 +116,27 @@ def readings_beside(lines: Column, year: Column, location: Column | None = None)
 def contradicted(readings: Column, thickness_mm: Column) -> Column:
     """Whether the sources record readings and none is the claimed one [J10]."""
     return (F.size(readings) > 0) & ~F.exists(readings, lambda r: F.abs(r.cast("double") - F.bround(thickness_mm, 4)) < 0.005)
+
+
+#: Each calculation's inputs with the unit that it takes them in (none: as they are), in the order of its arguments.
+CATALOGUE = {
+    "corrosion_rate": (corrosion_rate, (("initial_thickness", "mm"), ("current_thickness", "mm"), ("interval", "year"))),
+    "remaining_life": (remaining_life, (("current_thickness", "mm"), ("minimum_thickness", "mm"), ("corrosion_rate", "mm/year"))),
+    "minimum_thickness": (minimum_thickness, (("design_pressure", "MPa"), ("inside_radius", "mm"), ("allowable_stress", "MPa"))),
+    "heat_duty": (heat_duty, (("mass_flow", "kg/s"), ("specific_heat", None), ("difference", "K"))),
+}
+
+
+def dispatch(name: Column, raw: Column) -> Column:
+    """The calculation of that name over inputs as people write them (map of strings): aliases, then what is missing, then
+    units, then the result or its refusal; an unknown name fails [J8]."""
+    out = _result(F.lit(None).cast("double"), "", F.lit(None).cast("string"))
+    for key, (function, inputs) in CATALOGUE.items():
+        given = canonical_inputs(raw, tuple(k for k, _ in inputs))
+
+        def value(k: str, unit: str | None) -> Column:
+            q = quantity(F.try_element_at(given, F.lit(k)))  # noqa: B023
+            return q["value"] if unit is None else convert(q["value"], q["unit"], unit)
+
+        out = F.when(name == key, function(*(value(k, unit) for k, unit in inputs))).otherwise(out)
+    return out

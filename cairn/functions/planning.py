@@ -84,3 +84,18 @@ def expanded(value: Column, environment: Column) -> Column:
 def compact(value: Column, limit: int = 2000) -> Column:
     """A tool's payload for a prompt [K14]."""
     return F.left(value, F.lit(limit))
+
+
+def total_tokens(prompt: Column, answer: Column) -> Column:
+    """[P6]"""
+    return prompt + answer
+
+
+def remaining_seconds(deadline: Column, now: Column) -> Column:
+    """[P34]"""
+    return F.greatest(F.lit(0.0), deadline - now)
+
+
+def outcome(ok: Column, refused: Column) -> Column:
+    """A tool's refusal is neither a success nor a failure [P33]."""
+    return F.when(ok, "ok").when(refused, "refused").otherwise("failed")

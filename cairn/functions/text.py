@@ -261,3 +261,20 @@ def digest(json: Column) -> Column:
 def chain_hash(json: Column, previous: Column) -> Column:
     """SHA-256 of the record and its predecessor's hash [K3]."""
     return F.sha2(F.concat(json, F.lit("|"), previous), 256)
+
+
+def name_uuid(namespace: str, name: Column) -> Column:
+    """The UUID of version 5 of a name in a namespace, the same wherever it is computed [K5]."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 19, 2), F.lit("-"), F.substring(h, 21, 12))
+
+
+def sortable_id(time: Column, content: Column, prefix: str = "") -> Column:
+    """An id that sorts by time, and by content within a millisecond: 12 hexadecimal digits of time, 16 of a digest [I10]."""
+    return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(F.unix_millis(time))), 12, "0"), F.substring(F.sha2(content, 256), 1, 16))
+
+
+def stamp_of(name: Column, otherwise: Column) -> Column:
+    """The time that a file's name gives (20290131T120000), or otherwise [I7]."""
+    return F.coalesce(F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{8}T\d{6})", 1), F.lit("")), F.lit("yyyyMMdd'T'HHmmss")), otherwise)

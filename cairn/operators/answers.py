@@ -113,3 +113,9 @@ def overridden(answers: DataFrame, calculated: DataFrame) -> DataFrame:
     """Calculated values that no measurement of an answer is within 2 % of [J23]. calculated: answer_id, name, value."""
     said = answers.select("answer_id", F.transform(figures(F.col("text")), lambda f: f["value"].cast("double")).alias("said"))
     return calculated.join(said, "answer_id").where(~near_any(F.col("value"), F.col("said"))).select("answer_id", "name", "value")
+
+
+def calculated(results: DataFrame) -> DataFrame:
+    """Each number that a run's tools gave, and the first calculation that gave it [K13]. results: answer_id, pos, name, output."""
+    each = results.select("answer_id", "pos", "name", F.explode(numbers(F.col("output"))).alias("value"))
+    return each.groupBy("answer_id", "value").agg(F.min_by("name", "pos").alias("name"))

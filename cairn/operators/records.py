@@ -166,3 +166,74 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, replace: bool = T
 def unresolved(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Keys that a dimension lacks: must be empty before an inner join is trusted [C18, G5, N12, N13]."""
     return rows.join(dimension.select(key), key, "left_anti").select(key).distinct()
+
+
+def hydrated(messages: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Messages with their run's status and how many artifacts it made [C10]. All by run_id; runs: run_id, status."""
+    n = artifacts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_artifacts"))
+    return messages.join(runs.select("run_id", "status"), "run_id", "left").join(n, "run_id", "left").withColumn("n_artifacts", F.coalesce("n_artifacts", F.lit(0).cast("long")))
+
+
+def failed_cases(cases: DataFrame, gold: DataFrame, source: str) -> DataFrame:
+    """The cases of a suite that failed, with their question; a case that the gold set lacks has none [C20, P41]. Evidence is
+    kept of these alone. cases: case_id, passed, actual, evidence; gold: case_id, query."""
+    j = cases.where(~F.col("passed")).join(gold.select("case_id", "query"), "case_id", "left")
+    return j.select("case_id", F.coalesce("query", F.lit("")).alias("prompt"), F.substring("actual", 1, 600).alias("actual"), "evidence", F.concat(F.lit(f"{source}:"), F.col("case_id").cast("string")).alias("source"))
+
+
+def document_detail(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents with their number of chunks [P19]."""
+    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return documents.join(n, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
+
+
+def uploads(files: DataFrame, clearance: str, max_bytes: int, max_pages: int) -> DataFrame:
+    """Files with the reason why they are not taken, null if they are [B13, B26]. files: classification, bytes, pages."""
+    from cairn.functions.access import LADDER, outranks
+
+    c = F.col("classification")
+    reason = F.when(~F.coalesce(c.isin(*LADDER), F.lit(False)), "unknown classification").when(outranks(c, F.lit(clearance)), "above the uploader's clearance").when(F.col("bytes") > max_bytes, "too large").when(F.col("pages") > max_pages, "too many pages")
+    return files.withColumn("refused", reason)
+
+
+def needs_approval(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """Whether a call needs a decision: by its tool, by the configuration, for touching restricted sources, or as a
+    calculation for engineering [B29]. calls: call_id, tool, touched_restricted, engineering; tools: tool, requires, configured."""
+    j = calls.join(tools, "tool", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return j.select("call_id", (yes("requires") | yes("configured") | yes("touched_restricted") | yes("engineering")).alias("needs_approval"))
+
+
+def owned(rows: DataFrame, user_id: Column, owner: str = "owner_id", archived: str = "archived") -> DataFrame:
+    """A user's own rows that are not archived; others are as if they were not [B15, B9]."""
+    return rows.where((F.col(owner) == user_id) & ~F.col(archived))
+
+
+def changed(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Conversations renamed or archived by the last change of each kind [P18]. changes: conv_id, seq, title, archived, of which
+    one is null."""
+    last = changes.groupBy("conv_id").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("new_title"), F.max_by("archived", F.when(F.col("archived").isNotNull(), F.col("seq"))).alias("new_archived"))
+    j = conversations.join(last, "conv_id", "left")
+    return j.withColumns({"title": F.coalesce("new_title", "title"), "archived": F.coalesce("new_archived", "archived")}).drop("new_title", "new_archived")
+
+
+def appended(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Conversations touched by their new messages: the newest time, and the title from the first question where there is none
+    [P17]. messages: conv_id, turn, role, content, at."""
+    n = messages.groupBy("conv_id").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("added"), F.min_by(F.substring("content", 1, 60), F.when(F.col("role") == "user", F.col("turn"))).alias("first"))
+    j = conversations.join(n, "conv_id", "left")
+    return j.withColumns({"updated_at": F.greatest("updated_at", "at"), "title": F.coalesce(F.nullif("title", F.lit("")), "first"), "added": F.coalesce("added", F.lit(0).cast("long"))}).drop("at", "first")
+
+
+def after_decision(artifacts: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Artifacts with the status and the provenance that their approval's decision gives [P21]. artifacts: artifact_id, status,
+    provenance map; approvals: artifact_id, status, decided_by."""
+    j = artifacts.join(approvals.withColumnRenamed("status", "decision"), "artifact_id", "left")
+    told = F.map_concat("provenance", F.map_from_arrays(F.array(F.lit("approval"), F.lit("decided_by")), F.array("decision", "decided_by")))
+    done = F.coalesce(F.col("decision").isin("approved", "rejected"), F.lit(False))
+    return j.select("artifact_id", F.when(done, F.col("decision")).otherwise(F.col("status")).alias("status"), F.when(done, told).otherwise(F.col("provenance")).alias("provenance"))
+
+
+def live_sessions(sessions: DataFrame, as_of: Column) -> DataFrame:
+    """Sessions neither revoked nor over at a given time, which is always a parameter [I1, I5]."""
+    return sessions.where(~F.col("revoked") & (F.col("expires_at") > as_of))

@@ -6,8 +6,6 @@ against. Queries whose rules need lookarounds have none and are tested against s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +13,13 @@ from cairn.functions import engineering, figures, planning, reports, rules, scor
 from cairn.functions.access import Principal, clearance_rank, granted, label_rank, missing, outranks, tree
 from cairn.operators import answers, chunking, evaluation, records, retrieval, routing
 from cairn.operators.code_check import code_check
+from cairn.plans.registry import ORACLE_SQL, query
 from cairn.sources import files, tables
 from cairn.streaming import runs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 ANALYST = Principal("u1", "confidential", frozenset({"ops", "safety"}))
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- SQL parts --------------------------------------------------------------------------------------------------------
 _ACL = """ list_element(['public','internal','confidential','restricted'], CAST({k} % 4 + 1 AS INTEGER)) AS classification,
  CASE WHEN {k} % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [list_element(['ops','safety','finance'], CAST({k} % 3 + 1 AS INTEGER))] END AS departments,

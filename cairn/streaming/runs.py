@@ -102,3 +102,50 @@ def merged_fragments(deltas: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "arguments"))), lambda x: x["arguments"]), "").alias("arguments"),
     )
     return g.where("name IS NOT NULL AND name <> ''").withColumn("parsed", F.try_parse_json("arguments").isNotNull())
+
+
+def until_closed(events: DataFrame, end: str, run: str = "run_id") -> DataFrame:
+    """What subscribers of a run get: everything up to its end marker, nothing after [M4]."""
+    first = F.min(F.when(F.col("name") == end, F.col("seq"))).over(Window.partitionBy(run))
+    return events.withColumn("__end", first).where(F.col("__end").isNull() | (F.col("seq") <= F.col("__end"))).drop("__end")
+
+
+def stored_trace(events: DataFrame, token: str, reasoning: str, limit: int = 20_000, run: str = "run_id") -> DataFrame:
+    """The trace that is kept of a run: no token events, and all reasoning as one event of limit characters after the
+    others [M7]. events: run, seq, name, data."""
+    rest = events.where(~F.col("name").isin(token, reasoning)).select(run, "seq", "name", "data")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "data"))), lambda x: x["data"]), "")
+    one = events.where(F.col("name") == reasoning).groupBy(run).agg(F.max("seq").alias("seq"), F.substring(parts, 1, limit).alias("data"))
+    after = rest.groupBy(run).agg(F.max("seq").alias("last"))
+    return rest.unionByName(one.join(after, run, "left").select(run, (F.greatest("seq", F.coalesce("last", F.lit(0).cast("long"))) + 1).alias("seq"), F.lit(reasoning).alias("name"), "data"))
+
+
+def progress(reports: DataFrame, stages: DataFrame, job: str = "job_id") -> DataFrame:
+    """The share of a job that is done at each report: stages before it by weight, its own by how far within it is [D27, M21,
+    L10]. reports: job, seq, stage, within; stages: stage, pos, weight, a small list."""
+    w = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = stages.withColumns({"before": F.coalesce(F.sum("weight").over(w), F.lit(0.0)), "total": F.sum("weight").over(Window.partitionBy(F.lit(0)))})
+    part = F.col("weight") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("within")))
+    return reports.join(s, "stage").select(job, "seq", F.least(F.lit(1.0), (F.col("before") + part) / F.col("total")).alias("fraction"))
+
+
+def stage_timings(reports: DataFrame, job: str = "job_id") -> DataFrame:
+    """Milliseconds of each stage of a job, from its first to its last report [L10]. reports: job, stage, at_ms."""
+    return reports.groupBy(job, "stage").agg((F.max("at_ms") - F.min("at_ms")).alias("ms"))
+
+
+def last_attempts(attempts: DataFrame, most: int = 2) -> DataFrame:
+    """A step's outcome: its first success, or its last attempt; a step is tried again once, with what was wrong told [M20].
+    attempts: step_id, attempt, ok, detail."""
+    tried = attempts.where(F.col("attempt") <= most)
+    order = F.struct("ok", F.when(F.col("ok"), -F.col("attempt")).otherwise(F.col("attempt")))
+    return tried.groupBy("step_id").agg(F.max_by(F.struct("attempt", "ok", "detail"), order).alias("b")).select("step_id", "b.*")
+
+
+def view_state(patches: DataFrame, run: str = "run_id") -> DataFrame:
+    """A run's view after its patches: text of the appended tokens, steps by their last mark, things added once [M10]. patches:
+    run, seq, kind (token, step, add), key, value."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("seq", "value")))), lambda x: x["value"]), "")
+    last = patches.where("kind = 'step'").groupBy(run, "key").agg(F.max_by("value", "seq").alias("value")).groupBy(run).agg(F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))).alias("steps"))
+    whole = patches.groupBy(run).agg(text.alias("text"), F.array_sort(F.collect_set(F.when(F.col("kind") == "add", F.col("key")))).alias("things"))
+    return whole.join(last, run, "left").select(run, "text", "things", F.coalesce("steps", F.array().cast("array<string>")).alias("steps"))

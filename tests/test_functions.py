@@ -234,9 +234,9 @@ def test_validation_report(spark):
 def test_masks_of_every_document(spark, sf):
     import hashlib
 
-    from cairn.plans.catalogue import QUERIES
+    from cairn.plans.catalogue import redacted_documents
 
-    got = {r["doc_id"]: r["redacted"] for r in QUERIES["redacted_documents"](spark, sf).collect()}
+    got = {r["doc_id"]: r["redacted"] for r in redacted_documents(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
         t = r["text"]
         for pattern, mask in text.MASKS:

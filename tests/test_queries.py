@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cairn.plans.catalogue import ORACLE_SQL, QUERIES
+from cairn.plans import catalogue, inventory  # noqa: F401  they register
+from cairn.plans.registry import ORACLE_SQL, QUERIES
 
 
 def shown(v):
