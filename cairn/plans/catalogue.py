@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from cairn.functions import engineering, figures, planning, reports, rules, scores, text
 from cairn.functions.access import Principal, clearance_rank, granted, label_rank, missing, outranks, tree
 from cairn.operators import answers, chunking, evaluation, records, retrieval, routing
-from cairn.operators.code_check import code_check
 from cairn.plans.registry import ORACLE_SQL, query
 from cairn.sources import files, tables
 from cairn.streaming import runs
@@ -458,13 +457,6 @@ def word_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- rules and routing [2-N] ---------------------------------------------------------------------------------------------
-@query()
-def policy_gate(spark: SparkSession, d: str) -> DataFrame:
-    """N1, N7"""
-    m = tables.messages(spark, d).select("conv_id", "turn", rules.policy_verdict(F.col("content")).alias("v"), rules.requested_format(F.col("content")).alias("artifact"))
-    return m.select("conv_id", "turn", "v.allowed", "v.category", "artifact")
-
-
 def _feature_sql(c: str) -> str:
     hits = ", ".join(f"CAST(len(regexp_extract_all({c}, '{p}')) AS BIGINT) AS {k}" for k, p in rules.FEATURES.items() if k != "unit_hits")
     flags = ", ".join(f"regexp_matches({c}, '{p}') AS {k}" for k, p in rules.FLAGS.items())
@@ -767,16 +759,6 @@ def workbook_cells(spark: SparkSession, d: str) -> DataFrame:
     return reports.cells(tables.table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name"), "n_regionkey", ["n_nationkey", "n_name"], {"double": "=A{row}*2"})
 
 
-@query()
-def planner_output(spark: SparkSession, d: str) -> DataFrame:
-    """Plans of a planner, repaired"""
-    m = tables.messages(spark, d).where("role = 'user'")
-    intent = F.element_at(F.array(*map(F.lit, ("retrieve", "synthesize", "tool", "dance"))), (F.col("turn") % 4 + 1).cast("int"))
-    raw = F.when(F.col("conv_id") % 7 == 0, "no json").otherwise(F.concat(F.lit('{"steps":[{"id":"a","intent":"synthesize"},{"id":"b","intent":"'), intent, F.lit('","tool":"artifact.docx"},{"id":"c","intent":"retrieve"}],"rationale":"r"}')))
-    plan = planning.parse_plan(raw, F.array(F.lit("artifact.docx"), F.lit("calc")), F.col("content"))
-    return m.select("conv_id", "turn", plan.alias("p")).select("conv_id", "turn", F.transform("p.steps", lambda s: s["intent"]).alias("intents"), F.size("p.dropped").alias("dropped"), "p.fallback")
-
-
 @query(
     """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(replace(n_name, ' ', '-')) || '.example:' || (8000 + n_nationkey) ELSE '10.0.0.' || n_nationkey END AS host, n_nationkey % 2 = 1 AS private,
     CAST(floor(n_nationkey * 1001 / 4) AS BIGINT) + 800 * (n_nationkey % 3) AS tokens FROM nation"""
@@ -787,11 +769,3 @@ def provider_hosts(spark: SparkSession, d: str) -> DataFrame:
     url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("https://user@"), "n_name", F.lit(".example:"), (8000 + F.col("n_nationkey")).cast("string"), F.lit("/v1"))).otherwise(F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")))
     host = planning.host_of(url)
     return n.select("n_nationkey", host.alias("host"), planning.is_private(host).alias("private"), planning.prompt_tokens(F.col("n_nationkey") * 1001, F.col("n_nationkey") % 3).alias("tokens"))
-
-
-@query()
-def checked_code(spark: SparkSession, d: str) -> DataFrame:
-    """Code that is parsed and judged, never run"""
-    m = tables.messages(spark, d).where("role = 'user'")
-    line = F.element_at(F.array(*map(F.lit, ("import os\nprint(1)", "import socket", "eval('1')", "x = (", "().__class__"))), (F.col("turn") % 5 + 1).cast("int"))
-    return m.select("conv_id", "turn", code_check(line).alias("r")).select("conv_id", "turn", "r.*")
