@@ -6,7 +6,11 @@ not blank) and, where it has several of these, the whole. A unit of x bigrams ca
 y only if min(x, y) / ((x + y) / 2) >= t, so templates are kept by size and only those within bounds are looked at, and
 of these only such as share a bigram.
 
-Templates are a few dozen notices at most (a parameter), each a few hundred words: they are held by every task.
+Whole licence texts are found wherever they stand, too: for each template of WINDOW words or more, every run of as many
+words of the document is compared, and of runs that overlap the best (then the first) counts. A run that reaches t shares
+t y / (2 - t) bigrams or more, so only documents that share as many are gone through, in one pass that counts as it moves.
+
+Templates are a few dozen texts at most (a parameter), each a few hundred words: they are held by every task.
 
 Cases: a null or empty text has no match; a unit of one word has that word as its only gram; equal coefficients go to the
 earlier template; ids may be null or repeated; an empty table gives no rows; other columns are ignored.
@@ -24,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from cairn.llm.common import batch, text_of
 
-#: Short public licence notices, by name.
+#: Words from which on a template is looked for in runs of words.
+WINDOW = 30
+#: Public licence texts and notices, by name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -48,6 +54,26 @@ _MIT = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 )
 TEMPLATES |= {"MIT-paragraph": _MIT[0], "MIT-text": "\n\n".join(("MIT License", *_MIT))}
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    TEMPLATES["BSD"],
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+TEMPLATES |= {
+    "BSD-2-Clause-text": "\n\n".join((*_BSD[:3], _AS_IS)),
+    "BSD-3-Clause-text": "\n\n".join((*_BSD, _AS_IS)),
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "Apache-2.0-header": TEMPLATES["Apache-2.0-notice"] + "\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-header": TEMPLATES["GPL-3.0-notice"] + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+}
 THRESHOLD = 0.8
 SCHEMA = "doc_id bigint, licence string, dice double, n_matches bigint, matches string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("n_matches", pa.int64()), ("matches", pa.string())])
@@ -74,6 +100,9 @@ class Matcher:
             for x in g:
                 self.having.setdefault(x, []).append(at)
         t = threshold
+        # place, number of words and least number of shared bigrams of the templates that are looked for in runs of words
+        words = {name: len(_WORD.findall(text.lower())) for name, text in templates.items()}
+        self.long = [(at, words[name], len(g) * t / (2 - t) - 1e-9) for at, (_, name, g) in enumerate(self.templates) if words[name] >= WINDOW]
         self.largest = max(self.sizes, default=0) * (2 - t) / t if t else float("inf")
 
     def best(self, unit: str) -> tuple[float, str] | None:
@@ -93,8 +122,43 @@ class Matcher:
         score, _, name = min(found)
         return -score, name
 
+    def runs(self, text: str, x: frozenset) -> list[tuple[int, int, str, float]]:
+        """(start, end, template, coefficient) of the best runs of words; x: the text's bigrams."""
+        shared = Counter(at for g in x if g in self.having for at in self.having[g])
+        wanted = [f for f in self.long if shared[f[0]] >= f[2]]
+        if not wanted:
+            return []
+        found = list(_WORD.finditer(text))
+        ws = [m[0].lower() for m in found]
+        pairs = list(zip(ws, ws[1:]))
+        out = []
+        for at, n, least in wanted:
+            _, name, g = self.templates[at]
+            size, hits, held = len(g), 0, Counter()
+            good = []
+            for k, p in enumerate(pairs):
+                held[p] += 1
+                hits += held[p] == 1 and p in g
+                if k >= n - 1:
+                    old = pairs[k - n + 1]
+                    held[old] -= 1
+                    if not held[old]:
+                        del held[old]
+                        hits -= old in g
+                if hits >= least and k >= n - 2:
+                    score = 2 * hits / (len(held) + size)
+                    if score >= self.threshold:
+                        good.append((-score, k - n + 2))
+            taken: list[int] = []
+            for score, k in sorted(good):
+                if all(abs(k - o) >= n for o in taken):
+                    taken.append(k)
+                    out.append((found[k].start(), found[k + n - 1].end(), name, -score))
+        return sorted(out)
+
     def matches(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, template, coefficient) of each unit that matches, in code points: lines, then longer units."""
+        """(start, end, template, coefficient) of each unit that matches, in code points: lines, then longer units, then runs
+        of words that are no such unit."""
         out, start, block, blocks = [], 0, None, []
         lines = text.split("\n")
         spans = []
@@ -116,7 +180,8 @@ class Matcher:
             got = self.best(text[a:b])
             if got:
                 out.append((a, b, got[1], got[0]))
-        return out
+        seen = {(text[a:b].strip(), name) for a, b, name, _ in out}
+        return out + [r for r in self.runs(text, grams(text)) if (text[r[0] : r[1]], r[2]) not in seen]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
