@@ -26,6 +26,14 @@ def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, tuple[Colu
     return spread.join(whole.withColumn(salt, F.explode(salt)), [key, salt]).drop(salt)
 
 
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows joined to few (one row for each of a small number of keys), a key's rows spread by column by: few's rows are
+    repeated for each part."""
+    salt = unused(rows, "salt")
+    spread = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return spread.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, salt]).drop(salt)
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round. Large: every larger neighbour of a vertex is linked to the vertex's least neighbour (or itself).
     Small: a vertex and its smaller neighbours are linked to the least of these."""

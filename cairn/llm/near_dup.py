@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batch, frugal, materialise, partitions, shingles, unused, WordHash, words
+from cairn.llm.common import batch, frugal, materialise, partitions, release, shingles, unused, WordHash, words
 from cairn.llm.components import components as connected
-from cairn.llm.components import with_totals
+from cairn.llm.components import spread_join, with_totals
 
 TREES, LEAST, MOST = 16, 4, 7
 REGION, GROUP, GROUP_BYTES = 4096, 128, 4_000_000
@@ -177,20 +177,22 @@ def _unjoined(member: DataFrame, joined: DataFrame, num: int, den: int) -> DataF
     width = math.log(den / num) * (1 + 1e-9) if 0 < num < den else 0
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)) if width else F.col("n_shingles") if num >= den else F.lit(0)
     split = F.col("v").isNull()
-    cl = materialise(
+    clusters = materialise(
         member.where("large").join(joined.withColumnRenamed("c", "k"), F.col("s") == F.col("v"), "left").select("s", "c", "size", band.cast("long").alias("band"), F.when(split, F.col("s")).otherwise(F.col("k")).alias("k")),
         "clusters",
     )
-    main = cl.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", "k")).alias("top"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1")
-    cl = materialise(cl.join(main, "c").select("s", "c", "size", "band", (F.col("k") != F.col("top.k")).alias("rest")), "unjoined")
-    blocks = cl.groupBy("c", "band", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long").alias("nb"))
-    cl = materialise(cl.join(blocks, ["c", "band", "rest"]).select("s", "c", "band", "rest", F.pmod(F.xxhash64("s"), "nb").alias("no")), "blocks")
+    main = clusters.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", "k")).alias("top"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1")
+    rest = materialise(spread_join(clusters, main, ["c"], "s").select("s", "c", "size", "band", (F.col("k") != F.col("top.k")).alias("rest")), "unjoined")
+    blocks = rest.groupBy("c", "band", "rest").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long").alias("nb"))
+    cl = materialise(spread_join(rest, blocks, ["c", "band", "rest"], "s").select("s", "c", "band", "rest", F.pmod(F.xxhash64("s"), "nb").alias("no")), "blocks")
     at = cl.select("c", "band", "rest", "no").distinct()
     x = at.where("rest").select("c", F.col("band").alias("xb"), F.col("no").alias("xn"), F.explode(F.array(*(F.col("band") + F.lit(k) for k in ((-1, 0, 1) if width or num >= den else (0,))))).alias("band"))
     pairs = x.join(at, ["c", "band"]).where("NOT rest OR band > xb OR (band = xb AND no >= xn)").withColumn("g", F.xxhash64("c", "xb", "xn", "band", "rest", "no"))
     pairs = materialise(pairs, "meetings")
     sides = pairs.select("c", F.col("xb").alias("band"), F.lit(True).alias("rest"), F.col("xn").alias("no"), "g").union(pairs.select("c", "band", "rest", "no", "g")).distinct()
-    return cl.join(sides, ["c", "band", "rest", "no"]).select("s", "g")
+    out = materialise(cl.join(sides, ["c", "band", "rest", "no"]).select("s", "g"), "meet")
+    release(clusters, rest, cl, pairs)
+    return out
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -242,7 +244,7 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return groups.groupBy("g").applyInArrow(confirm, "a binary, b binary").select("a", "b")
 
     joined = connected(links_in(groups), "links")
-    more = materialise(_unjoined(member, joined, num, den), "meet")
+    more = _unjoined(member, joined, num, den)
     if not more.isEmpty():
         late = links_in(text.where("large").select("s", "text").join(more, "s").select("g", "s", "text"))
         joined = connected(joined.select(F.col("v").alias("a"), F.col("c").alias("b")).union(late), "links")
@@ -250,6 +252,7 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     label = with_totals(least, "c", "v", {"component": (F.min("least"), F.min), "of": (F.min("first"), F.min)}).select(F.col("v").alias("s"), "component", "of")
     # a table of its own, so that the join below has exchanges on both sides and a large class of equal texts is split
     own = materialise(classes.select("s", "least", "first").join(label, "s", "left").select("s", F.coalesce("component", "least").alias("component_id"), F.coalesce("of", "first").alias("first")), "labels")
+    release(classes, near, whole, member, text, more)
     with_set = sig.where("s IS NOT NULL").select("doc_id", "th", "n_shingles", "s").join(own, "s").select("doc_id", "th", "n_shingles", "component_id", "first")
     without = sig.where("s IS NULL").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast(with_set.schema["first"].dataType).alias("first"))
     return with_set.unionByName(without)
