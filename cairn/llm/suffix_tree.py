@@ -2,8 +2,9 @@
 
 The symbols are lower-cased words and one end for each document; contexts are the last words, as many as it takes. A
 context s that occurs twice or more in training is a state of the tree if it passes a divergence test against the next
-shorter one, s': the sum over its repeated continuations w of n(s, w) ln(n(s, w) / (n(s) P(w | s'))) is GAIN nats or
-more. (The test takes ln P(w | s') in steps of 1/2048 nat.) A state's distribution is smoothed by the shorter context's,
+shorter one, s': over its repeated continuations w the sum of n(s, w) ln(n(s, w) / (n(s) P(w | s'))) is GAIN nats or more,
+and for one of them n(s, w) / n(s) is RATIO times P(w | s') or more. (The test takes ln P(w | s') in steps of 1/2048 nat.)
+A state's distribution is smoothed by the shorter context's,
 with as much weight as it has different continuations, T(s):
 
     P(w | s) = (n(s, w) + T(s) P(w | s')) / (n(s) + T(s))
@@ -13,7 +14,8 @@ the training words and the unknown word. A token is scored in the longest state
 
 Contexts grow by a word a round, to the left of states alone, so the tree is closed under suffixes; the rounds end when
 there is nothing to look at. A state is not gone on from when no context that ends in it can pass the test: their gains
-are at most the sum over its repeated continuations of n(s, w) (-ln P(w | s)), so below GAIN nothing is lost.
+are at most the sum over its repeated continuations of n(s, w) (-ln P(w | s)), and none of these can grow RATIO times
+likelier if P(w | s) > 1 / RATIO for all. Nothing is lost by that.
 
 The corpus is read once into blocks of encoded texts, in a table bucketed by block. Each round counts by an exchange what
 the blocks hold, one binary for each block and bucket: no token or n-gram is a shuffled row, and contexts known to occur
@@ -34,10 +36,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -45,7 +47,7 @@ from cairn.llm import exchange
 from cairn.llm.common import batch, bucketed, materialise, mix64, partitions, ranked, release, sorting, text_of
 
 BLOCK = 1_000_000
-GAIN = 8.0
+GAIN, RATIO = 8.0, 1.5
 FOLDS, HELD = 7, 2
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint, longest_state bigint"
 _OUT = pa.schema(
@@ -101,6 +103,23 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def word_hashes(joined: bytes) -> np.ndarray:
+    """Two 64-bit hashes of each of some words, joined by line ends: sums of mixed (place, byte) pairs, mixed with the
+    length. Whole arrays at a time, which is much faster than a call for each word."""
+    raw = np.frombuffer(joined, np.uint8)
+    ends = np.append(np.flatnonzero(raw == 10), len(raw))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = (ends - starts).astype(np.uint64)
+    place = np.arange(len(raw)) - np.repeat(starts, np.append(np.diff(starts), len(raw) - starts[-1]))
+    pair = place.astype(np.uint64) << np.uint64(8) | raw
+    out = np.empty((len(starts), 2), np.uint64)
+    for k, odd in enumerate((_ODD, np.uint64(0xC2B2AE3D27D4EB4F))):
+        x = mix64((pair + np.uint64(1)) * odd)
+        x[ends[:-1]] = 0
+        out[:, k] = mix64(np.add.reduceat(x, starts) + n * odd)
+    return out
+
+
 def _bounds(buckets: int, bits: int = 64) -> list[np.uint64]:
     return [np.uint64((k << bits) // buckets) for k in range(1, buckets)]
 
@@ -121,12 +140,17 @@ def _rounded(p: np.ndarray) -> np.ndarray:
     return ((p.view(np.uint64) + np.uint64(1 << 23)) >> np.uint64(24) << np.uint64(24)).view(np.float64)
 
 
-def judged(n: np.ndarray, t: np.ndarray, r: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether contexts are states, and whether longer ones may be as well. n: occurrences, t: different continuations; over the
-    repeated continuations w, r: sum of n(w), a: sum of n(w) (ln n(w) - ln P(w | s')), c: sum of n(w) ln n(w)."""
+def judged(n: np.ndarray, t: np.ndarray, r: np.ndarray, a: np.ndarray, c: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts are states, and whether longer ones may be as well. n: occurrences, t: different continuations; over
+    the repeated continuations w, r: sum of n(w), a: sum of n(w) (ln n(w) - ln P(w | s')), c: sum of n(w) ln n(w), high:
+    most of ln n(w) - ln P(w | s'), low: least n(w)."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        state = (n >= 2) & (a - r * np.log(n) >= GAIN)
-        return state, state & (r * np.log(n + t) - c >= GAIN - 1e-6)
+        state = (n >= 2) & (a - r * np.log(n) >= GAIN) & (high - np.log(n) >= np.log(RATIO))
+        return state, state & (r * np.log(n + t) - c >= GAIN - 1e-6) & (low * RATIO <= n + t)
+
+
+#: Sums of a context's parts, then what is the most and the least of them, as judged() takes them.
+_SUMS = 5
 
 
 class Level:
@@ -136,6 +160,11 @@ class Level:
     def __init__(self, block: Block, depth: int, at: np.ndarray, p: np.ndarray, split: np.ndarray):
         """at: positions; p: probability of their symbol in the shorter context; split: parts of their contexts."""
         self.buckets = block.buckets
+        if depth > 1:
+            used = np.zeros(len(block.words), bool)
+            for k in range(depth + 1):
+                used[block.token[at - k]] = True
+            block.hash_words(np.flatnonzero(used))
         w, c = block.token[at], block.contexts(at, depth)
         unit = c
         wide = np.flatnonzero(split > 1)
@@ -186,7 +215,11 @@ class Level:
             sums.append(parts)
         if len(self.wide):
             whose, of = np.unique(self.whose[self.wide], return_inverse=True)
-            whole = np.stack([np.bincount(of, x, len(whose)) for x in np.concatenate(sums).T])
+            columns = np.concatenate(sums).T
+            whole = [np.bincount(of, x, len(whose)) for x in columns[:_SUMS]]
+            for x, pick, start in ((columns[_SUMS], np.maximum, -np.inf), (columns[_SUMS + 1], np.minimum, np.inf)):
+                whole.append(np.full(len(whose), start))
+                pick.at(whole[-1], of, x)
             state, more = judged(*whole)
             n[self.wide], t[self.wide] = whole[0][of], whole[1][of]
             flag[self.wide] = (state + 2 * more)[of]
@@ -213,7 +246,10 @@ def merge_grams(blobs: list[bytes]) -> tuple[list[bytes], None]:
     h, many = unit[order[new]], n >= 2
     log = np.where(many, n * np.log(np.maximum(n, 1)), 0.0)
     add = lambda x: np.bincount(h, x, len(heads))
-    sums = np.stack([add(n), add(n > 0), add(np.where(many, n, 0)), add(log + np.where(many, n * minus, 0.0)), add(log)], axis=1)
+    high, low = np.full(len(heads), -np.inf), np.full(len(heads), np.inf)
+    np.maximum.at(high, h[many], np.log(n[many]) + minus[many])
+    np.minimum.at(low, h[many], n[many].astype(np.float64))
+    sums = np.stack([add(n), add(n > 0), add(np.where(many, n, 0)), add(log + np.where(many, n * minus, 0.0)), add(log), high, low], axis=1)
     state, more = judged(*sums.T)
     out, at, head = [], 0, 0
     for z, p in zip(sizes, parts, strict=True):
@@ -231,26 +267,45 @@ Live = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Block:
-    def __init__(self, payload: bytes, buckets: int):
+    """A block's documents; words are hashed, and sorted for the first exchange, only as far as a round needs them."""
+
+    def __init__(self, payload: bytes, buckets: int, total: int = 0):
         self.ids, self.held, self.lengths, planes, words = exchange.unpack(payload)
-        two = np.frombuffer(b"".join([bytes(16), *map(xxhash.xxh3_128_digest, words.split(b"\n"))] if words else [bytes(16)]), np.uint64).reshape(-1, 2)
-        self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
-        self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
-        self.buckets, self.total = buckets, 0
-        self.bits = 64
+        self.words = [b"", *words.split(b"\n")] if words else [b""]
+        self.buckets, self.total = buckets, total
+        self.bits = min(64, total.bit_length() + 20)
         raw = np.zeros((planes.shape[1], 4), np.uint8)
         raw[:, : planes.shape[0]] = planes.T
         self.token = raw.reshape(-1).view(np.int32)
-        self.train = np.repeat(~self.held, self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    @cached_property
+    def train(self) -> np.ndarray:
+        return np.repeat(~self.held, self.lengths)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    def hash_words(self, which: np.ndarray | None = None) -> None:
+        """Hashes of the words of those numbers (all, if none are given); the end, word 0, has 0."""
+        which = np.arange(1, len(self.words)) if which is None else which[which > 0]
+        two = np.zeros((len(self.words), 2), np.uint64)
+        if len(which):
+            two[which] = word_hashes(b"\n".join([self.words[k] for k in which.tolist()]))
+        self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
+        self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
+
+    def sort_words(self) -> None:
+        self.hash_words()
         self.order = sorting(self.hi)
         hi = self.hi[self.order]
         if (hi[1:] == hi[:-1]).any():
             self.order = np.lexsort((self.lo, self.hi))
-        self.cut = [0, *np.searchsorted(self.hi[self.order], _bounds(buckets)).tolist(), len(self.hi)]
+        self.cut = [0, *np.searchsorted(self.hi[self.order], _bounds(self.buckets)).tolist(), len(self.hi)]
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
+        self.sort_words()
         count = np.bincount(self.token[self.train], minlength=len(self.hi))[self.order]
         hi, lo = self.hi[self.order], self.lo[self.order]
         for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
@@ -259,6 +314,7 @@ class Block:
 
     def read_words(self, answers: dict) -> np.ndarray:
         """Training counts of the block's words."""
+        self.sort_words()
         c = np.zeros(len(self.hi), np.int64)
         for k, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
             if b > a:
@@ -269,6 +325,8 @@ class Block:
 
     def contexts(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Hashes of the depth words before each position."""
+        if depth == 1:
+            return mix64(np.uint64(1) * _ODD + self.hi)[self.token[at - 1]]
         h = np.full(len(at), depth, np.uint64)
         for k in range(1, depth + 1):
             h = mix64(h * _ODD + self.hi[self.token[at - k]])
@@ -300,15 +358,15 @@ def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
 def _state(block: Block, sums: list[np.ndarray], live: Live) -> bytes:
     """A block between rounds: sums by document, and the live positions with what is known of them."""
     at, p, split, inside = live
-    mask = np.zeros(len(block.token), bool)
+    mask = np.zeros(len(block.token) if len(at) else 0, bool)
     mask[at] = True
-    return exchange.pack(sums, np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(24), 5), exchange.short(split - 1), np.packbits(inside))
+    return exchange.pack(sums, len(mask), np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(24), 5), exchange.short(split - 1), np.packbits(inside))
 
 
-def _resumed(block: Block, blob: bytes) -> tuple[list[np.ndarray], Live]:
-    sums, mask, p, split, inside = exchange.unpack(blob)
+def _resumed(blob: bytes) -> tuple[list[np.ndarray], Live]:
+    sums, length, mask, p, split, inside = exchange.unpack(blob)
     p = (_widened(p, 5) << np.uint64(24)).view(np.float64)
-    return sums, (np.flatnonzero(np.unpackbits(mask, count=len(block.token))), p, 1 + exchange.long(split), np.unpackbits(inside, count=len(p)) > 0)
+    return sums, (np.flatnonzero(np.unpackbits(mask, count=length)), p, 1 + exchange.long(split), np.unpackbits(inside, count=len(p)) > 0)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -332,19 +390,22 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
 
     def opened(payload: bytes, answers: dict, depth: int) -> tuple[Block, list[np.ndarray], Live]:
         """A block as the rounds before depth have left it; before the first these are the words' counts."""
-        block = Block(payload, buckets)
-        block.total, block.bits = n, min(64, n.bit_length() + 20)
+        block = Block(payload, buckets, n)
         if depth > 1:
-            return block, *_resumed(block, answers[-1, -1])
+            return block, *_resumed(answers[-1, -1])
         count = block.read_words(answers)[block.token]
         p = (count + 1) / (n + 1 * (v + 1))
         base, none, no = np.add.reduceat(np.log10(p), block.first), np.zeros(len(block.first), np.int64), np.zeros(len(p), bool)
         live = block.longer(0, np.arange(len(p)), p, no, count, np.full(len(p), n), ~no)
         return block, [base, np.add.reduceat((count > 0).astype(np.int64), block.first), base, none, none], live
 
+    def over(answers: dict, depth: int) -> bool:
+        """Whether nothing in the block is live any more."""
+        return depth > 1 and not len(_resumed(answers[-1, -1])[1][0])
+
     def asking(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
         def ask(number: int, payload: bytes, answers: dict) -> pa.Table:
-            if not payload:
+            if not payload or over(answers, depth):
                 return exchange.messages([])
             block, _, live = opened(payload, answers, depth)
             return exchange.messages([(number, k, depth, x) for k, x in Level(block, depth, *live[:3]).asks()] if len(live[0]) else [])
@@ -355,6 +416,8 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
         def read(number: int, payload: bytes, answers: dict) -> pa.Table:
             if not payload:
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "own"])
+            if over(answers, depth):
+                return pa.table([pa.array([number], pa.int64()), pa.array([answers[-1, -1]], pa.binary())], names=["block", "own"])
             block, sums, (at, p, split, inside) = opened(payload, answers, depth)
             base, known, now, states, longest = sums
             live = at, p, split, inside
@@ -366,8 +429,8 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
                 states = states + add(None, state & ~inside)
                 longest = np.where(add(None, state) > 0, depth, longest)
                 live = block.longer(depth, at, new, inside | state, total, ns, more)
-            state = _state(block, [base, known, now, states, longest], live)
-            return pa.table([pa.array([number], pa.int64()), pa.array([state], pa.binary())], names=["block", "own"])
+            blob = _state(block, [base, known, now, states, longest], live)
+            return pa.table([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "own"])
 
         return read
 

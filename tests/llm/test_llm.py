@@ -390,7 +390,8 @@ def spec_scores(rows):
         for s, x in g.items():
             total = sum(x.values())
             gain = sum(m * (math.log(m / total) + round(-math.log(p[s, y]) * 2048) / 2048) for y, m in x.items() if m >= 2)
-            if total >= 2 and gain >= suffix_tree.GAIN and s[1:] in parents:
+            high = max((math.log(m / total) + round(-math.log(p[s, y]) * 2048) / 2048 for y, m in x.items() if m >= 2), default=0)
+            if total >= 2 and gain >= suffix_tree.GAIN and high >= math.log(suffix_tree.RATIO) and s[1:] in parents:
                 is_state.add(s)
         for d, ((_, w), q) in enumerate(zip(docs_, now)):
             for k in range(len(w) - 1, depth - 1, -1):
@@ -436,6 +437,16 @@ def test_suffix_tree(spark, docs, empty, monkeypatch, size, few):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cairn_blocks")]
 
 
+def test_word_hashes():
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("ab\u00e9") for _ in range(rnd.randint(1, 14))).encode() for _ in range(20_000)})
+    h = suffix_tree.word_hashes(b"\n".join(words))
+    assert len({tuple(x) for x in h.tolist()}) == len(np.unique(h[:, 0])) == len(np.unique(h[:, 1] & np.uint64(0xFFFFFFFFFF))) == len(words)
+    some = rnd.sample(range(len(words)), 500)
+    assert (suffix_tree.word_hashes(b"\n".join(words[k] for k in some)) == h[some]).all()
+    assert suffix_tree.word_hashes(b"a").shape == (1, 2)
+
+
 def test_no_training_rows(spark):
     only = next(k for k in range(100) if suffix_tree.held_out(k))
     r = suffix_tree.score(spark.createDataFrame([(only, "some words")], "doc_id bigint, text string")).first()
