@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +123,3 @@ def cut_rows(rows: Column, most: int = 11) -> Column:
 def parameter_text(names: Column, units: Column) -> Column:
     """[H32]"""
     return F.array_join(F.zip_with(names, units, lambda n, u: F.concat(n, F.lit(" ("), u, F.lit(")"))), ", ")
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -40,10 +40,6 @@ def clamp_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(F.least(c[0], c[2]).alias("x0"), F.least(c[1], c[3]).alias("y0"), F.greatest(c[0], c[2]).alias("x1"), F.greatest(c[1], c[3]).alias("y1"))
 
 
-def box_area(box: Column) -> Column:
-    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
-
-
 def fold_angle(angle: Column) -> Column:
     """An angle in degrees within -45..45 [J20]."""
     a = F.pmod(angle, F.lit(90.0))

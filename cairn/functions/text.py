@@ -79,12 +79,6 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(F.when(F.size(terms) > 0, terms).otherwise(rest))
 
 
-def search_vector(text: Column) -> Column:
-    """(lexeme, position) of each lower-cased token, tags whole; no stemming [H2]."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)[a-z]{{1,4}}-\d{{1,5}}[a-z]?|\w+"), F.lit(0))
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("lexeme"), (i + 1).alias("pos")))
-
-
 def estimated_tokens(text: Column) -> Column:
     """At least one, 3.6 characters each [H3]."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / F.lit(3.6)).cast("int"))
@@ -258,11 +252,6 @@ def digest(json: Column) -> Column:
     return F.sha2(json, 256)
 
 
-def chain_hash(json: Column, previous: Column) -> Column:
-    """SHA-256 of the record and its predecessor's hash [K3]."""
-    return F.sha2(F.concat(json, F.lit("|"), previous), 256)
-
-
 def name_uuid(namespace: str, name: Column) -> Column:
     """The UUID of version 5 of a name in a namespace, the same wherever it is computed [K5]."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))

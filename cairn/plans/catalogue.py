@@ -271,7 +271,7 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sr")
 def sparse_search(spark: SparkSession, d: str) -> DataFrame:
-    """L3, L4, H1, H2, F1: any-term top 40 of each query under the predicate"""
+    """Any-term top 40 of each query under the predicate; passages carry their document's columns"""
     return retrieval.sparse(_text_queries(spark, d), tables.chunks(spark, d), ANALYST).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 

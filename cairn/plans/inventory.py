@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import engineering, planning, reports, rules, text
 from cairn.functions.access import Principal
-from cairn.operators import answers, evaluation, pages, providers, records
+from cairn.operators import answers, chunking, evaluation, pages, providers, records, routing
 from cairn.plans.registry import query
 from cairn.sources import files, tables
 from cairn.streaming import runs
@@ -139,6 +139,32 @@ def message_sizes(spark: SparkSession, d: str) -> DataFrame:
     return m.select("conv_id", "turn", text.word_count(F.col("content")).alias("words"), tokens.alias("prompt_tokens"), planning.total_tokens(tokens, F.col("turn")).alias("total"))
 
 
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS ord_before, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_quantity / 50.0::DOUBLE, 3), round_even(l_tax, 3), l_linenumber) - 1 AS ord FROM lineitem WHERE l_returnflag <> 'A'")
+def reading_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks by their rounded place on the page, empty ones dropped"""
+    i = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("l_linenumber").alias("ord"), F.col("l_linenumber").alias("ord_before"), (F.col("l_quantity") / 50.0).alias("y0"), F.col("l_tax").alias("x0"), F.when(F.col("l_returnflag") == "A", " ").otherwise("x").alias("text"))
+    return chunking.reading_order(i).select("doc_id", "ord_before", "ord")
+
+
+@query("SELECT doc_id, CASE WHEN len(text) > 160 THEN left(text, 160) || '…' ELSE text END AS told FROM documents")
+def logged_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """B38"""
+    return _t(spark, d, "documents").select("doc_id", text.summarised(F.col("text")).alias("told"))
+
+
+@query(
+    """SELECT p_partkey, round((p_size + 1 - 3.0::DOUBLE) / 0.25::DOUBLE, 9) AS life, round(138.0::DOUBLE * 0.85 * p_size / (500 + 0.6::DOUBLE * p_size), 9) AS pressure,
+    round(0.61::DOUBLE / sqrt(1 - pow(p_size / 60.0::DOUBLE, 4)) * pi() * 0.01::DOUBLE / 4 * sqrt(2 * 1000.0 / 998.0::DOUBLE), 9) AS flow FROM part"""
+)
+def more_calculations(spark: SparkSession, d: str) -> DataFrame:
+    """J2, J4, J7"""
+    s = F.col("p_size").cast("double")
+    return _t(spark, d, "part").select(
+        "p_partkey", F.round(engineering.remaining_life(s + 1, F.lit(3.0), F.lit(0.25))["value"], 9).alias("life"), F.round(engineering.working_pressure(s, F.lit(500.0), F.lit(138.0), 0.85)["value"], 9).alias("pressure"),
+        F.round(engineering.orifice_flow(s / 60, F.lit(0.1), F.lit(1000.0), F.lit(998.0))["value"], 9).alias("flow"),
+    )
+
+
 # --- records [2-B, 2-C, 2-P] -------------------------------------------------------------------------------------------
 _UPLOADS = """SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'unknown classification' WHEN doc_id % 5 = 3 THEN 'above the uploader''s clearance' WHEN strlen(text) > 5000 THEN 'too large' WHEN doc_id % 7 = 6 THEN 'too many pages' END AS refused FROM documents"""
 
@@ -498,6 +524,16 @@ def loaded_models(spark: SparkSession, d: str) -> DataFrame:
     return providers.residency(_t(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.col("event_type").alias("model")), 3).select("host", "seq", "hit")
 
 
+@query(
+    f"""WITH {_MODELS}, k AS (SELECT DISTINCT provider, physical FROM m WHERE pinned), r AS (SELECT DISTINCT provider, physical FROM m WHERE lane = 1)
+    SELECT provider, physical, CASE WHEN k.physical IS NULL THEN 'adopt' ELSE 'forget' END AS change FROM k FULL JOIN r USING (provider, physical) WHERE k.physical IS NULL OR r.physical IS NULL"""
+)
+def model_drift(spark: SparkSession, d: str) -> DataFrame:
+    """What is held to be loaded, and what providers report"""
+    m = _models(spark, d)
+    return routing.drift(m.withColumn("resident", F.col("pinned")), m.where("lane = 1"))
+
+
 # --- runs [2-M] -----------------------------------------------------------------------------------------------------------
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("props").alias("data"), "value")
