@@ -182,10 +182,9 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         if not self.live:
             for frame in rows:
-                events = _events(frame)
-                for at in {e[0] for e in events}:
-                    self.handle.registerTimer(at)
-                self.pending.appendList(events)
+                if events := _events(frame):
+                    self.handle.registerTimer(min(e[0] for e in events))
+                    self.pending.appendList(events)
             yield _frame([], [])
             return
         told: Told = []
@@ -208,8 +207,9 @@ class _InOrder(StatefulProcessor):
                     self.pending.put(rest)
                 else:
                     self.pending.clear()
-            for at in {e[0] for e in rest} & {expiredTimerInfo.getExpiryTimeInMs()}:
-                self.handle.registerTimer(at)
+            # one timer a key: at the first event that still waits
+            if rest:
+                self.handle.registerTimer(min(e[0] for e in rest))
         state = _until(self.machine, state, before, told)
         self._store(state)
         yield _frame([key[0]] * len(told), told)
