@@ -11,7 +11,7 @@ from cairn.plans.registry import query
 from cairn.sources import shared, tables
 
 
-def _index(spark: SparkSession, d: str, stems: bool) -> DataFrame:
+def _index(spark: SparkSession, d: str, stems: bool) -> postings.Index:
     return postings.write_index(tables.chunks(spark, d), shared.folder(spark, "postings"), stems)
 
 
@@ -40,7 +40,7 @@ _BEST = "SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     """H2, L3, L4: the first three words of each question, one after the other, by a kept index of positions"""
     asked = _questions(spark, d, 3).where(F.size(F.split("text", " ")) == 3)
-    return _shown(postings.search(asked, _index(spark, d, False), ANALYST, "phrase", stems=False))
+    return _shown(postings.search(asked, _index(spark, d, False), ANALYST, "phrase"))
 
 
 @query(
@@ -52,7 +52,7 @@ def phrase_search(spark: SparkSession, d: str) -> DataFrame:
 def both_terms_search(spark: SparkSession, d: str) -> DataFrame:
     """H2, L3, L4: the first two words of each question, wherever they stand, ranked by how near they are"""
     asked = _questions(spark, d, 2).where("split(text, ' ')[0] <> split(text, ' ')[1]")
-    return _shown(postings.search(asked, _index(spark, d, False), ANALYST, "all", stems=False))
+    return _shown(postings.search(asked, _index(spark, d, False), ANALYST, "all"))
 
 
 @query()

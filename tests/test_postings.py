@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cairn.functions.access import Principal
 from cairn.functions.stems import stem
@@ -29,9 +28,12 @@ def test_stems():
 
 
 def test_numbers_as_bytes():
-    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 2_000_000, 2**31, 2**34])
+    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 2_000_000, 2**31, 2**34, 2**63, 2**64 - 1], np.uint64)
     data, sizes = postings.packed(values)
-    assert postings.positions(data.tobytes()) == np.cumsum(values).tolist() and sizes.sum() == len(data)
+    assert postings.unpacked(data.tobytes()).tolist() == values.tolist() and sizes.sum() == len(data) and sizes[-1] == 10
+    assert postings.unpacked(b"").tolist() == []
+    signed = np.array([0, -1, 1, 2**63 - 1, -(2**63), 77])
+    assert postings._unsigned(postings._signed(signed)).tolist() == signed.tolist()
 
 
 WORDS = ["pump", "pumps", "valve", "valves", "the", "of", "and", "inspection", "inspected", "v-101", "seal", "a1"]
@@ -88,10 +90,10 @@ def chunks(spark):
     return spark.createDataFrame([(*r, 1, "x", 2) for r in passages()], "chunk_id bigint, text string, classification string, departments array<string>, mean_confidence double, tf int, term string, bucket int").repartition(3)
 
 
-@pytest.fixture(scope="module", params=[True, False])
+@pytest.fixture(scope="module", params=[(True, 500), (False, 1 << 30)])
 def index(request, spark, chunks, tmp_path_factory):
-    where = str(tmp_path_factory.mktemp("index") / "i")
-    return request.param, postings.write_index(chunks, where, request.param, 16)
+    stems, flush = request.param
+    return stems, postings.write_index(chunks, str(tmp_path_factory.mktemp("index") / "i"), stems, 16, flush)
 
 
 @pytest.mark.parametrize("mode", ["any", "all", "phrase"])
@@ -99,33 +101,44 @@ def test_search(spark, index, mode):
     stems, rows = index
     queries = spark.createDataFrame(QUERIES, "query_id bigint, text string")
     for who, seen in ((None, lambda c, d: True), (Principal("u", "internal", frozenset({"ops"})), lambda c, d: c == "public" and (not d or "ops" in d))):
-        got = postings.search(queries, rows, who, mode, 7, stems, 16)
+        got = postings.search(queries, rows, who, mode, 7)
         assert sorted((r["query_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in got.collect()) == spec(passages(), QUERIES, mode, stems, seen)
 
 
+def test_many_access_classes_and_repeated_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "CLASSES", 2)
+    rows = [(5, "pump valve", "public", [], 1.0), (5, "pump valve", "public", [], 1.0), (6, "pump valve", "restricted", [], 1.0), (-(2**63), "pump", None, None, 1.0), (2**63 - 1, "pump x valve", "public", ["ops"], 1.0), (7, "pump", "public", ["safety"], 1.0)]
+    table = spark.createDataFrame(rows, "chunk_id bigint, text string, classification string, departments array<string>, mean_confidence double")
+    index, queries = postings.write_index(table, str(tmp_path / "i")), spark.createDataFrame(QUERIES[9:10], "query_id bigint, text string")
+    who = Principal("u", "internal", frozenset({"ops"}))
+    assert [(r["chunk_id"], r["score"]) for r in postings.search(queries, index, who, "all").orderBy("rank").collect()] == [(5, 0.1), (2**63 - 1, 0.05)]
+    assert [(r["chunk_id"], r["score"]) for r in postings.search(queries, index, who).orderBy("rank").collect()] == [(5, 0.4), (2**63 - 1, 0.2)]
+    assert [r["chunk_id"] for r in postings.search(queries, index).orderBy("rank").collect()] == [5, 6, 2**63 - 1, -(2**63), 7]
+
+
 def test_many_terms_are_found_by_bucket(spark, index, monkeypatch):
     stems, rows = index
     queries = spark.createDataFrame(QUERIES, "query_id bigint, text string")
-    want = sorted(map(str, postings.search(queries, rows, stems=stems, buckets=16).collect()))
+    want = sorted(map(str, postings.search(queries, rows).collect()))
     monkeypatch.setattr(postings, "NAMED", 1)
-    assert sorted(map(str, postings.search(queries, rows, stems=stems, buckets=16).collect())) == want
+    assert sorted(map(str, postings.search(queries, rows).collect())) == want
 
 
 def test_only_the_buckets_of_the_terms_are_read(spark, chunks, tmp_path):
     rows = postings.write_index(chunks, str(tmp_path / "i"), buckets=16)
     query = spark.createDataFrame([(1, "seal")], "query_id bigint, text string")
-    want = sorted(map(str, postings.search(query, rows, buckets=16).collect()))
-    own = rows.where("term = 'seal'").select("bucket").first()[0]
-    others = [p for p in (tmp_path / "i").glob("bucket=*/*.parquet") if f"bucket={own}/" not in str(p)]
+    want = sorted(map(str, postings.search(query, rows).collect()))
+    own = rows.rows.where("term = 'seal'").select("bucket").first()[0]
+    others = [p for p in (tmp_path / "i" / "postings").glob("bucket=*/*.parquet") if f"bucket={own}/" not in str(p)]
     for p in others:
         p.write_bytes(b"not a table")
         p.with_name(f".{p.name}.crc").unlink()
     spark.catalog.clearCache()
     assert want and len(others) > 3
-    assert sorted(map(str, postings.search(query, postings.read_index(spark, str(tmp_path / "i")), buckets=16).collect())) == want
+    assert sorted(map(str, postings.search(query, postings.Index(spark, str(tmp_path / "i"), buckets=16)).collect())) == want
 
 
 def test_nothing(spark, chunks, tmp_path):
     rows = postings.write_index(chunks.limit(0), str(tmp_path / "i"))
     assert postings.search(spark.createDataFrame(QUERIES, "query_id bigint, text string"), rows).collect() == []
-    assert rows.where(F.lit(True)).count() == 0
+    assert rows.rows.count() == 0
