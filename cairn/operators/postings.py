@@ -41,7 +41,7 @@ BUCKETS = 256
 #: Terms that a scan is given by name; beyond that it is given their buckets alone.
 NAMED = 512
 #: Tokens whose postings a task gathers; access classes that are numbered from 0 (more have hashes for numbers).
-FLUSH, CLASSES = 3_000_000, 65_536
+FLUSH, CLASSES = 1_000_000, 65_536
 _WORDS = re.compile(TOKEN)
 _STOP = frozenset(STOP_WORDS)
 _SCHEMA = "term string, postings binary"
@@ -63,25 +63,35 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned numbers as bytes of seven bits, the lowest first, all but a number's last with the top bit; and how many bytes
     each takes."""
     values = values.astype(np.uint64, copy=False)
-    n = np.ones(len(values), np.int64)
+    n = np.ones(len(values), np.int8)
     for k in range(1, 10):
-        more = values >> np.uint64(7 * k) > 0
+        more = values >= np.uint64(1 << 7 * k)
         if not more.any():
             break
         n += more
-    out = np.zeros(int(n.sum()), np.uint8)
-    at = np.cumsum(n) - n
-    for k in range(int(n.max(initial=0))):
-        more = n > k
-        out[at[more] + k] = (values[more] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(n[more] > k + 1, 128, 0).astype(np.uint8)
+    ends = np.cumsum(n, dtype=np.int64)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    # most numbers are one byte: each round looks at those that go on
+    at, left, size = ends - n, values, n
+    while len(left):
+        out[at] = (left & np.uint64(127)).astype(np.uint8) | ((size > 1).astype(np.uint8) << 7)
+        on = np.flatnonzero(size > 1)
+        at, left, size = at[on] + 1, left[on] >> np.uint64(7), size[on] - 1
     return out, n
 
 
+def _starts(b: np.ndarray) -> np.ndarray:
+    """Where each number begins, and the end."""
+    return np.concatenate((np.zeros(1, np.int64), np.flatnonzero(b < 128) + 1))
+
+
 def unpacked(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
-    starts = np.concatenate(([0], np.flatnonzero(b < 128) + 1))[:-1]
-    k = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-    return np.bitwise_or.reduceat((b & 127).astype(np.uint64) << (7 * k).astype(np.uint64), starts) if len(b) else np.zeros(0, np.uint64)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    starts = _starts(b)
+    k = np.arange(len(b)) - np.repeat(starts[:-1], np.diff(starts))
+    return np.bitwise_or.reduceat((b & 127).astype(np.uint64) << (7 * k).astype(np.uint64), starts[:-1])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -93,11 +103,19 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
 
 
+class _Ids(dict):
+    """Numbers for terms as they come."""
+
+    def __missing__(self, term: str) -> int:
+        n = self[term] = len(self)
+        return n
+
+
 class _Gathered:
     """Tokens of passages, until there are enough for their postings."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Ids()
         self.keys: list[int] = []
         self.classes: list[int] = []
         self.lengths: list[int] = []
@@ -108,8 +126,7 @@ class _Gathered:
         self.keys.append(key)
         self.classes.append(of)
         self.lengths.append(len(found))
-        ids = self.ids
-        self.terms.append(np.fromiter([ids.setdefault(t, len(ids)) for t in found], np.int32, len(found)))
+        self.terms.append(np.fromiter(map(self.ids.__getitem__, found), np.int32, len(found)))
         self.n += len(found)
 
     def postings(self) -> pa.RecordBatch:
@@ -145,7 +162,7 @@ class _Gathered:
         values[np.arange(len(term)) + 3 * np.cumsum(new)] = gaps
         data, sizes = packed(values)
         starts = np.append(at[row_heads], len(values))
-        ends = np.append(0, np.cumsum(sizes))[starts]
+        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))[starts]
         packs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
         names = pa.array(list(self.ids), pa.string()).take(pa.array(term[heads][row_heads]))
         return pa.RecordBatch.from_arrays([names, packs], schema=_POSTINGS)
@@ -158,22 +175,21 @@ def _gathered(batches: Iterator[pa.RecordBatch], stems: bool, flush: int) -> Ite
             if text:
                 now.add(key, of, terms_of(text, stems))
             if now.n >= flush:
-                yield now.postings()
-                now = _Gathered()
+                done, now = now, _Gathered()
+                yield done.postings()
     yield now.postings()
 
 
-def postings(data: bytes, seen: Callable[[int], bool], places: bool) -> Iterator[tuple[int, int, int, list[int] | None]]:
-    """Class, key, how often and the positions, of the classes that are seen."""
-    values = unpacked(data)
-    h, key = 0, np.zeros(1, np.int64)
+def postings(data: bytes, seen: Callable[[int], bool], places: bool) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """Class, key, how often and the packed positions, of the classes that are seen."""
+    values = unpacked(data).tolist()
+    starts = _starts(np.frombuffer(data, np.uint8)).tolist() if places else []
+    h, key = 0, 0
     while h < len(values):
-        tf = int(values[h + 2])
-        with np.errstate(over="ignore"):
-            key = key + _unsigned(values[h + 1 : h + 2])
-        of = int(_unsigned(values[h : h + 1])[0])
+        of, step, tf = values[h : h + 3]
+        of, key = (of >> 1) ^ -(of & 1), (key + ((step >> 1) ^ -(step & 1)) + (1 << 63)) % (1 << 64) - (1 << 63)
         if seen(of):
-            yield of, int(key[0]), tf, np.cumsum(values[h + 3 : h + 3 + tf]).tolist() if places else None
+            yield of, key, tf, data[starts[h + 3] : starts[h + 3 + tf]] if places else None
         h += 3 + tf
 
 
@@ -206,7 +222,7 @@ class Index:
         self.classes = spark.read.schema("class bigint, classification string, departments array<string>").parquet(f"{path}/classes")
 
     def found(self, terms: DataFrame, who: Principal | None, places: bool) -> DataFrame:
-        """term, chunk_id, tf and positions of the visible postings of terms (term, bucket)."""
+        """term, chunk_id, tf and packed positions of the visible postings of terms (term, bucket)."""
         rows = self.rows.where(F.col("bucket").isin([r["bucket"] for r in terms.select("bucket").distinct().collect()]))
         named = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
         rows = rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(terms.select("term").distinct(), "term", "left_semi")
@@ -219,9 +235,9 @@ class Index:
             for b in batches:
                 for term, data in zip(b.column("term").to_pylist(), b.column("postings").to_pylist(), strict=True):
                     out = list(postings(data, test, places))
-                    yield pa.RecordBatch.from_arrays([pa.array([term] * len(out), pa.string()), *(pa.array([x[k] for x in out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int32()))))], names=["term", "class", "chunk_id", "tf", "positions"])
+                    yield pa.RecordBatch.from_arrays([pa.array([term] * len(out), pa.string()), *(pa.array([x[k] for x in out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.binary())))], names=["term", "class", "chunk_id", "tf", "positions"])
 
-        out = rows.select("term", "postings").mapInArrow(run, "term string, class bigint, chunk_id bigint, tf bigint, positions array<int>")
+        out = rows.select("term", "postings").mapInArrow(run, "term string, class bigint, chunk_id bigint, tf bigint, positions binary")
         if who and seen is None:
             out = out.join(visible, "class", "left_semi")
         return out.drop("class")
@@ -278,7 +294,7 @@ def _ranked(phrase: bool):  # noqa: ANN202
             for r in b.to_pylist():
                 slots: dict[int, set[int]] = {}
                 for x in r["found"]:
-                    slots.setdefault(x["slot"], set()).update(x["positions"])
+                    slots.setdefault(x["slot"], set()).update(np.cumsum(unpacked(x["positions"])).tolist())
                 score = phrase_density(sorted(slots.items())) if phrase else cover_density([slots[s] for s in sorted(slots)])
                 if score:
                     out.append((r["query_id"], r["chunk_id"], round(score, 6)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import postings
-from cairn.plans.catalogue import _CHUNKS, _SEEN, _TOKENS, ANALYST
+from cairn.operators import postings, retrieval, vector_lists
+from cairn.plans.catalogue import _CHUNKS, _SEEN, _TOKENS, ANALYST, _vector_queries
 from cairn.plans.registry import query
 from cairn.sources import shared, tables
 
@@ -59,3 +59,20 @@ def both_terms_search(spark: SparkSession, d: str) -> DataFrame:
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
     """Any stem of each question, the 40 best; tested against brute force"""
     return _shown(postings.search(_questions(spark, d), _index(spark, d, True), ANALYST))
+
+
+@query()
+def listed_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 best vectors of each query under the predicate by inverted lists; recall is tested against brute force"""
+    index = vector_lists.write_lists(tables.vectors(spark, d), shared.folder(spark, "lists"))
+    return vector_lists.search(_vector_queries(spark, d), index, ANALYST).select("query_id", "chunk_id", "score", "rank")
+
+
+@query()
+def listed_vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each query's 10 best by brute force the lists find"""
+    vectors, queries = tables.vectors(spark, d), _vector_queries(spark, d)
+    got = vector_lists.search(queries, vector_lists.write_lists(vectors, shared.folder(spark, "lists")), ANALYST)
+    want = retrieval.dense(queries, vectors, ANALYST, k=10).select("query_id", "chunk_id")
+    hit = want.join(got.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return hit.groupBy("query_id").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("of"))
