@@ -5,9 +5,11 @@ the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Ref
 corpus: each language's class histogram is the per-document mean, and its word histogram the summed counts, over all of
 its documents. A verdict needs a minimum length: below it the distances say little and only the base rules decide.
 
-Cases: a null text has no words and fails the base rules; a null or unknown language is taken for that whose common
-words are nearest (then the nearest classes, then the first in COMMON), and both distances are from it; ids may be null or repeated; an empty table gives no rows; other columns pass by;
-texts are read whole.
+Cases: a null text has no words and fails the base rules; a null language, one without a list of common words and one
+without a reference are told the distances to that whose common words are nearest (then the nearest classes, then the first
+in COMMON), but such a document is judged by it only if its words say that it is in that language (a word distance within
+the limit): then by its classes. Texts in other languages are left to the base rules. Ids may be null or repeated; an empty
+table gives no rows; other columns pass by; texts are read whole, very long ones too.
 """
 
 from __future__ import annotations
@@ -177,9 +179,12 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {lang: x for lang, x in out.items() if x[0].sum()}
 
 
-def verdict(n_words: int, class_distance: float, word_distance: float) -> bool:
-    """Whether a document that passed the base rules is kept."""
-    return n_words < MIN_JUDGED or (class_distance <= MAX_CLASS and word_distance <= MAX_WORDS)
+def verdict(n_words: int, class_distance: float, word_distance: float, own: bool = True) -> bool:
+    """Whether a document that passed the base rules is kept; own: the distances are to its own language's references, not to
+    the nearest."""
+    if n_words < MIN_JUDGED or not own and word_distance > MAX_WORDS:
+        return True
+    return class_distance <= MAX_CLASS and word_distance <= MAX_WORDS
 
 
 def _judged(text: str, lang: str | None, refs: dict) -> tuple:
@@ -192,7 +197,7 @@ def _judged(text: str, lang: str | None, refs: dict) -> tuple:
     if text and langs:
         c, w = histograms(text, ws, langs)
         dw, dc = min((distance(w[x], refs[x][1]), distance(c, refs[x][0])) for x in langs)
-    return n, chars, symbols, lines, repeat, failed, not failed and (not langs or verdict(n, dc, dw)), dc, dw
+    return n, chars, symbols, lines, repeat, failed, not failed and (not langs or verdict(n, dc, dw, lang in refs)), dc, dw
 
 
 def judge(docs: DataFrame) -> DataFrame:
