@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
-
-
 def filtered(rows: DataFrame, since: str | None = None, time: str = "ts", **equal: object) -> DataFrame:
     """Equality on each given column, and times from since on [B14, I2]."""
     conditions = [F.col(k) == F.lit(v) for k, v in equal.items() if v is not None]
@@ -77,42 +72,6 @@ def display_names(rows: DataFrame, users: DataFrame, key: str) -> DataFrame:
     return rows.join(names, key, "left")
 
 
-def chain_payload(time: str = "ts") -> Column:
-    """The audited columns as canonical JSON [K1, K4]."""
-    return F.concat(
-        F.lit('{"action":"'), F.col("action"), F.lit('","actor":"'), F.col("actor"), F.lit('","decision":"'), F.col("decision"), F.lit('","seq":'), F.col("seq").cast("string"),
-        F.lit(',"ts":"'), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"}'),
-    )
-
-
-def append_chain(rows: DataFrame, key: str = "shard") -> DataFrame:
-    """prev_hash and hash of each row, chained by seq within each key [M18, K3]. The chain needs each predecessor's hash, so a
-    key's rows are hashed in one task; a log is cut into shards, each a chain of its own, to bound that. Only seq and the
-    payload go there; an array fold would copy the hashes so far at each step, so the shard is an Arrow table."""
-    out = pa.schema([(key, pa.int64()), ("seq", pa.int64()), ("prev_hash", pa.string()), ("hash", pa.string())])
-
-    def chain(table: pa.Table) -> pa.Table:
-        prev, got = GENESIS, []
-        for k, seq, payload in sorted(zip(*(table.column(c).to_pylist() for c in (key, "seq", "payload")), strict=True), key=lambda x: x[1]):
-            h = hashlib.sha256(f"{payload}|{prev}".encode()).hexdigest()
-            got.append((k, seq, prev, h))
-            prev = h
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
-
-    items = rows.select(F.col(key).cast("long").alias(key), F.col("seq").cast("long").alias("seq"), chain_payload().alias("payload"))
-    return rows.join(items.groupBy(key).applyInArrow(chain, f"{key} bigint, seq bigint, prev_hash string, hash string"), [key, "seq"])
-
-
-def verify_chain(chained: DataFrame, key: str = "shard", start_seq: int = 0) -> DataFrame:
-    """Per chain: rows checked, the first row that does not follow from its predecessor or does not hash to its digest
-    (null: valid) [E12, E13]. The predecessor is looked up before the start is applied. Every row is checked on its own:
-    nothing is folded."""
-    w = Window.partitionBy(key).orderBy("seq")
-    broken = (F.col("prev_hash") != F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))) | (F.col("hash") != F.sha2(F.concat(chain_payload(), F.lit("|"), F.col("prev_hash")), 256))
-    seen = chained.withColumn("__broken", broken).where(F.col("seq") > start_seq)
-    return seen.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("__broken"), F.col("seq"))).alias("first_invalid_seq"))
-
-
 def lockouts(events: DataFrame, limit: int = 5) -> DataFrame:
     """Failures since the last success of each user, and whether they lock [E21, I4, P23]. events: user, seq, ok."""
     w = Window.partitionBy("user").orderBy("seq")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators import audit
+from cairn.plans.catalogue import _records_of
 from cairn.plans.registry import ORACLE_SQL, query
 from cairn.sources import shared, tables
 from cairn.streaming import timers
@@ -118,3 +120,9 @@ def heartbeat_pings(spark: SparkSession, d: str) -> DataFrame:
 def heartbeat_stream(spark: SparkSession, d: str) -> DataFrame:
     """M5: the same from the stream, by state and timers"""
     return _told(_run(timers.machine(_feeds(_live(spark, d)), timers.Heartbeat(3_600_000, 86_400_000), "run_id"), "pings"), "run_id")
+
+
+@query(ORACLE_SQL["audit_chain"])
+def audit_chain_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The chains from the stream, their heads in keyed state"""
+    return _run(audit.chained(_records_of(tables.audit_from(_live(spark, d)))), "chain").select("shard", "seq", "prev_hash", "hash")

@@ -47,7 +47,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as an audit log: seq, ts, actor, action, decision, value, metadata."""
-    e = table(spark, sf_dir, "events")
+    return audit_from(table(spark, sf_dir, "events"))
+
+
+def audit_from(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"),
         "ts",
