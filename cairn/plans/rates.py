@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import rules
+from cairn.functions import redaction, rules
 from cairn.operators import measures
 from cairn.plans.registry import ORACLE_SQL, query
 from cairn.sources import tables
@@ -126,3 +126,17 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     )
     e = tables.table(spark, d, "documents").select("doc_id", measures.evidence(payload, F.lit(0.5), "dense").alias("e"))
     return e.select("doc_id", "e.doc_type", "e.page_from", "e.page_to", "e.confidence")
+
+
+@query(
+    """WITH e AS (SELECT *, 90 + event_id % 40 AS n FROM events)
+    SELECT event_id, '{"event":"' || event_type || '","login":{"api_token":"[REDACTED]","who":{"mail":"write to [REDACTED] now","name":"u' || user_id || '"}},"many":[' || array_to_string(range(1, least(n, 100) + 1), ',')
+      || CASE WHEN n > 100 THEN ',"[TRUNCATED: ' || (n - 100) || ' more items]"' ELSE '' END || ']}' AS stored FROM e"""
+)
+def redacted_props(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels of properties with a secret, an address and a long list"""
+    u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    who = F.struct(u.alias("name"), F.concat(F.lit("write to "), u, F.lit("@site.org now")).alias("mail"))
+    login = F.struct(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("api_token"), who.alias("who"))
+    json = F.to_json(F.struct(F.sequence(F.lit(1), (90 + F.col("event_id") % 40).cast("int")).alias("many"), login.alias("login"), F.col("event_type").alias("event")))
+    return tables.table(spark, d, "events").select("event_id", redaction.redact_json(json).alias("stored"))
