@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cairn.plans import catalogue, corpus, inventory, planted, rates, search, state  # noqa: F401  they register
+from cairn.plans import catalogue, corpus, inventory, offices, planted, rates, search, state  # noqa: F401  they register
 from cairn.plans.registry import ORACLE_SQL, QUERIES
 
 
