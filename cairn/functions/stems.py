@@ -23,6 +23,8 @@ AFTER_1A = frozenset(("inning", "outing", "canning", "herring", "earring", "proc
 R1_AFTER = ("gener", "commun", "arsen")
 
 _WORD = re.compile(r"[a-z']+")
+#: The last letters of the suffixes of steps 2 to 4.
+_ENDS_2, _ENDS_3, _ENDS_4 = (tuple(sorted({e[-2:] for e in ends})) for ends in ((*STEP_2, "ogi", "li"), (*STEP_3, "ative"), (*STEP_4, "ion")))
 _REGION = re.compile(r"[aeiouy][^aeiouy]")
 _VOWEL = re.compile("[aeiouy]")
 _SHORT_END = re.compile(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
@@ -44,14 +46,18 @@ def stem(word: str) -> str:
         return SPECIAL[word]
     w = word.removeprefix("'")
     # a y that stands for a consonant is capital meanwhile
-    w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
-    r1 = next((len(b) for b in R1_AFTER if w.startswith(b)), None) or _region(w, 0)
+    if "y" in w:
+        w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
+    r1 = next(len(b) for b in R1_AFTER if w.startswith(b)) if w.startswith(R1_AFTER) else _region(w, 0)
     r2 = _region(w, r1)
-    w = re.sub(r"('s'|'s|')$", "", w)
-    w = _plurals(w)
+    if "'" in w:
+        w = re.sub(r"('s'|'s|')$", "", w)
+    if w.endswith(("s", "ied")):
+        w = _plurals(w)
     if w in AFTER_1A:
         return w
-    w = _tenses(w, r1)
+    if w.endswith(("ed", "ing", "ly")):
+        w = _tenses(w, r1)
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
     w = _derived(w, r1, r2)
@@ -59,7 +65,7 @@ def stem(word: str) -> str:
         w = w[:-1]
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w.replace("Y", "y")
+    return w.lower()
 
 
 def _plurals(w: str) -> str:
@@ -89,7 +95,7 @@ def _tenses(w: str, r1: int) -> str:
 
 
 def _derived(w: str, r1: int, r2: int) -> str:
-    end = _longest(w, (*STEP_2, "ogi", "li"))
+    end = _longest(w, (*STEP_2, "ogi", "li")) if w.endswith(_ENDS_2) else ""
     if end and len(w) - len(end) >= r1:
         base = w[: -len(end)]
         if end == "ogi":
@@ -98,13 +104,13 @@ def _derived(w: str, r1: int, r2: int) -> str:
             w = base if base and base[-1] in "cdeghkmnrt" else w
         else:
             w = base + STEP_2[end]
-    end = _longest(w, (*STEP_3, "ative"))
+    end = _longest(w, (*STEP_3, "ative")) if w.endswith(_ENDS_3) else ""
     if end and len(w) - len(end) >= r1:
         if end != "ative":
             w = w[: -len(end)] + STEP_3[end]
         elif len(w) - len(end) >= r2:
             w = w[: -len(end)]
-    end = _longest(w, (*STEP_4, "ion"))
+    end = _longest(w, (*STEP_4, "ion")) if w.endswith(_ENDS_4) else ""
     if end and len(w) - len(end) >= r2 and (end != "ion" or w[: -len(end)].endswith(("s", "t"))):
         w = w[: -len(end)]
     return w
