@@ -8,7 +8,8 @@ Base kinds are assign, access and hex; the method adds spans of the kinds jwt, p
 ends exclusive. A pem span goes through its END line, or without one to the end of the base64 after the header, and its
 value is the key's body without white space, so each key has an ownership of its own. A value hash is the 128-bit start of SHA-256, so secrets are not copied about.
 
-Cases: a null text counts as empty; a null owner is one owner of its own; ids may be null or repeated (a repository is a
+Cases: a null text counts as empty; a null owner is one owner of its own; texts are read whole, very long ones and very
+long keys too; spans of one start are in the order of the kinds; ids may be null or repeated (a repository is a
 document here, known by its id: repeated rows count once in the frequencies, and each row has its result); an empty
 table gives no rows; other columns are ignored.
 """
@@ -34,8 +35,6 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _SPACE = re.compile(r"(?:\s|\\[nr])+")
 _BLOCK = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]{16,}+={0,2}))*+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,15}={1,2})?")
-#: Characters within which an END line is looked for; a key of 16,384 bits has 12,700.
-PEM_LONGEST = 20_000
 VENDOR = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "vendor")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|redacted|your|xxxx|test|0123456789|abcdef0", re.I)
@@ -50,10 +49,11 @@ _OUT = pa.schema(
 
 
 def _key(text: str, header: re.Match) -> tuple[int, str]:
-    """End and value of the private key that the header opens: the END line's end, or that of the base64 block."""
+    """End and value of the private key that the header opens: the END line's end, if it comes before another header, or that of
+    the base64 block. Headers share the text out among them, so many of them take no longer than one."""
     at = header.end()
-    other = text.find("-----BEGIN ", at, at + PEM_LONGEST)
-    stop = text.find(line := header[0].replace("BEGIN", "END", 1), at, other if other >= 0 else at + PEM_LONGEST)
+    other = text.find("-----BEGIN ", at)
+    stop = text.find(line := header[0].replace("BEGIN", "END", 1), at, other if other >= 0 else len(text))
     end = stop + len(line) if stop >= 0 else _BLOCK.match(text, at).end()
     return end, _SPACE.sub("", text[at : stop if stop >= 0 else end]) or header[0]
 

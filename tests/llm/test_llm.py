@@ -595,6 +595,19 @@ def test_private_keys_are_told_apart(spark):
     assert all(out[i] == rows[i][1] for i in range(5, 8))
 
 
+def test_private_keys_of_any_length(spark):
+    rnd = random.Random(7)
+    block = lambda n: "\n".join("".join(rnd.choices("ABCDEFGHIJKLMabcdefghijklm0123456789+/", k=64)) for _ in range(n))
+    long = f"-----BEGIN RSA PRIVATE KEY-----\n{block(3000)}\n-----END RSA PRIVATE KEY-----"
+    open_ = "-----BEGIN PRIVATE KEY-----\n" + block(5)
+    text = f"a {long} b {open_}\nwords that are no key {long} c"
+    spans = [(a, b) for a, k, b, _ in secrets.find(text) if k == 4]
+    first, last = text.index(long), text.rindex(long)
+    assert spans == [(first, first + len(long)), (text.index(open_), text.index(open_) + len(open_)), (last, last + len(long))]
+    docs = spark.createDataFrame([(1, text, "one")], "doc_id bigint, text string, source string")
+    assert secrets.redact(docs).first()["text"] == "a [pem] b [pem]\nwords that are no key [pem] c"
+
+
 def plain_licences(x, templates, t):
     """Units and runs of words by comparing each with every template."""
     bag = lambda s: (lambda w: set(zip(w, w[1:])) if len(w) > 1 else set(w))(re.findall(r"[^\W_]+", s.lower()))
