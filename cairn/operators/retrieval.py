@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scores
 from cairn.functions.access import Principal
 from cairn.functions.text import query_terms
+from cairn.sources import shared
 
 
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "chunk_id", by: str = "query_id") -> DataFrame:
@@ -167,3 +168,24 @@ def evidence_graph(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = hits.withColumn("weight", F.round(scores.edge_weight(F.col("score"), F.max("score").over(w)), 6)).select("query_id", "chunk_id", "weight")
     nodes = hits.groupBy("query_id", "doc_type").agg(F.count(F.lit(1)).alias("passages"), F.bool_or(F.col("cited")).alias("cited"))
     return nodes, edges
+
+
+def until_sufficient(queries: DataFrame, passes: list[Callable[[DataFrame], DataFrame]], enough: int = 3, k: int = 8) -> DataFrame:
+    """Evidence for each query from as many passes as it takes, and no more [M12, G2]: a pass searches only the queries that have
+    fewer than enough different passages so far; what it finds is added, a passage that is found again keeping its best score.
+    query_id, pass_no (the last one that the query took part in), chunk_id, score, rank of the k best. A pass takes queries (query_id and what it
+    needs) and gives query_id, chunk_id, score. Between passes the open queries and what was found are tables in the shared
+    folder, so no search runs twice; once no query is open the passes that are left are not run."""
+    open_, found = queries.withColumn("pass_no", F.lit(0)), None
+    seen = shared.kept(queries.select("query_id").distinct().withColumn("pass_no", F.lit(0)), "asked")
+    for n, search in enumerate(passes, 1):
+        hits = search(open_.drop("pass_no")).select("query_id", "chunk_id", "score")
+        both = hits if found is None else found.unionByName(hits)
+        found = shared.kept(both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), "evidence")
+        asked = open_.select("query_id").distinct().withColumn("pass_no", F.lit(n))
+        seen = shared.kept(seen.unionByName(asked).groupBy("query_id").agg(F.max("pass_no").alias("pass_no")), "passes")
+        have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= enough)
+        open_ = shared.kept(queries.join(have.select("query_id"), "query_id", "left_anti").withColumn("pass_no", F.lit(n)), "open")
+        if open_.isEmpty():
+            break
+    return top(found.join(seen, "query_id"), k).select("query_id", "pass_no", "chunk_id", "score", "rank")

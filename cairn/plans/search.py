@@ -55,6 +55,32 @@ def both_terms_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(postings.search(asked, _index(spark, d, False), ANALYST, "all"))
 
 
+@query(
+    f"""WITH {_PLACES}, one AS (SELECT query_id, chunk_id, round(count(*) * 0.1::DOUBLE, 6) AS score FROM q JOIN p a ON a.term = q[1] JOIN p b USING (chunk_id) JOIN p c USING (chunk_id)
+        WHERE len(q) >= 3 AND b.term = q[2] AND b.place = a.place + 1 AND c.term = q[3] AND c.place = a.place + 2 GROUP BY 1, 2),
+    open1 AS (SELECT query_id, q FROM q WHERE (SELECT count(*) FROM one WHERE one.query_id = q.query_id) < 3),
+    u AS (SELECT query_id, unnest(list_distinct(q[1:3])) AS term FROM open1), a AS (SELECT query_id, chunk_id, count(*) AS tf, count(DISTINCT p.term) AS n FROM u JOIN p USING (term) GROUP BY 1, 2),
+    m AS (SELECT query_id, chunk_id, place, term FROM u JOIN p USING (term)), need AS (SELECT query_id, count(*) AS need FROM u GROUP BY 1),
+    l AS (SELECT m.*, list({{'t': m2.term, 'p': m2.place}}) AS near FROM m JOIN m m2 ON m2.query_id = m.query_id AND m2.chunk_id = m.chunk_id AND m2.place <= m.place GROUP BY ALL),
+    z AS (SELECT query_id, chunk_id, place, list_min(list_transform(list_distinct(list_transform(near, lambda x: x.t)), lambda t: list_max(list_transform(list_filter(near, lambda x: x.t = t), lambda x: x.p)))) AS first,
+            len(list_distinct(list_transform(near, lambda x: x.t))) AS n, near FROM l),
+    v AS (SELECT query_id, chunk_id, first, min(place) AS place, arg_min(near, place) AS near FROM z JOIN need USING (query_id) WHERE z.n = need GROUP BY 1, 2, 3),
+    two AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + place - first - (len(list_filter(near, lambda x: x.p >= first)) - 1))), 6) AS score FROM v GROUP BY 1, 2),
+    after2 AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1, 2),
+    open2 AS (SELECT query_id FROM open1 WHERE (SELECT count(*) FROM after2 WHERE after2.query_id = open1.query_id) < 3),
+    three AS (SELECT query_id, chunk_id, round(tf * 0.1::DOUBLE, 6) AS score FROM a JOIN open2 USING (query_id)),
+    fin AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM after2 UNION ALL SELECT * FROM three) GROUP BY 1, 2)
+    SELECT query_id, CAST(CASE WHEN query_id IN (SELECT query_id FROM open2) THEN 3 WHEN query_id IN (SELECT query_id FROM open1) THEN 2 ELSE 1 END AS INTEGER) AS pass_no, chunk_id, score,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fin QUALIFY rank <= 8"""
+)
+def sufficient_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first three words of each question as a phrase; for questions with fewer than three passages all of them anywhere;
+    for those with fewer still any of them"""
+    index = _index(spark, d, False)
+    passes = [lambda q, mode=mode: postings.search(q, index, ANALYST, mode, k=1000) for mode in ("phrase", "all", "any")]
+    return retrieval.until_sufficient(_questions(spark, d, 3), passes, enough=3)
+
+
 @query()
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
     """Any stem of each question, the 40 best; tested against brute force"""

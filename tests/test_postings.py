@@ -142,3 +142,27 @@ def test_nothing(spark, chunks, tmp_path):
     rows = postings.write_index(chunks.limit(0), str(tmp_path / "i"))
     assert postings.search(spark.createDataFrame(QUERIES, "query_id bigint, text string"), rows).collect() == []
     assert rows.rows.count() == 0
+
+
+def test_only_open_queries_are_asked_again(spark):
+    from cairn.operators import retrieval
+
+    asked = []
+
+    def by(found):
+        def search(queries):
+            asked.append(sorted(r["query_id"] for r in queries.select("query_id").collect()))
+            rows = [(q, c, s) for q, c, s in found if q in asked[-1]]
+            return spark.createDataFrame(rows, "query_id bigint, chunk_id bigint, score double")
+
+        return search
+
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "query_id bigint, text string")
+    first = by([(1, 10, 0.5), (1, 11, 0.4), (2, 20, 0.3)])
+    second = by([(1, 99, 9.0), (2, 20, 0.7), (2, 21, 0.1), (3, 30, 0.2)])
+    got = retrieval.until_sufficient(queries, [first, second, by([(3, 30, 0.1), (4, 40, 0.1), (4, 40, 0.6)]), by([])], enough=2)
+    assert asked == [[1, 2, 3, 4], [2, 3, 4], [3, 4], [3, 4]]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 10, 0.5, 1), (1, 1, 11, 0.4, 2), (2, 2, 20, 0.7, 1), (2, 2, 21, 0.1, 2), (3, 4, 30, 0.2, 1), (4, 4, 40, 0.6, 1)]
+    asked.clear()
+    retrieval.until_sufficient(queries.where("query_id < 3"), [first, second, by([])], enough=1)
+    assert asked == [[1, 2]]
