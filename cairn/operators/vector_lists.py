@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cairn.functions.access import Principal
 from cairn.operators.retrieval import dense, top
 
-SAMPLE, ASKED, BLOCK, GROUPS, MOST_LISTS = 65_536, 256, 4096, 256, 4096
+SAMPLE, ASKED, BLOCK, GROUPS, MOST_LISTS = 16_384, 256, 4096, 256, 1024
 _CODED = "list int, chunk_id bigint, code binary, vec array<double>, classification string, departments array<string>, mean_confidence double"
 
 
@@ -92,11 +92,10 @@ def write_lists(vectors: DataFrame, path: str, k: int = 10, recall: float = 0.97
     rows = vectors.where("chunk_id IS NOT NULL AND vec IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vec").cast("array<double>").alias("vec"), "classification", "departments", F.col("mean_confidence").cast("double").alias("mean_confidence"))
     n = rows.count()
     share = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
-    taken = rows.where(share).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select("chunk_id", "vec").collect()
-    width = len(taken[0]["vec"]) if taken else 1
-    if any(len(r["vec"]) != width for r in taken):
-        raise ValueError(f"vectors of another width than {width}")
-    sample = _unit(np.array([r["vec"] for r in taken], np.float64).reshape(len(taken), width))
+    taken = rows.where(share).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    width = len(taken[0]) if len(taken) else 1
+    taken = _matrix(taken, width)
+    sample = _unit(taken)
     lists = max(1, min(MOST_LISTS, 2 * int(n**0.5), len(sample)))
     centres = centroids(sample, lists) if len(sample) else np.zeros((1, width))
     rest = sample - centres[(sample @ centres.T).argmax(axis=1)]
@@ -114,10 +113,10 @@ def write_lists(vectors: DataFrame, path: str, k: int = 10, recall: float = 0.97
     made = rows.mapInArrow(coded, _CODED).withColumn("list_group", F.pmod("list", F.lit(GROUPS)).cast("int"))
     made.hint("rebalance", "list_group").sortWithinPartitions("list_group", "list", "chunk_id").write.partitionBy("list_group").parquet(f"{path}/rows")
     index = Lists(spark, path)
-    if taken:
+    if len(taken):
         # copies of a vector ask once
         distinct = np.sort(np.unique(sample, axis=0, return_index=True)[1])[:ASKED]
-        asked = spark.createDataFrame([(i, taken[j]["vec"]) for i, j in enumerate(distinct)], "query_id bigint, q array<double>")
+        asked = spark.createDataFrame([(i, taken[j].tolist()) for i, j in enumerate(distinct)], "query_id bigint, q array<double>")
         truth = dense(asked, rows, k=k).join(index.rows.select("chunk_id", "list"), "chunk_id").select("query_id", "list").collect()
         place = np.argsort(index.nearest(sample[distinct], lists), axis=1)
         needed = np.sort([place[r["query_id"], r["list"]] + 1 for r in truth])
