@@ -74,6 +74,28 @@ TEMPLATES |= {
     "GPL-3.0-header": TEMPLATES["GPL-3.0-notice"] + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
+
+
+def _gnu(name: str, version: str, thing: str = "program", sep: str = ",", older: bool = False) -> str:
+    """The notice of a licence of the GNU family, which differ in names, versions and marks."""
+    free = "free software;" if older else "free software:"
+    return f"This {thing} is {free} you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation{sep} either version {version} of the License, or (at your option) any later version."
+
+
+def _unwarranted(name: str, thing: str = "program") -> str:
+    return f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."
+
+
+TEMPLATES |= {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": _gnu("Affero General", "3"),
+    "AGPL-3.0-header": "\n\n".join((_gnu("Affero General", "3"), _unwarranted("Affero General"), "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.")),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-notice": _gnu("Lesser General", "3"),
+    "LGPL-2.1-notice": _gnu("Lesser General", "2.1", "library", ";", older=True),
+    "LGPL-2.1-header": "\n\n".join((_gnu("Lesser General", "2.1", "library", ";", older=True), _unwarranted("Lesser General", "library"))),
+    "GPL-2.0-notice": _gnu("General", "2", sep=";", older=True),
+}
 THRESHOLD = 0.8
 SCHEMA = "doc_id bigint, licence string, dice double, n_matches bigint, matches string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("n_matches", pa.int64()), ("matches", pa.string())])
@@ -151,8 +173,10 @@ class Matcher:
                         good.append((-score, k - n + 2))
             taken: list[int] = []
             for score, k in sorted(good):
-                if all(abs(k - o) >= n for o in taken):
-                    taken.append(k)
+                # runs taken are kept in order: only the neighbours can be too near
+                i = bisect_left(taken, k)
+                if (i == 0 or k - taken[i - 1] >= n) and (i == len(taken) or taken[i] - k >= n):
+                    taken.insert(i, k)
                     out.append((found[k].start(), found[k + n - 1].end(), name, -score))
         return sorted(out)
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 
@@ -692,6 +693,27 @@ def test_licence_of_short_words_and_whole_text():
     assert (0, len(wrapped), "MIT-text") in [x[:3] for x in m.matches(wrapped)]
 
 
+def test_licences_of_one_family_are_told_apart(spark):
+    header = lambda name, version, thing="program", mark=":", sep=",": (
+        f"This {thing} is free software{mark} you can redistribute it and/or modify\n# it under the terms of the GNU {name} Public License as published by\n# the Free Software Foundation{sep} either version {version} of the License, or\n# (at your option) any later version."
+    )
+    wanted = {
+        "AGPL-3.0-notice": header("Affero General", "3"), "LGPL-3.0-notice": header("Lesser General", "3"), "LGPL-2.1-notice": header("Lesser General", "2.1", "library", ";", ";"),
+        "GPL-3.0-notice": header("General", "3"), "GPL-2.0-notice": header("General", "2", mark=";", sep=";"), "AGPL-3.0": "Words before.\nThis work is licensed under the GNU Affero General Public License, version 3.\nWords after.",
+    }
+    rows = [(k, "first words of a file\n\n# " + t + "\n\nand more words", name) for k, (name, t) in enumerate(wanted.items())]
+    got = {r["doc_id"]: (r["licence"], r["dice"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string, name string")).collect()}
+    assert {rows[k][2]: v[0] for k, v in got.items()} == {n: n for n in wanted} and all(v[1] == 1.0 for v in got.values())
+
+
+def test_many_copies_of_a_licence_take_little_time():
+    m = licences.Matcher(licences.TEMPLATES, 0.8)
+    text = " and then again ".join([licences.TEMPLATES["MIT-text"].replace("\n\n", " ")] * 200)
+    began = time.perf_counter()
+    assert sum(x[2] == "MIT-text" for x in m.matches(text)) >= 199
+    assert time.perf_counter() - began < 20
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, docs, empty):
     now, left = docs, []
