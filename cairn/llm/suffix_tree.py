@@ -17,13 +17,14 @@ there is nothing to look at. A state is not gone on from when no context that en
 are at most the sum over its repeated continuations of n(s, w) (-ln P(w | s)), and none of these can grow RATIO times
 likelier if P(w | s) > 1 / RATIO for all. Nothing is lost by that.
 
-The corpus is read once into blocks of encoded texts, in a table bucketed by block. Each round counts by an exchange what
-the blocks hold, one binary for each block and bucket: no token or n-gram is a shuffled row, and contexts known to occur
-less than twice are never asked for. A context that holds a large share of all tokens is split over buckets by its
+The corpus is read once into blocks of encoded texts and their words' hashes, in a table bucketed by block. Each round
+counts by an exchange what the blocks hold, one binary for each block and bucket: no token or n-gram is a shuffled row, and
+contexts known to occur less than twice are never asked for. After a few rounds little is live; they then read only the
+stretches before live positions, cut from the blocks once for several rounds. A context that holds a large share of all tokens is split over buckets by its
 continuations. The model stays in the cluster and grows with the corpus; only the numbers of tokens and of distinct words
 come to the driver, summed from one row for each bucket.
 
-Words are told apart by 96-bit hashes; contexts by 20 bits more than it takes to number the tokens (64 at most), so one in
+Words are told apart by 80-bit hashes; contexts by 20 bits more than it takes to number the tokens (64 at most), so one in
 a million shares its counts with another; continuations of one context by 32 bits, so of T different ones a share of
 T / 2^32 is counted with another. All blocks see the same, so the sums stay whole.
 
@@ -40,6 +41,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -47,6 +49,8 @@ from cairn.llm import exchange
 from cairn.llm.common import batch, bucketed, materialise, mix64, partitions, ranked, release, sorting, text_of
 
 BLOCK = 1_000_000
+#: Bytes of text split into words at once.
+SLICE = 4_000_000
 GAIN, RATIO = 8.0, 1.5
 FOLDS, HELD = 7, 2
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_states bigint, longest_state bigint"
@@ -58,52 +62,69 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = 2048
 #: Bits of a continuation's hash.
 _SYMBOL = 32
+#: The first rounds read whole blocks, then one in so many; the others only what the live positions can reach until then.
+_WHOLE, _STRIDE = 3, 8
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
-class _Numbers(dict):
-    """word -> its number in a block, from 1 on."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, pa.Array]]:
+    """Documents by some MB: their ids, how many words each has, and the words one after the other."""
+    for b in batches:
+        texts = pc.ascii_trim_whitespace(pc.fill_null(b.column("text"), ""))
+        size = np.asarray(pc.binary_length(texts)).astype(np.int64)
+        cuts = np.searchsorted(np.cumsum(size) // SLICE, np.arange(1 + int(size.sum()) // SLICE + 1))
+        for at, to in zip(cuts, cuts[1:]):
+            if to > at:
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[at:to]))
+                counts, words = np.asarray(pc.list_value_length(lists)).astype(np.int64), lists.flatten()
+                if not size[at:to].all():  # an empty text is split into an empty word
+                    counts, words = np.where(size[at:to] > 0, counts, 0), words.filter(pc.greater(pc.binary_length(words), 0))
+                yield b.column("doc_id")[at:to].to_pylist(), counts, words
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> blocks: ids, held-out flags, lengths, tokens as the block's word numbers, the words (they compress
-    better than their hashes). Word 0 is the end, whose hash is 0."""
+    """Documents -> blocks: ids, held-out flags, lengths, tokens as the block's word numbers, the words' hashes. Word 0 is
+    the end, whose hash is 0."""
     out = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
     pid, k = TaskContext.get().partitionId(), 0
     ids: list = []
-    parts: list[np.ndarray] = []
-    index = _Numbers()
-    end = np.zeros(1, np.uint32)
+    sizes: list[np.ndarray] = []
+    parts: list[pa.Array] = []
     held = 0
 
     def block() -> pa.RecordBatch:
-        lengths = np.array([len(p) + 1 for p in parts])
-        tokens = np.concatenate([x for p in parts for x in (p, end)])
-        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T[: 3 if len(index) < 1 << 24 else 4])
-        return batch(out, [[pid << 32 | k], [exchange.pack(ids, np.array([held_out(i) for i in ids]), lengths, planes, b"\n".join(index))]])
-
-    for b in batches:
-        for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            ids.append(i)
-            parts.append(np.fromiter(map(index.__getitem__, ws), np.uint32, len(ws)))
-            held += len(ws) + 1
+        counts, coded = np.concatenate(sizes), pa.concat_arrays(parts).dictionary_encode()
+        inner = np.ones(len(coded) + len(counts), bool)
+        inner[np.cumsum(counts + 1) - 1] = False
+        tokens = np.zeros(len(inner), np.uint32)
+        tokens[inner] = coded.indices.to_numpy().view(np.uint32) + np.uint32(1)
+        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T[: 3 if len(coded.dictionary) < 1 << 24 else 4])
+        one = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        two = word_hashes(pc.binary_join(one, "\n")[0].as_buffer()) if len(coded.dictionary) else np.zeros((0, 2), np.uint64)
+        hashes = two[:, 0].copy(), two[:, 1].astype(np.uint16)
+        return batch(out, [[pid << 32 | k], [exchange.pack(ids, np.array([held_out(i) for i in ids]), counts + 1, planes, *hashes)]])
+
+    for some, counts, words in _split(batches):
+        at = before = 0
+        while at < len(some):
+            full = held + np.cumsum(counts[at:] + 1)
+            to = min(len(some), at + 1 + int(np.searchsorted(full, BLOCK)))
+            n = int(counts[at:to].sum())
+            ids, held = ids + some[at:to], int(full[to - at - 1])
+            sizes.append(counts[at:to])
+            parts.append(words[before : before + n])
+            at, before = to, before + n
             if held >= BLOCK:
                 yield block()
-                ids, parts, held, k = [], [], 0, k + 1
-                index = _Numbers()
+                ids, sizes, parts, held, k = [], [], [], 0, k + 1
     if ids:
         yield block()
 
 
-def word_hashes(joined: bytes) -> np.ndarray:
+def word_hashes(joined: bytes | pa.Buffer) -> np.ndarray:
     """Two 64-bit hashes of each of some words, joined by line ends: sums of mixed (place, byte) pairs, mixed with the
     length. Whole arrays at a time, which is much faster than a call for each word."""
     raw = np.frombuffer(joined, np.uint8)
@@ -160,36 +181,44 @@ class Level:
     def __init__(self, block: Block, depth: int, at: np.ndarray, p: np.ndarray, split: np.ndarray):
         """at: positions; p: probability of their symbol in the shorter context; split: parts of their contexts."""
         self.buckets = block.buckets
-        if depth > 1:
-            used = np.zeros(len(block.words), bool)
-            for k in range(depth + 1):
-                used[block.token[at - k]] = True
-            block.hash_words(np.flatnonzero(used))
-        w, c = block.token[at], block.contexts(at, depth)
-        unit = c
-        wide = np.flatnonzero(split > 1)
-        more = own = np.zeros(0, np.uint64)
+        w, wide = block.token[at], np.flatnonzero(split > 1)
+        if depth == 1:  # contexts are words: there are fewer of them to be sorted than positions
+            last = block.token[at - 1]
+            used = np.bincount(last, minlength=len(block.hi))
+            used[last[wide]] = 0
+            used = np.flatnonzero(used)
+            unit, large = block.word_contexts[used], block.word_contexts[last[wide]]
+        else:
+            unit = block.contexts(at, depth)
+            large = unit[wide]
+        parts = more = own = np.zeros(0, np.uint64)
         if len(wide):  # every part of such a context is asked, so that its sums are whole
-            unit = c.copy()
-            unit[wide] = mix64(c[wide] + (block.symbol[w[wide]] % split[wide].astype(np.uint64) + np.uint64(1)) * _ODD)
-            one = wide[np.unique(c[wide], return_index=True)[1]]
-            times = split[one].astype(np.int64)
+            parts = mix64(large + (block.symbol[w[wide]] % split[wide].astype(np.uint64) + np.uint64(1)) * _ODD)
+            _, _, one = ranked(large)
+            times = split[wide[one]].astype(np.int64)
             part = np.arange(1, times.sum() + 1) - np.repeat(np.cumsum(times) - times, times)
-            own = np.repeat(c[one], times)
+            own = np.repeat(large[one], times)
             more = mix64(own + part.astype(np.uint64) * _ODD)
-        bits = block.bits
-        self.units, of, _ = ranked(np.concatenate((unit, more)) >> np.uint64(64 - bits))
-        self.unit = of[: len(at)]
-        self.wide = np.unique(of[len(at) :])
+        if depth > 1:
+            unit[wide] = parts
+            parts = parts[:0]
+        self.units, of, _ = ranked(np.concatenate((unit, parts, more)) >> np.uint64(64 - block.bits))
+        of, of_parts, asked = np.split(of, [len(unit), len(unit) + len(parts)])
+        if depth == 1:
+            rank = np.zeros(len(block.hi), np.int64)
+            rank[used] = of
+            of = rank[last]
+            of[wide] = of_parts
+        self.unit, self.wide = of, np.unique(asked)
         self.whose = np.zeros(len(self.units), np.uint64)
-        self.whose[of[len(at) :]] = own
-        width = len(block.hi)
-        pair, self.pair, first = ranked(self.unit.astype(np.uint64) * np.uint64(width) + w.astype(np.uint64))
-        self.pair_unit = (pair // np.uint64(width)).astype(np.int64)
-        self.symbol = block.symbol[(pair % np.uint64(width)).astype(np.int64)]
-        self.count = np.bincount(self.pair, block.train[at], len(pair)).astype(np.int64)
+        self.whose[asked] = own
+        width = np.uint64(len(block.hi).bit_length())
+        pair, self.pair, first = ranked(self.unit.astype(np.uint64) << width | w.astype(np.uint64))
+        self.pair_unit = (pair >> width).astype(np.int64)
+        self.symbol = block.symbol[(pair & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)]
+        self.count = np.bincount(self.pair[block.train[at]], minlength=len(pair))
         self.lp = np.clip(np.rint(np.log(p[first]) * -_STEPS), 0, 65535).astype(np.uint16)
-        self.cut = [0, *np.searchsorted(self.units, _bounds(self.buckets, bits)).tolist(), len(self.units)]
+        self.cut = [0, *np.searchsorted(self.units, _bounds(self.buckets, block.bits)).tolist(), len(self.units)]
         self.pair_cut = np.searchsorted(self.pair_unit, self.cut).tolist()
 
     def _slices(self) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
@@ -267,16 +296,18 @@ Live = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Block:
-    """A block's documents; words are hashed, and sorted for the first exchange, only as far as a round needs them."""
+    """A block's documents; words are sorted for the first exchange only."""
 
     def __init__(self, payload: bytes, buckets: int, total: int = 0):
-        self.ids, self.held, self.lengths, planes, words = exchange.unpack(payload)
-        self.words = [b"", *words.split(b"\n")] if words else [b""]
+        self.ids, self.held, self.lengths, planes, hi, lo, *places = exchange.unpack(payload)
+        self.places = exchange.expand(places[0]).view(np.int64) if places else None
+        self.hi, self.lo = np.append(np.uint64(0), hi), np.append(np.uint16(0), lo)
+        self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
         self.buckets, self.total = buckets, total
         self.bits = min(64, total.bit_length() + 20)
-        raw = np.zeros((planes.shape[1], 4), np.uint8)
-        raw[:, : planes.shape[0]] = planes.T
-        self.token = raw.reshape(-1).view(np.int32)
+        self.token = planes[0].astype(np.int32)
+        for k in range(1, len(planes)):
+            self.token |= planes[k].astype(np.int32) << (8 * k)
         self.first = np.cumsum(self.lengths) - self.lengths
 
     @cached_property
@@ -287,17 +318,17 @@ class Block:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
-    def hash_words(self, which: np.ndarray | None = None) -> None:
-        """Hashes of the words of those numbers (all, if none are given); the end, word 0, has 0."""
-        which = np.arange(1, len(self.words)) if which is None else which[which > 0]
-        two = np.zeros((len(self.words), 2), np.uint64)
-        if len(which):
-            two[which] = word_hashes(b"\n".join([self.words[k] for k in which.tolist()]))
-        self.hi, self.lo = two[:, 0].copy(), two[:, 1].astype(np.uint32)
-        self.symbol = self.hi & np.uint64((1 << _SYMBOL) - 1)
+    @cached_property
+    def word_contexts(self) -> np.ndarray:
+        """Hashes of the contexts that are a word."""
+        return mix64(np.uint64(1) * _ODD + self.hi)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Words before each position in its document."""
+        return np.arange(len(self.token), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.lengths)
 
     def sort_words(self) -> None:
-        self.hash_words()
         self.order = sorting(self.hi)
         hi = self.hi[self.order]
         if (hi[1:] == hi[:-1]).any():
@@ -326,20 +357,53 @@ class Block:
     def contexts(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Hashes of the depth words before each position."""
         if depth == 1:
-            return mix64(np.uint64(1) * _ODD + self.hi)[self.token[at - 1]]
+            return self.word_contexts[self.token[at - 1]]
         h = np.full(len(at), depth, np.uint64)
         for k in range(1, depth + 1):
             h = mix64(h * _ODD + self.hi[self.token[at - k]])
         return h
 
+    def shortened(self, at: np.ndarray, reach: int) -> tuple[bytes, np.ndarray]:
+        """A block of the stretches that hold those positions and as many as reach words before each, and the positions
+        there. A stretch stands for a document: its id is the document's number, and its places in the whole block are
+        kept."""
+        edge = np.bincount(at - np.minimum(self.place[at], reach), minlength=len(self.token) + 1)
+        edge[at + 1] -= 1
+        kept = np.cumsum(edge[:-1]) > 0
+        where = np.flatnonzero(kept)
+        head = np.flatnonzero((self.place[where] == 0) | ~kept[where - 1])
+        doc = self.doc[where[head]]
+        token = self.token[where]
+        used = np.zeros(len(self.hi), bool)
+        used[token] = True
+        used[0] = True
+        words = np.flatnonzero(used)[1:]
+        token = (np.cumsum(used) - 1).astype(np.uint32)[token]
+        planes = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 4).T[: 3 if len(words) < 1 << 24 else 4])
+        owner, places = (doc, where) if self.places is None else (self.ids[doc], self.places[where])
+        lengths = np.diff(np.append(head, len(where)))
+        payload = exchange.pack(owner, self.held[doc], lengths, planes, self.hi[words], self.lo[words], exchange.squeeze(places))
+        return payload, np.searchsorted(where, at)
+
+    def opening(self, seen: np.ndarray, p: np.ndarray) -> Live:
+        """The positions live in the first round: those after a word that occurs twice or more in training. seen: how often
+        words do, p: their probabilities."""
+        at = np.flatnonzero((seen >= 2)[self.token[:-1]] & (self.place[1:] > 0)) + 1
+        split = 1 + (4 * self.buckets * seen) // max(1, self.total)
+        return at, _rounded(p)[self.token[at]], split[self.token[at - 1]], np.zeros(len(at), bool)
+
     def longer(self, depth: int, at: np.ndarray, p: np.ndarray, inside: np.ndarray, total: np.ndarray, n: np.ndarray, more: np.ndarray) -> Live:
         """The positions live at the next depth. total: how often the symbol follows; that of the position before is the
         count of the next context, where it was live."""
         before = np.full(len(self.token) + 1, -1, np.int64)
         before[at + 1] = total
-        most = np.where(before[at] >= 0, np.minimum(before[at], n), n)
-        keep = more & (most >= 2) & (at - self.first[self.doc[at]] > depth)
-        return at[keep], _rounded(p[keep]), 1 + (4 * self.buckets * most[keep]) // max(1, self.total), inside[keep]
+        of = np.flatnonzero(more)
+        at, n = at[of], n[of]
+        last = before[at]
+        most = np.where(last >= 0, np.minimum(last, n), n)
+        keep = np.flatnonzero((most >= 2) & (self.place[at] > depth))
+        of = of[keep]
+        return at[keep], _rounded(p[of]), 1 + (4 * self.buckets * most[keep]) // max(1, self.total), inside[of]
 
 
 def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -355,10 +419,10 @@ def _merge_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
     return [exchange.pack(exchange.short(x)) for x in np.split(total[group], ends)], exchange.pack(int(total.sum()), int((total > 0).sum()))
 
 
-def _state(block: Block, sums: list[np.ndarray], live: Live) -> bytes:
-    """A block between rounds: sums by document, and the live positions with what is known of them."""
+def _state(length: int, sums: list[np.ndarray], live: Live) -> bytes:
+    """A block of so many tokens between rounds: sums by document, and the live positions with what is known of them."""
     at, p, split, inside = live
-    mask = np.zeros(len(block.token) if len(at) else 0, bool)
+    mask = np.zeros(length if len(at) else 0, bool)
     mask[at] = True
     return exchange.pack(sums, len(mask), np.packbits(mask), _narrow(p.view(np.uint64) >> np.uint64(24), 5), exchange.short(split - 1), np.packbits(inside))
 
@@ -388,16 +452,20 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
     told = [exchange.unpack(r["blob"]) for r in words.where("block = -1").select("blob").collect()]
     n, v = sum(x[0] for x in told), sum(x[1] for x in told)
 
+    def whole(depth: int) -> bool:
+        """Whether the round reads whole blocks."""
+        return depth <= _WHOLE or (depth - _WHOLE) % _STRIDE == 0
+
     def opened(payload: bytes, answers: dict, depth: int) -> tuple[Block, list[np.ndarray], Live]:
         """A block as the rounds before depth have left it; before the first these are the words' counts."""
         block = Block(payload, buckets, n)
         if depth > 1:
             return block, *_resumed(answers[-1, -1])
-        count = block.read_words(answers)[block.token]
-        p = (count + 1) / (n + 1 * (v + 1))
-        base, none, no = np.add.reduceat(np.log10(p), block.first), np.zeros(len(block.first), np.int64), np.zeros(len(p), bool)
-        live = block.longer(0, np.arange(len(p)), p, no, count, np.full(len(p), n), ~no)
-        return block, [base, np.add.reduceat((count > 0).astype(np.int64), block.first), base, none, none], live
+        seen = block.read_words(answers)
+        each = (seen + 1) / (n + 1 * (v + 1))
+        base, none = np.add.reduceat(np.log10(each)[block.token], block.first), np.zeros(len(block.first), np.int64)
+        known = np.add.reduceat((seen > 0).astype(np.int64)[block.token], block.first)
+        return block, [base, known, base, none, none], block.opening(seen, each)
 
     def over(answers: dict, depth: int) -> bool:
         """Whether nothing in the block is live any more."""
@@ -405,38 +473,47 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
 
     def asking(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
         def ask(number: int, payload: bytes, answers: dict) -> pa.Table:
-            if not payload or over(answers, depth):
+            if number < 0 or over(answers, depth):
                 return exchange.messages([])
             block, _, live = opened(payload, answers, depth)
             return exchange.messages([(number, k, depth, x) for k, x in Level(block, depth, *live[:3]).asks()] if len(live[0]) else [])
 
         return ask
 
+    def kept(number: int, stretches: bytes, blob: bytes) -> pa.Table:
+        return pa.table([pa.array([number], pa.int64()), pa.array([stretches], pa.binary()), pa.array([blob], pa.binary())], names=["block", "payload", "own"])
+
     def reading(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
         def read(number: int, payload: bytes, answers: dict) -> pa.Table:
-            if not payload:
-                return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "own"])
+            if number < 0:
+                return kept(number, b"", b"").slice(1)
             if over(answers, depth):
-                return pa.table([pa.array([number], pa.int64()), pa.array([answers[-1, -1]], pa.binary())], names=["block", "own"])
+                return kept(number, b"", answers[-1, -1])
             block, sums, (at, p, split, inside) = opened(payload, answers, depth)
             base, known, now, states, longest = sums
             live = at, p, split, inside
             if len(at):
                 total, ns, t, state, more = Level(block, depth, at, p, split).read(answers, depth)
-                new = np.where(state, (total + t * p) / np.maximum(ns + t, 1), p)
-                add = lambda x, of: np.bincount(block.doc[at[of]], x, len(block.lengths))
-                now = now + add(np.log10(new[state]) - np.log10(p[state]), state)
-                states = states + add(None, state & ~inside)
-                longest = np.where(add(None, state) > 0, depth, longest)
+                of, new = np.flatnonzero(state), p.copy()
+                new[of] = (total[of] + t[of] * p[of]) / np.maximum(ns[of] + t[of], 1)
+                doc = block.doc[at[of]] if block.places is None else block.ids[block.doc[at[of]]]
+                now = now + np.bincount(doc, np.log10(new[of] / p[of]), len(base))
+                states = states + np.bincount(doc, ~inside[of], len(base)).astype(np.int64)
+                longest = np.where(np.bincount(doc, minlength=len(base)) > 0, depth, longest)
                 live = block.longer(depth, at, new, inside | state, total, ns, more)
-            blob = _state(block, [base, known, now, states, longest], live)
-            return pa.table([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "own"])
+            stretches, length = b"", len(block.token)
+            if len(live[0]) and not whole(depth + 1):
+                stretches, there = block.shortened(live[0], depth + _STRIDE - (depth - _WHOLE) % _STRIDE)
+                live, length = (there, *live[1:]), int(there[-1]) + 1
+            elif block.places is not None:
+                live, length = (block.places[live[0]], *live[1:]), int(block.places[-1]) + 1
+            return kept(number, stretches, _state(length, [base, known, now, states, longest], live))
 
         return read
 
     def finishing(depth: int) -> Callable[[int, bytes, dict], pa.Table]:
-        def finish(_number: int, payload: bytes, answers: dict) -> pa.Table:
-            if not payload:
+        def finish(number: int, payload: bytes, answers: dict) -> pa.Table:
+            if number < 0:
                 return _OUT.empty_table()
             block, (base, known, now, states, longest), _ = opened(payload, answers, depth)
             columns = [block.ids, block.held, block.lengths, known, np.full(len(base), n), base, now, states, longest]
@@ -446,14 +523,15 @@ def _scored(held: list[DataFrame], buckets: int) -> DataFrame:
 
     # the first round starts from the words' counts, the others from what the blocks have kept
     with_words = words.where("block >= 0")
-    now, depth = blocks, 1
+    now, own, depth = blocks, blocks, 1
     while True:
-        run = lambda finish, schema: exchange.concluded(blocks, with_words, finish, schema) if depth == 1 else exchange.alone(now, finish, schema)  # noqa: B023, E731
-        answers = materialise(exchange.answered(run(asking(depth), exchange.MESSAGE), merge_grams), "answers")
+        run = lambda of, finish, schema: exchange.concluded(of, with_words, finish, schema) if depth == 1 else exchange.alone(of, finish, schema)  # noqa: B023, E731
+        answers = materialise(exchange.answered(run(now, asking(depth), exchange.MESSAGE), merge_grams), "answers")
         held.append(answers)
         if answers.isEmpty():
-            return materialise(run(finishing(depth), SCHEMA), "scores")
-        own = bucketed(exchange.concluded(now, answers.union(with_words) if depth == 1 else answers, reading(depth), "block bigint, own binary"), "own", "block", buckets)
+            return materialise(run(now if depth == 1 else blocks.join(own.select("block", "own").hint("merge"), "block"), finishing(depth), SCHEMA), "scores")
+        own = bucketed(exchange.concluded(now, answers.union(with_words) if depth == 1 else answers, reading(depth), "block bigint, payload binary, own binary"), "own", "block", buckets)
         release(*held[1:])
         held[1:] = [own]
-        now, depth = blocks.join(own.hint("merge"), "block"), depth + 1
+        depth += 1
+        now = blocks.join(own.select("block", "own").hint("merge"), "block") if whole(depth) else own

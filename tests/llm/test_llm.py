@@ -7,11 +7,13 @@ import math
 import random
 import re
 import time
+import types
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -438,6 +440,80 @@ def test_suffix_tree(spark, docs, empty, monkeypatch, size, few):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cairn_blocks")]
 
 
+def deep():
+    """Texts whose next word leans on one to five of the words before it, so that states are long, and odd rows."""
+    rnd, texts = random.Random(23), []
+    leaning = collections.defaultdict(lambda: rnd.choice("vxyz"))
+    for _ in range(150):
+        w = []
+        for _ in range(rnd.randint(0, 500)):
+            k = rnd.randint(1, 5)
+            w.append(leaning[tuple(w[-k:])] if k <= len(w) else rnd.choice("vxyz"))
+        texts.append(" ".join(w))
+    return list(enumerate([*texts, None, "", "x", "unseen words", *["x y"] * 3]))
+
+
+@pytest.mark.parametrize("stretch", [(1, 3), (2, 2)])
+def test_suffix_tree_from_stretches(spark, monkeypatch, stretch):
+    """Rounds that read only what the live positions can reach, with whole blocks again in between."""
+    monkeypatch.setattr(suffix_tree, "_WHOLE", stretch[0])
+    monkeypatch.setattr(suffix_tree, "_STRIDE", stretch[1])
+    rows = deep()
+    got = sorted(tuple(r) for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    want = sorted(spec_scores(rows))
+    assert [(r[0], *r[2:5], *r[7:]) for r in got] == [(*r[:4], *r[6:]) for r in want]
+    assert [r[6] for r in got] == pytest.approx([r[5] for r in want], rel=1e-6)
+    assert max(r[8] for r in got) > sum(stretch)
+
+
+def encoded(monkeypatch, rows):
+    monkeypatch.setattr(suffix_tree.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    batches = [pa.record_batch([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.string())], names=["doc_id", "text"]) for x in (rows[:5], rows[5:])]
+    return [b.column("payload")[0].as_py() for b in suffix_tree._encode(iter(batches))]
+
+
+@pytest.mark.parametrize("size", [1_000_000, 700])
+def test_words_are_hashed_once(monkeypatch, size):
+    """Blocks hold the hashes of their words, in the order of the texts; later rounds hash no word again."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", size)
+    monkeypatch.setattr(suffix_tree, "SLICE", 100)
+    rows = [*pairs(), (-1, None), (-2, " \t\x0b\x0c\r\n"), (-3, "\x1c\x85\xa0x\x1fy\u2003z"), (-4, " \nA\x0bb\x0c\x00C  "), (None, "É ß")]
+    hashes = {b"": 0} | {w: int(suffix_tree.word_hashes(w)[0, 0]) for _, x in rows for w in (x or "").encode().lower().split()}
+    payloads = encoded(monkeypatch, rows)
+    monkeypatch.setattr(suffix_tree, "word_hashes", lambda _: pytest.fail("hashed again"))
+    seen = []
+    for payload in payloads:
+        block = suffix_tree.Block(payload, 4, 10_000)
+        assert block.lengths.sum() >= size or payload is payloads[-1]
+        assert list(block.ask_words())
+        at = np.flatnonzero(block.place > 2)
+        assert not len(at) or list(suffix_tree.Level(block, 2, at, np.full(len(at), 0.5), np.ones(len(at), np.int64)).asks())
+        for i, x in zip(block.ids, np.split(block.hi[block.token], block.first[1:])):
+            seen.append((i, x.tolist()))
+    assert seen == [(i, [hashes[w] for w in (x or "").encode().lower().split()] + [0]) for i, x in rows]
+    assert len(payloads) > 1 or size > 700
+
+
+def test_stretches(monkeypatch):
+    """A block cut to what some positions can reach holds just that, and cut again, less."""
+    (payload,) = encoded(monkeypatch, pairs())
+    block = suffix_tree.Block(payload, 4, 10_000)
+    at = np.sort(np.random.default_rng(2).choice(len(block.token), 40, replace=False))
+    less, there = block.shortened(at, 4)
+    small = suffix_tree.Block(less, 4, 10_000)
+    assert len(less) < len(payload) / 10 and len(small.token) <= 200
+    again, last = small.shortened(there[::2], 3)
+    tiny = suffix_tree.Block(again, 4, 10_000)
+    for b, now, were, reach in ((small, there, at, 4), (tiny, last, at[::2], 3)):
+        assert (b.places[now] == were).all() and (b.hi[b.token] == block.hi[block.token[b.places]]).all()
+        assert (np.array(b.ids)[b.doc] == block.doc[b.places]).all() and (b.train == block.train[b.places]).all()
+        assert (b.place[now] >= np.minimum(block.place[were], reach)).all()
+        assert (b.places - b.place == np.repeat(b.places[b.first], b.lengths)).all()
+        for k in range(1, reach + 1):
+            ok = block.place[were] >= k
+            assert (b.places[now - k][ok] == were[ok] - k).all()
+
+
 def test_word_hashes():
     rnd = random.Random(5)
     words = sorted({"".join(rnd.choice("ab\u00e9") for _ in range(rnd.randint(1, 14))).encode() for _ in range(20_000)})
