@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.rules import bound
+
 #: Factors to the base unit of each dimension.
 FACTORS = {
     "mm": ("length", 1e-3), "cm": ("length", 1e-2), "m": ("length", 1.0), "in": ("length", 0.0254), "inch": ("length", 0.0254), "ft": ("length", 0.3048),
@@ -27,27 +29,32 @@ def convert(value: Column, unit: Column, to: str) -> Column:
 
 def tidy_quantity(text: Column) -> Column:
     """Unit strings as people write them: plural marks dropped, "per" as a slash, "3.30 mm/6 year" as a rate [H21]."""
-    clean = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?i)\(\s*s\s*\)", "")), r"(?i)\s+per\s+", "/")
     form = r"^\s*(-?\d+(?:\.\d+)?)\s*([A-Za-z°µ]+)\s*/\s*(\d+(?:\.\d+)?)\s*([A-Za-z°µ]+)\s*$"
-    value, divisor = (F.regexp_extract(clean, form, k).try_cast("double") for k in (1, 3))
-    rate = F.concat(F.regexp_replace(F.regexp_replace(F.bround(value / F.nullif(divisor, F.lit(0.0)), 10).cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit(" "), F.regexp_extract(clean, form, 2), F.lit("/"), F.regexp_extract(clean, form, 4))
-    return F.when(clean.rlike(form) & (divisor > 0), rate).otherwise(clean)
+
+    def tidied(clean: Column) -> Column:
+        value, divisor = (F.regexp_extract(clean, form, k).try_cast("double") for k in (1, 3))
+        rate = F.concat(F.regexp_replace(F.regexp_replace(F.bround(value / F.nullif(divisor, F.lit(0.0)), 10).cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit(" "), F.regexp_extract(clean, form, 2), F.lit("/"), F.regexp_extract(clean, form, 4))
+        return F.when(clean.rlike(form) & (divisor > 0), rate).otherwise(clean)
+
+    return bound(F.regexp_replace(F.trim(F.regexp_replace(text, r"(?i)\(\s*s\s*\)", "")), r"(?i)\s+per\s+", "/"), tidied)
 
 
 def quantity(text: Column) -> Column:
     """struct<value, unit> of "12.5 mm" [1.2]."""
-    t = tidy_quantity(text)
     form = r"^\s*(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)\s*(\S.*)?$"
-    return F.struct(F.regexp_extract(t, form, 1).try_cast("double").alias("value"), F.trim(F.regexp_extract(t, form, 2)).alias("unit"))
+    return bound(tidy_quantity(text), lambda t: F.struct(F.regexp_extract(t, form, 1).try_cast("double").alias("value"), F.trim(F.regexp_extract(t, form, 2)).alias("unit")))
 
 
 def canonical_inputs(raw: Column, known: tuple[str, ...]) -> Column:
     """Input names by their aliases, unknown ones dropped, the first of a name kept [J9]. raw: map<string,string>."""
     names = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.lit(v))])
     pairs = F.transform(F.map_entries(raw), lambda e: F.struct(F.when(e["key"].isin(*known), e["key"]).otherwise(F.element_at(names, F.lower(F.trim(e["key"])))).alias("key"), tidy_quantity(e["value"]).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    kept = F.filter(pairs, lambda p, i: p["key"].isin(*known) & (F.array_position(keys, p["key"]) == i + 1))
-    return F.map_from_entries(kept)
+
+    def kept(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p["key"])
+        return F.map_from_entries(F.filter(pairs, lambda p, i: p["key"].isin(*known) & (F.array_position(keys, p["key"]) == i + 1)))
+
+    return bound(pairs, kept)
 
 
 def _result(value: Column, unit: str, refusal: Column) -> Column:
@@ -132,11 +139,11 @@ def dispatch(name: Column, raw: Column) -> Column:
     units, then the result or its refusal; an unknown name fails [J8]."""
     out = _result(F.lit(None).cast("double"), "", F.lit(None).cast("string"))
     for key, (function, inputs) in CATALOGUE.items():
-        given = canonical_inputs(raw, tuple(k for k, _ in inputs))
 
-        def value(k: str, unit: str | None) -> Column:
-            q = quantity(F.try_element_at(given, F.lit(k)))  # noqa: B023
-            return q["value"] if unit is None else convert(q["value"], q["unit"], unit)
+        def value(given: Column, k: str, unit: str | None) -> Column:
+            return bound(quantity(F.try_element_at(given, F.lit(k))), lambda q: q["value"] if unit is None else convert(q["value"], q["unit"], unit))
 
-        out = F.when(name == key, function(*(value(k, unit) for k, unit in inputs))).otherwise(out)
+        # each step bound: written into the next one they would be evaluated thousands of times a row
+        read = bound(canonical_inputs(raw, tuple(k for k, _ in inputs)), lambda given: F.struct(*(value(given, k, unit).alias(k) for k, unit in inputs)))  # noqa: B023
+        out = F.when(name == key, bound(read, lambda v: function(*(v[k] for k, _ in inputs)))).otherwise(out)  # noqa: B023
     return out

@@ -121,6 +121,28 @@ def test_quantities(spark):
     assert one(spark, engineering.convert(F.lit(2.0), F.lit("in"), "mm"), engineering.convert(F.lit(2.0), F.lit("bar"), "mm"))[0:2] == (pytest.approx(50.8), None)
 
 
+def test_dispatch(spark):
+    rows = [
+        ("corrosion_rate", {"initial": "12 mm", "Current ": "1 cm", "years": "4 year(s)", "colour": "red"}, (True, False, 0.5, "mm/year")),
+        ("corrosion_rate", {"initial": "12 mm"}, (False, False, None, "mm/year")),
+        ("remaining_life", {"current": "10 mm", "minimum": "8 mm", "rate": "3.0 mm/6 year"}, (True, False, 4.0, "year")),
+        ("minimum_thickness", {"pressure": "900 MPa", "radius": "1 m", "stress": "100 MPa"}, (False, True, None, "mm")),
+        ("heat_duty", {"mass_flow": "2 kg/s", "specific_heat": "4.0 kJ/kg/K", "difference": "10 K"}, (True, False, 80.0, "kW")),
+        ("heat_duty", {"mass_flow": "2 mm", "specific_heat": "4.0", "difference": "10 K"}, (False, False, None, "kW")),
+        ("heat_duty", None, (False, False, None, "kW")),
+        ("no such", {"initial": "12 mm"}, (False, False, None, "")),
+    ]
+    df = spark.createDataFrame([(k, n, raw) for k, (n, raw, _) in enumerate(rows)], "k int, n string, raw map<string,string>").select("k", engineering.dispatch(F.col("n"), F.col("raw")).alias("r"))
+    got = {r["k"]: (r["r"]["ok"], r["r"]["refused"], r["r"]["value"] if r["r"]["value"] is None else round(r["r"]["value"], 9), r["r"]["unit"]) for r in df.collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(rows)}
+
+
+def test_dispatch_names_each_step_once(spark):
+    df = spark.createDataFrame([("heat_duty", {"mass_flow": "2 kg/s"})], "n string, raw map<string,string>").select(engineering.dispatch(F.col("n"), F.col("raw")).alias("r"))
+    # regular expressions: 73,944 if every step repeats the ones before it
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_") < 1000
+
+
 def test_readings_beside_a_year(spark):
     lines = F.array(F.lit("V-1201 | CML-04 | 2023 | 12.5"), F.lit("V-1201 | CML-05 | 2023 | 11.0"), F.lit("2023 report"))
     assert one(spark, engineering.readings_beside(lines, F.lit("2023"), F.lit("cml-04")))[0] == ["12.5"]
