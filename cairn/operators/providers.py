@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,16 @@ def sharing_provider(failed: DataFrame, models: DataFrame) -> DataFrame:
 
 def fallback(decisions: DataFrame, models: DataFrame) -> DataFrame:
     """The next model of the lane after one failed, with the confidence times 0.8; none is no row [N5]. decisions: request_id,
-    lane, attempted array, confidence; models: model, lane, pos, open."""
-    lanes = models.where("NOT open").groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("pos", "model"))).alias("ladder"))
-    left = F.filter("ladder", lambda m: ~F.array_contains("attempted", m["model"]))
-    return decisions.join(lanes, "lane").where(F.size(left) > 0).select("request_id", left[0]["model"].alias("model"), F.round(F.col("confidence") * 0.8, 10).alias("confidence"))
+    lane, attempted array, confidence; models: model, lane, pos, open. Of n attempted models one of a lane's first n + 1 is
+    left, so a lane's ladder is no longer than that, and a decision looks at so many of its own."""
+    tries = F.size(F.array_distinct("attempted"))
+    most = decisions.agg(F.max(tries)).first()[0] or 0
+    w = Window.partitionBy("lane").orderBy("pos", "model")
+    once = models.where("NOT open AND model IS NOT NULL").groupBy("lane", "model").agg(F.min(F.struct("pos"))["pos"].alias("pos"))
+    first = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.lit(max(most, 0) + 1))
+    lanes = first.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("pos", "model"))).alias("ladder"))
+    left = F.filter(F.slice("ladder", 1, tries + 1), lambda m: ~F.array_contains("attempted", m["model"]))
+    return decisions.where("attempted IS NOT NULL").join(lanes, "lane").where(F.size(left) > 0).select("request_id", left[0]["model"].alias("model"), F.round(F.col("confidence") * 0.8, 10).alias("confidence"))
 
 
 def unique_pairs(rows: DataFrame) -> DataFrame:
