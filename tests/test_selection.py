@@ -2,7 +2,7 @@
 
 import random
 
-from cairn.operators import providers
+from cairn.operators import providers, routing
 
 MODELS = "model bigint, lane bigint, pos bigint, open boolean"
 DECISIONS = "request_id bigint, lane bigint, attempted array<bigint>, confidence double"
@@ -31,3 +31,57 @@ def test_a_ladder_is_no_longer_than_what_was_attempted(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 2, 0.8)]
     # each task sends the first four of a lane, not all
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+REQUESTS = "request_id bigint, lane string, needs struct<capabilities:array<string>,window:bigint>"
+OFFERED = "model bigint, lane string, pos bigint, capabilities array<string>, window bigint, quality_tier int, speed_tier int, ram_gb double, resident boolean, open boolean"
+
+
+def plain_selection(requests, models):
+    for i, lane, (asked, least) in requests:
+        fit, narrow = [], []
+        for model, at, pos, has, window, quality, speed, ram, resident, open_ in models:
+            if at != lane or lane is None or open_ or (asked is not None and has is not None and set(asked) - set(has)):
+                continue
+            swap = 0.0 if resident else 6.0 * max(0.5, ram / 6)
+            if window is None or least is None or window >= least:
+                fit.append((-round((5.0 - quality) + (5.0 - speed) * 0.5 - swap * 0.15 + resident, 9), pos, model, swap))
+            else:
+                narrow.append((-window, pos, model, swap))
+        for rows, chunked in ((fit, False), (narrow, True)):
+            if rows:
+                _, _, model, swap = min(rows)
+                yield i, model, round(swap, 9), chunked
+                break
+
+
+def test_selection(spark):
+    rnd = random.Random(5)
+    kinds = ["chat", "tools", "json"]
+    some = lambda: rnd.choice([None, rnd.sample(kinds, rnd.randrange(4)), ["chat"]])
+    for n in (3, 40, 200):
+        models = [(k, rnd.choice(["a", "b", None]), k, some(), rnd.choice([None, *[rnd.randrange(1, 60) * 1000] * 9]), rnd.randrange(1, 5), rnd.randrange(1, 5), float(rnd.randrange(1, 40)), rnd.random() < 0.2, rnd.choice([True, False, False, None])) for k in range(n)]
+        requests = [(i, rnd.choice(["a", "b", "c", None]), (some(), rnd.choice([None, rnd.randrange(70000), rnd.randrange(1, 60) * 1000]))) for i in range(300)]
+        got = routing.select_models(spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(models, OFFERED))
+        assert sorted((r[0], r[1], round(r[2], 9), r[3]) for r in got.collect()) == sorted(plain_selection(requests, models))
+
+
+def test_requests_and_models_are_no_pairs(spark):
+    models = spark.createDataFrame([(k, "a", k, ["chat"], 1000 + k, 1 + k % 4, 1, 8.0, False, False) for k in range(400)], OFFERED)
+    requests = spark.createDataFrame([(i, "a", (["chat"], i)) for i in range(1000)], REQUESTS)
+    joins = []
+
+    def walk(node):
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+        if "Join" in node.nodeName():
+            joins.append(node.metrics().apply("numOutputRows").value())
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # stages hide what is below them
+    try:
+        out = routing.select_models(requests, models)
+        assert len(out.collect()) == 1000
+        walk(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert joins and max(joins) <= 1000
