@@ -3,6 +3,7 @@
 import random
 
 from cairn.operators import providers, routing
+from cairn.plans import inventory
 
 MODELS = "model bigint, lane bigint, pos bigint, open boolean"
 DECISIONS = "request_id bigint, lane bigint, attempted array<bigint>, confidence double"
@@ -85,3 +86,12 @@ def test_requests_and_models_are_no_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert joins and max(joins) <= 1000
+
+
+def test_a_page_is_the_same_however_rows_are_stored(spark, tmp_path):
+    # both edges of the page cut lines of the same number and other types
+    rows = [(1, 1, "A")] * 4 + [(11, 2, "R"), (11, 2, "A")] + [(21 + 10 * k, 1, "A") for k in range(18)] + [(901, 3, "R"), (901, 3, "A"), (901, 3, "R")]
+    want = sorted(sorted(rows)[5:25])
+    for name, stored in (("up", sorted(rows)), ("down", sorted(rows, reverse=True))):
+        spark.createDataFrame(stored, "l_orderkey bigint, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        assert sorted(map(tuple, inventory.blocks_of_type(spark, str(tmp_path / name)).collect())) == want
