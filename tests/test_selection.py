@@ -2,7 +2,9 @@
 
 import random
 
-from cairn.operators import providers, routing
+import pytest
+
+from cairn.operators import providers, retrieval, routing
 from cairn.plans import inventory
 
 MODELS = "model bigint, lane bigint, pos bigint, open boolean"
@@ -95,3 +97,17 @@ def test_a_page_is_the_same_however_rows_are_stored(spark, tmp_path):
     for name, stored in (("up", sorted(rows)), ("down", sorted(rows, reverse=True))):
         spark.createDataFrame(stored, "l_orderkey bigint, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
         assert sorted(map(tuple, inventory.blocks_of_type(spark, str(tmp_path / name)).collect())) == want
+
+
+def test_blocks_of_vectors_never_go_through_the_driver(spark):
+    rnd = random.Random(8)
+    rows = [(k, [round(rnd.random(), 1) for _ in range(4)], "public", [], 0.9) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id bigint, vec array<double>, classification string, departments array<string>, mean_confidence double")
+    out = retrieval.dense(vectors.where("chunk_id < 40").selectExpr("chunk_id AS query_id", "vec AS q"), vectors, k=5)
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in out.collect())
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    for i in range(40):
+        mine = [(c, s) for q, _, c, s in got if q == i]
+        best = sorted((-sum(a * b for a, b in zip(rows[i][1], v, strict=True)) / (norm(rows[i][1]) * norm(v)), k) for k, v, *_ in rows)[:5]
+        assert [s for _, s in mine] == pytest.approx([-s for s, _ in best], abs=1e-9) and len(mine) == 5
