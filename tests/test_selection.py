@@ -111,3 +111,34 @@ def test_blocks_of_vectors_never_go_through_the_driver(spark):
         mine = [(c, s) for q, _, c, s in got if q == i]
         best = sorted((-sum(a * b for a, b in zip(rows[i][1], v, strict=True)) / (norm(rows[i][1]) * norm(v)), k) for k, v, *_ in rows)[:5]
         assert [s for _, s in mine] == pytest.approx([-s for s, _ in best], abs=1e-9) and len(mine) == 5
+
+
+def test_a_text_asked_by_many_is_searched_once(spark):
+    chunks = spark.createDataFrame([(k, f"pump {'valve ' * (k % 3)} seal{k % 5}", 0.9) for k in range(60)], "chunk_id bigint, text string, mean_confidence double")
+    queries = spark.createDataFrame([(q, ("pump valve", "seal1 seal2", "nothing", None)[q % 4]) for q in range(400)], "query_id bigint, text string")
+    out = retrieval.sparse(queries, chunks, k=7)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], round(r["score"], 6)))
+    assert set(got) == {q for q in range(400) if q % 4 < 2}
+    words = lambda k: ["pump", *["valve"] * (k % 3), f"seal{k % 5}"]
+    for q, rows in got.items():
+        n = {k: sum(w in ("pump valve", "seal1 seal2")[q % 4].split() for w in words(k)) for k in range(60)}
+        assert sorted(rows) == [(r, k, round(n[k] / 10, 6)) for r, k in enumerate(sorted((k for k in n if n[k]), key=lambda k: (-n[k], k))[:7], 1)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = retrieval.sparse(queries, chunks, k=7)
+        out.collect()
+        most = []
+
+        def walk(node):
+            for k in range(node.children().size()):
+                walk(node.children().apply(k))
+            if "Join" in node.nodeName():
+                most.append(node.metrics().apply("numOutputRows").value())
+
+        walk(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # 400 queries: their hits before the best are taken would be 10,000 rows and more
+    assert max(most) <= 400 * 7
