@@ -139,3 +139,17 @@ def test_pings_by_the_clock(spark, tmp_path):
         begun.stop()
     got = spark.table("pings").orderBy("at").collect()
     assert len(got) >= 3 and {(r["key"], r["state"]) for r in got} == {("a", "ping")} and [r["n"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_keys_share_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "BUCKETS", 8, raising=False)
+    rows = [(f"r{k}", START + datetime.timedelta(seconds=k + 40 * n), 3 * k + n, ("open", "other", "close")[n], "", 0, 0) for k in range(400) for n in range(2 + k % 2)]
+    table = spark.createDataFrame([*rows, ("last", START + datetime.timedelta(days=1), 9999, "other", "", 0, 0)], SCHEMA)
+    table.write.parquet(str(tmp_path / "in"))
+    stream = timers.machine(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), timers.Reaper(), "run_id")
+    begun = timers.started(stream, lambda w: w.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    begun.awaitTermination(120)
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert told(got) == told(timers.folded(table, timers.Reaper(), "run_id")) and got.count() == 400
+    # a few values for each bucket, where every key had some
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in begun.recentProgress) < 100
