@@ -229,6 +229,23 @@ def test_edit_distance():
         assert evaluation.edit_distance(a, b) == plain_distance(a, b) == evaluation.edit_distance(list(b), list(a))
 
 
+def test_edit_distance_within_a_band(monkeypatch):
+    rnd = random.Random(11)
+    whole = evaluation.edit_distance
+    for n in (200, 700, 2000):
+        for edits in (0, 1, 9, n // 20, n // 3):
+            a = [rnd.choice("abcdefgh ") for _ in range(n)]
+            b = list(a)
+            for _ in range(edits):
+                k = rnd.randrange(len(b))
+                b[k : k + 1] = rnd.choice([[], ["x"], [b[k], "y"]])
+            assert whole("".join(a), "".join(b)) == whole(b, a) == plain_distance(a, b)
+    # a text with few faults never needs the whole table's columns
+    monkeypatch.setattr(evaluation, "_places", lambda a, f=evaluation._places: called.append(len(a)) or f(a))
+    called = []
+    assert whole("x" + "ab" * 4000 + "y", "z" + "ab" * 2000 + "c" + "ab" * 2000 + "w") == 3 and len(called) == 1
+
+
 def test_kinds_of_wrong_words(spark):
     cases = [
         ("the pressure was high", "the pressure was hiqh", {"one_char": 1}), ("the pressure was high", "the presure was high", {"misread": 1}), ("pump trip at noon", "pump at noon", {"missing_extra": 1}),
